@@ -46,15 +46,19 @@ def _counts(features: Features, flush: int = 500_000):
     return run
 
 
-def choose(sample: DataFrame, features: Features, least: int, most: int) -> list[str]:
-    """Up to ``most`` features that at least ``least`` sample rows have, those that tell the two labels apart best."""
+def choose(sample: DataFrame, features: Features, least: int, most: int, clear: float = 0.0) -> list[str]:
+    """Up to ``most`` features that at least ``least`` sample rows have, the clearest first.
+
+    Clearness is the log ratio of a feature's shares under the two labels over its standard error; ``clear`` is the least.
+    """
     n1, n = sample.agg(F.sum("y"), F.count(F.lit(1))).first()
     if not n or not n1 or n == n1:
         return []
     counts = sample.select("text", "y").mapInArrow(_counts(features), "feature string, n0 long, n1 long")
     counts = counts.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least)
-    tells = F.abs(F.log((F.col("n1") + 1) / F.lit(n1 + 2.0)) - F.log((F.col("n0") + 1) / F.lit(n - n1 + 2.0))) * F.sqrt(F.col("n0") + F.col("n1"))
-    return [r.feature for r in counts.orderBy(tells.desc(), "feature").limit(most).select("feature").collect()]
+    ratio = F.log((F.col("n1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(n - n1 + 1.0))
+    counts = counts.withColumn("tells", F.abs(ratio) / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))).where(F.col("tells") >= clear)
+    return [r.feature for r in counts.orderBy(F.col("tells").desc(), "feature").limit(most).select("feature").collect()]
 
 
 def _rows(features: Features, index: dict[str, int]):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import leaks
 from .language import languages
 from .near_dup import near_duplicates
 from .quality import quality
@@ -22,6 +23,10 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op5_minhash_near_dup, op7_language, op8_substring_dedup, op9_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op5_minhash_near_dup, op6_decontamination, op7_language, op8_substring_dedup, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

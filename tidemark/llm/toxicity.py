@@ -13,6 +13,7 @@ repeated and null ids included.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,12 +26,19 @@ _WORD = re.compile(r"\w+")
 
 
 def features(text: str) -> set[str]:
-    """Distinct lower-case words, and the beginnings of four to six letters of longer ones."""
+    """Distinct lower-case words, the beginnings of four to six letters of longer ones, and beginnings that two or more words share."""
     words = set(_WORD.findall(text.lower()))
-    return words.union([w[:4] + "-" for w in words if len(w) > 4], [w[:5] + "-" for w in words if len(w) > 5], [w[:6] + "-" for w in words if len(w) > 6])
+    out = words.union([w[:4] + "-" for w in words if len(w) > 4], [w[:6] + "-" for w in words if len(w) > 6])
+    for start, n in Counter([w[:5] for w in words if len(w) > 5]).items():
+        out.add(start + "-")
+        if n > 1:
+            out.add(start + "-2")
+            if n > 2:
+                out.add(start + "-3")
+    return out
 
 
-def nn_pu(flat: np.ndarray, at: np.ndarray, positive: np.ndarray, prior: float, size: int, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def nn_pu(flat: np.ndarray, at: np.ndarray, positive: np.ndarray, prior: float, size: int, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam steps over the whole sample."""
     w = np.zeros(size + 1)
     w[size] = np.log(prior / (1 - prior))
@@ -64,7 +72,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabel
     other = first_by_hash(docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").join(F.broadcast(toxic), "doc_id", "left_anti"), unlabelled)
     ids = toxic.withColumn("y", F.lit(1)).unionAll(other.withColumn("y", F.lit(0)))
     sample = docs.join(F.broadcast(ids), "doc_id")  # at most positives + unlabelled rows of 12 bytes
-    chosen = choose(sample, features, 5, vocabulary) if 0 < prior < 1 else []
+    chosen = choose(sample, features, 5, vocabulary, clear=4.0) if 0 < prior < 1 else []
     weights, bias = {}, -40.0
     if chosen:
         index = {x: i for i, x in enumerate(chosen)}
