@@ -1,23 +1,28 @@
 """Licence scan by a trained paragraph classifier, in DataFrame functions only.
 
-Sparse logistic regressions over word n-grams (one for each licence family, words and pairs of words) are
-trained on licence paragraphs made of the templates below, whole and in parts, against paragraphs of a bounded
-sample of the corpus. A paragraph's best family holds if its probability passes a limit calibrated on
-the sample's paragraphs, else the paragraph is of unknown licence; a prediction is confirmed if the paragraph
-also contains enough of the word pairs of one of the family's templates.
-
-Only paragraphs with words of positive weight are scored: the others cannot pass the limit, which is
-never below one half while every bias is negative. Results for odd input: null and blank texts have no licence;
-repeated rows have the same result, and rows with a null doc_id are one document; an empty table gives an empty
-table.
+Sparse logistic regressions over word n-grams (one for each licence family; words and pairs of neighbouring
+words that stand in a template) are trained on the templates below, whole, in parts and among other words,
+against paragraphs of a bounded sample of the corpus. Paragraphs (lines) that can hold a gram of positive weight are scored; the likeliest
+family holds if its probability reaches a limit calibrated on sampled paragraphs that the weights have not seen,
+else the paragraph is of unknown licence. A prediction is confirmed if the paragraph also holds ``overlap`` of the word
+pairs of one of the family's templates.
+
+The corpus is read in one narrow pass without a shuffle: paragraphs stay in their row as arrays. Results for odd input:
+null and blank texts have no licence; one row is given for each row of documents, repeated and null ids included;
+an empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import re
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .fitting import first_by_hash
 
 # Licence families and wordings of their notices.
 TEMPLATES = {
@@ -37,86 +42,119 @@ TEMPLATES = {
 }
 
 
-def _paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, place, words) of the paragraphs (lines) that hold words."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), r"\n+")).alias("place", "line"))
-    words = F.filter(F.split("line", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    return lines.select("doc_id", "place", words.alias("words")).where(F.size("words") > 0)
+_WORD = re.compile(r"[^\W_]+")
+_BETWEEN = r"[^\p{L}\p{N}]+"
+
+
+def grams_of(words: list[str]) -> list[str]:
+    """Distinct words and pairs of neighbouring words, in order."""
+    return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]))
 
 
 def _grams(words: Column) -> Column:
-    """Distinct words and pairs of neighbouring words."""
     pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
     return F.array_distinct(F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words))
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(F.lit(family).alias("family"), F.lit(text).alias("text")) for family, texts in TEMPLATES.items() for text in texts]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
-
-
-def _training(spark: SparkSession, docs: DataFrame, negatives: int) -> DataFrame:
-    """(id, family, words): templates whole and in their halves of sentences, doubled; sampled paragraphs with a null family."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    whole = _templates(spark).select("family", words.alias("words"))
-    n = F.size("words")
-    cuts = F.array(F.col("words"), F.slice("words", 1, F.ceil(n * 0.75).cast("int")), F.slice("words", F.floor(n * 0.25).cast("int") + 1, n), F.col("words"))
-    made = whole.select("family", F.explode(cuts).alias("words"))
-    known = F.array(*[F.lit(w) for w in sorted({w for texts in TEMPLATES.values() for t in texts for w in ("license", "licensed", "copyright", "rights", "reserved")})])
-    plain = _paragraphs(docs).where(~F.arrays_overlap("words", known)).orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(negatives)
-    both = made.unionAll(plain.select(F.lit(None).cast("string").alias("family"), "words"))
-    return written(both.select(F.monotonically_increasing_id().alias("id"), "family", _grams(F.col("words")).alias("grams")))
-
-
-def train(spark: SparkSession, docs: DataFrame, negatives: int = 2_000, steps: int = 24, rate: float = 1.5) -> tuple[DataFrame, dict[str, float], float]:
-    """Weights (gram, family, w), biases, and the limit of the unknown class, from full-batch gradient steps.
-
-    A step is two joins over the bounded training rows. Weights are written every sixth step, so the plan stays short.
-    """
-    rows = _training(spark, docs, negatives)
-    families = sorted(TEMPLATES)
-    grams = rows.select("id", "family", F.explode("grams").alias("gram"))
-    licence = grams.where("family is not null").select("gram").distinct()
-    cells = written(grams.join(F.broadcast(licence), "gram").select("id", "gram", (1 / F.sqrt(F.count(F.lit(1)).over(_by("id")))).alias("x")))
-    every = rows.select("id", "family").crossJoin(F.broadcast(spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in families])).alias("f")))) if False else rows.select("id", "family", F.explode(F.array(*[F.lit(f) for f in families])).alias("f"))
-    every = written(every.select("id", "f", F.coalesce(F.col("family") == F.col("f"), F.lit(False)).cast("double").alias("y")))
-    weights = None
-    cost = F.when(F.col("y") == 1, 4.0).otherwise(F.lit(1.0))
-    for step in range(steps):
-        if weights is None:
-            margin = every.withColumn("m", F.lit(-2.0))
-        else:
-            sums = cells.join(F.broadcast(weights), "gram").groupBy("id", "f").agg(F.sum(F.col("x") * F.col("w")).alias("s"))
-            margin = every.join(sums, ["id", "f"], "left").withColumn("m", F.coalesce("s", F.lit(0.0)) - 2.0)
-        pull = margin.select("id", "f", (cost * (F.col("y") - 1 / (1 + F.exp(-F.col("m"))))).alias("r"))
-        step_w = cells.join(pull, "id").groupBy("gram", "f").agg((F.sum(F.col("x") * F.col("r")) * rate).alias("w"))
-        weights = step_w if weights is None else weights.unionAll(step_w).groupBy("gram", "f").agg(F.sum("w").alias("w"))
-        if step % 6 == 5:
-            weights = written(weights)
-    weights = weights.where(F.abs("w") > 0.05)
-    weights = written(weights)
-    seen = cells.join(F.broadcast(weights), "gram").groupBy("id", "f").agg(F.sum(F.col("x") * F.col("w")).alias("s"))
-    plain = rows.where("family is null").select("id").join(seen, "id").agg(F.max(1 / (1 + F.exp(2.0 - F.col("s"))))).first()[0]
-    return weights, dict.fromkeys(families, -2.0), min(0.95, max(0.5, (plain or 0.0) + 0.02))
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
-
-
-def scan(docs: DataFrame, overlap: float = 0.6, **settings) -> DataFrame:
-    """Rows (doc_id, families, best_family, probability, n_paragraphs, n_confirmed), one for each row of ``docs`` (doc_id, text).
-
-    ``families`` are the confirmed ones in order; ``best_family`` is the likeliest confirmed one, or "unknown" with 0.0.
+def _strings(values: list[str]) -> Column:
+    """A constant array; one literal, which the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(values)), "array<string>")
+
+
+def _sampled(docs: DataFrame, documents: int, paragraphs: int) -> list[list[str]]:
+    """Words of at most ``paragraphs`` paragraphs of at most ``documents`` documents; none that names a licence."""
+    ids = first_by_hash(docs.where("doc_id is not null and text is not null").select("doc_id"), documents)
+    lines = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.posexplode(F.split(F.lower("text"), r"\n+")).alias("place", "line"))
+    lines = lines.where(~F.col("line").rlike("licen[sc]|copyright|rights reserved|public domain"))
+    lines = lines.select("doc_id", "place", F.slice(F.filter(F.split("line", _BETWEEN), lambda w: F.length(w) > 0), 1, 400).alias("words")).where(F.size("words") > 0)
+    return [list(r.words) for r in lines.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(paragraphs).collect()]
+
+
+class Model:
+    """Weights of the template grams by family, bias, limit, and word pairs of the templates."""
+
+    def __init__(self, plain: list[list[str]], steps: int = 400, rate: float = 0.5, sparse: float = 2e-4):
+        self.families = sorted(TEMPLATES)
+        self.templates = [(k, _WORD.findall(t.lower())) for k, family in enumerate(self.families) for t in TEMPLATES[family]]
+        self.vocabulary = sorted({g for _, words in self.templates for g in grams_of(words)})
+        fit, held = plain[::2], plain[1::2]
+        rows, goal = [], []
+        for i, (k, words) in enumerate(self.templates):
+            n = len(words)
+            near = fit[i % len(fit)] if fit else []
+            for some in (words, words, words[: -(-n * 3 // 4)], words[n // 4 :], near[: n // 2] + words + near[n // 2 : n], words + near[:n]):
+                rows.append(some)
+                goal.append(k)
+        rows += fit
+        goal += [-1] * len(fit)
+        x, y = self._matrix(rows), np.array(goal)[:, None] == np.arange(len(self.families))
+        weight = np.where(y, 6.0, 1.0) / len(rows)
+        w, bias, seen, t = np.zeros((x.shape[1], y.shape[1])), np.full(y.shape[1], -2.0), np.zeros((x.shape[1], y.shape[1])), 1.0
+        for _ in range(steps):  # accelerated proximal steps: the soft threshold keeps weights sparse
+            pull = weight * (y - 1 / (1 + np.exp(-(x @ seen + bias))))
+            new = seen + 60 * rate * (x.T @ pull)
+            new = np.sign(new) * np.maximum(np.abs(new) - 60 * rate * sparse, 0)
+            after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+            seen, w, t = new + (t - 1) / after * (new - w), new, after
+        self.weights = np.round(w, 6)
+        self.bias = -2.0
+        worst = max((float((1 / (1 + np.exp(2.0 - self._matrix(held[k : k + 500]) @ self.weights))).max()) for k in range(0, len(held), 500)), default=0.0)
+        self.limit = min(0.9, max(0.5, worst + 0.02))
+        common = Counter(w for words in plain for w in set(words))
+        positive = [g for g, row in zip(self.vocabulary, self.weights, strict=True) if row.max() > 0]
+        #: Every gram of positive weight holds one of these words, so a paragraph without them cannot pass one half.
+        self.gate = sorted({min(g.split(), key=lambda w: (common[w], -len(w), w)) for g in positive})
+
+    def _matrix(self, rows: list[list[str]]) -> np.ndarray:
+        at = {g: i for i, g in enumerate(self.vocabulary)}
+        x = np.zeros((len(rows), len(at)))
+        for i, words in enumerate(rows):
+            grams = grams_of(words)
+            for g in grams:
+                if g in at:
+                    x[i, at[g]] = 1 / len(grams) ** 0.5
+        return x
+
+
+def scan(docs: DataFrame, overlap: float = 0.6, documents: int = 600, paragraphs: int = 2_000) -> DataFrame:
+    """Rows (doc_id, family, probability, confirmed, families, n_scored), one for each row of ``docs`` (doc_id, text).
+
+    ``family`` is that of the likeliest confirmed paragraph, else "unknown" if a paragraph reached half the probability but
+    not the limit or no template, else "none"; ``families`` are all confirmed ones, joined by commas; ``n_scored`` counts scored paragraphs.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weights, biases, limit = train(spark, docs, **settings)
-    vocabulary = [r.gram for r in weights.where("w > 0 and instr(gram, ' ') = 0").select("gram").distinct().orderBy("gram").collect()]  # template words at most
-    hits = F.size(F.filter("words", lambda w: w.isin(vocabulary)))
-    near = _paragraphs(docs).where(hits >= 2) if vocabulary else _paragraphs(docs).limit(0)
-    cells = near.select("doc_id", "place", _grams(F.col("words")).alias("grams"))
-    used = [r.gram for r in weights.select("gram").distinct().collect()]  # grams of the templates at most
-    return cells, used, biases, limit, overlap
+    model = Model(_sampled(docs, documents, paragraphs))
+    count = len(model.families)
+    table = F.from_json(F.lit(json.dumps({g: list(row) for g, row in zip(model.vocabulary, model.weights.tolist(), strict=True)})), "map<string,array<double>>")
+    zeros = F.array(*[F.lit(0.0)] * count)
+    names = _strings(model.families)
+    gate = r"(?<![\p{L}\p{N}])(?:" + "|".join(model.gate) + r")(?![\p{L}\p{N}])"
+    lines = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda line: line.rlike(gate)) if model.gate else F.array().cast("array<string>")
+    step = docs.select("doc_id", F.transform(lines, lambda line: F.filter(F.split(line, _BETWEEN), lambda w: F.length(w) > 0)).alias("x"))
+    step = step.select("doc_id", F.transform("x", _grams).alias("x"))
+    step = step.select("doc_id", F.transform("x", lambda g: F.struct(F.size(g).alias("n"), F.array_intersect(g, _strings(model.vocabulary)).alias("hits"))).alias("x"))
+    total = lambda x: F.aggregate(x["hits"], zeros, lambda a, g: F.zip_with(a, table[g], lambda p, q: p + q))
+    step = step.select("doc_id", F.transform("x", lambda x: F.struct(x["hits"].alias("hits"), F.transform(total(x), lambda s: 1 / (1 + F.exp(-(s / F.sqrt(x["n"]) + model.bias)))).alias("p"))).alias("x"))
+    best = lambda x: F.array_max(F.transform(x["p"], lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
+    step = step.select("doc_id", F.transform("x", lambda x: F.struct(x["hits"].alias("hits"), best(x).alias("best"))).alias("x"))
+
+    def confirmed(x: Column) -> Column:
+        share = []
+        for k, words in model.templates:
+            pairs = [g for g in grams_of(words) if " " in g]
+            share.append(F.when(-x["best"]["i"] == k, F.size(F.array_intersect(x["hits"], _strings(pairs))) >= overlap * len(pairs)))
+        return F.coalesce(F.exists(F.array(*share), lambda s: F.coalesce(s, F.lit(False))), F.lit(False)) & (x["best"]["p"] >= model.limit)
+
+    step = step.select("doc_id", F.transform("x", lambda x: F.struct(confirmed(x).alias("ok"), x["best"]["p"].alias("p"), F.element_at(names, 1 - x["best"]["i"]).alias("family"))).alias("x"))
+    step = step.select("doc_id", F.size("x").alias("n_scored"), F.filter("x", lambda x: x["ok"]).alias("good"), F.array_max(F.transform("x", lambda x: x["p"])).alias("top"))
+    likeliest = F.array_max(F.transform("good", lambda x: F.struct(x["p"].alias("p"), x["family"].alias("family"))))
+    step = step.select("doc_id", "n_scored", "good", "top", likeliest.alias("best"))
+    family = F.coalesce(F.col("best.family"), F.when(F.col("top") >= 0.5, "unknown"), F.lit("none"))
+    return step.select(
+        "doc_id",
+        family.alias("family"),
+        F.coalesce(F.col("best.p"), F.col("top"), F.lit(0.0)).alias("probability"),
+        F.col("best").isNotNull().alias("confirmed"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("good", lambda x: x["family"])))).alias("families"),
+        F.col("n_scored").cast("long").alias("n_scored"),
+    )

@@ -9,16 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import leaks
 from .language import languages
+from .license_scan import scan
+from .mixing import label_domains, mix
 from .near_dup import near_duplicates
 from .quality import quality
 from .repeats import remove_repeats
 from .toxicity import toxicity
 
 
+#: Wanted shares of tokens by the domains of the labels table.
+TARGETS = {"clean": 0.8, "junk": 0.15, "toxic": 0.05}
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,8 +49,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op5_minhash_near_dup, op6_decontamination, op7_language, op8_substring_dedup, op9_quality)}
+    return {f.__name__: f for f in (op2_toxicity, op4_license_scan, op5_minhash_near_dup, op6_decontamination, op7_language, op8_substring_dedup, op9_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
