@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import leaks
+from .embedding_links import near_vectors
+from .html_text import page_texts
 from .language import languages
 from .license_scan import scan
 from .mixing import label_domains, mix
@@ -21,10 +23,18 @@ from .toxicity import toxicity
 TARGETS = {"clean": 0.8, "junk": 0.15, "toxic": 0.05}
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
@@ -54,7 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_license_scan, op5_minhash_near_dup, op6_decontamination, op7_language, op8_substring_dedup, op9_quality, op10_mixing)}
+    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_embedding_near_dup, op4_license_scan, op5_minhash_near_dup, op6_decontamination, op7_language, op8_substring_dedup, op9_quality, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
