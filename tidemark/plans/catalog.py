@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def _all() -> tuple[dict[str, Query], dict[str, str]]:
+    from . import interval_queries, matching_queries, metric_queries, selection_queries, sequence_queries
+
+    queries: dict[str, Query] = {}
+    sql: dict[str, str] = {}
+    for module in (interval_queries, sequence_queries, matching_queries, metric_queries, selection_queries):
+        queries |= module.BOOK.queries
+        sql |= module.BOOK.sql
+    return queries, sql
+
+
+def queries() -> dict[str, Query]:
+    return _all()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _all()[1]
