@@ -85,7 +85,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Correlation of average ranks; null under two rows or without spread."""
     ranked = df.select(*by, average_rank(x, by).alias("rx"), average_rank(y, by).alias("ry"))
     spread = (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0)
-    return ranked.groupBy(*by).agg(F.when(spread, F.corr("rx", "ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*by).agg(F.when(spread, F.covar_pop("rx", "ry") / (F.stddev_pop("rx") * F.stddev_pop("ry"))).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def kendall_tau_b(df: DataFrame, by: list[str], x: str, y: str, item: str) -> DataFrame:
