@@ -72,7 +72,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabel
     other = first_by_hash(docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").join(F.broadcast(toxic), "doc_id", "left_anti"), unlabelled)
     ids = toxic.withColumn("y", F.lit(1)).unionAll(other.withColumn("y", F.lit(0)))
     sample = docs.join(F.broadcast(ids), "doc_id")  # at most positives + unlabelled rows of 12 bytes
-    chosen = choose(sample, features, 5, vocabulary, clear=4.0) if 0 < prior < 1 else []
+    chosen = choose(sample, features, 5, vocabulary, clear=5.0) if 0 < prior < 1 else []
     weights, bias = {}, -40.0
     if chosen:
         index = {x: i for i, x in enumerate(chosen)}
