@@ -4,13 +4,13 @@ The test items are the indexed side; every passage of the corpus is a query. Pas
 twice the longest item's words, half overlapping, so that an item that stands in a text stands whole in a
 passage. An item's BM25 score is taken as a share of the score that it gets for its own text, and all items
 of at least ``threshold`` are retrieved: items are laid in blocks, each term has its largest impact in
-each block, and blocks whose summed bounds stay below the threshold are skipped; inside a block, items are
-dropped once their score and the bounds of the terms to come cannot reach it. What is retrieved is
-verified: the word trigrams of the question (all sentences but the last) and of the answer (the last
+each block, and blocks whose bounds, summed over the distinct terms of a passage, stay below the threshold are
+skipped; the postings of the other blocks lie in lanes, one for each item of the block, and are summed
+at once. What is retrieved is verified: the word trigrams of the question (all sentences but the last) and of the answer (the last
 sentence; the last third where there is one sentence) must overlap with the passage's, each in a share of ``overlap``.
 
-Benchmarks are indexed in shards of ``shard`` items, so that what a task holds is bounded; their number
-grows with the benchmark only. Results for odd input: null or blank texts and items match nothing;
+Benchmarks are indexed in shards of ``shard`` items, so that what a task holds is bounded (8 bytes for each
+term and block); their number grows with the benchmark only. Results for odd input: null or blank texts and items match nothing;
 an item without words is never retrieved; repeated items and documents give a row for each distinct pair;
 rows with a null doc_id are one document with that id. Empty tables give an empty result.
 """
@@ -71,28 +71,23 @@ class Index:
                 post[at].append((k, x / own))
         self.items = [np.array([k for k, _ in p], np.int64) for p in post]
         self.impacts = [np.array([x for _, x in p]) for p in post]
-        blocks = -(-len(rows) // block)
-        self.bounds = np.zeros((len(post), max(1, blocks)), np.float32)
+        blocks = max(1, -(-len(rows) // block))
+        self.bounds = np.zeros((len(post), blocks), np.float32)
+        self.place = np.zeros((len(post), blocks), np.int32)
+        lanes = [np.zeros(block)]
         for at, (ks, xs) in enumerate(zip(self.items, self.impacts, strict=True)):
             np.maximum.at(self.bounds[at], ks // block, xs.astype(np.float32) * np.float32(1.000001))
+            for k, x in zip(ks.tolist(), xs.tolist(), strict=True):
+                if not self.place[at, k // block]:
+                    self.place[at, k // block] = len(lanes)
+                    lanes.append(np.zeros(block))
+                lanes[self.place[at, k // block]][k % block] = x
+        self.lanes = np.array(lanes)
 
     def search(self, terms: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All (item, score) of at least ``threshold`` in ``blocks`` for the distinct ``terms`` of a passage."""
-        out = []
-        for block in blocks:
-            bound = self.bounds[terms, block]
-            order = np.argsort(-bound)
-            left = float(bound.sum())
-            score = np.zeros(self.block)
-            first = block * self.block
-            for t, x in zip(terms[order], bound[order], strict=True):
-                if x <= 0 or score.max() + left < threshold - 1e-5:
-                    break
-                lo, hi = np.searchsorted(self.items[t], (first, first + self.block))
-                score[self.items[t][lo:hi] - first] += self.impacts[t][lo:hi]
-                left -= float(x)
-            out += [(int(first + i), float(score[i])) for i in np.flatnonzero(score >= threshold - 1e-9)]
-        return out
+        score = self.lanes[self.place[terms[:, None], blocks[None, :]]].sum(axis=0)
+        return [(int(blocks[i] * self.block + j), float(score[i, j])) for i, j in zip(*np.nonzero(score >= threshold - 1e-9), strict=True)]
 
 
 def _scan(index: Index, threshold: float, overlap: float):
@@ -108,16 +103,23 @@ def _scan(index: Index, threshold: float, overlap: float):
                 at = np.flatnonzero(ids >= 0)
                 if not len(at):
                     continue
-                last = max(0, (len(words) - 1) // half)
                 pairs = np.unique(at // half * size + ids[at])
-                part = pairs // size
-                starts = np.flatnonzero(np.concatenate(([True], np.diff(part) > 0)))
-                bound = np.zeros((last + 2, index.bounds.shape[1]), np.float32)
-                bound[part[starts]] = np.add.reduceat(index.bounds[pairs % size], starts, axis=0)
-                hot = bound[:-1] + bound[1:] >= threshold - 1e-4  # passage k holds the parts k and k + 1
+                part, term = pairs // size, pairs % size
+                fresh = pairs[np.searchsorted(pairs, pairs - size)] != pairs - size  # not in the part before
+                bounds, last = index.bounds[term], int(part[-1])
+                bound = np.zeros((last + 1, bounds.shape[1]), np.float32)
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                bound[part[first]] = np.add.reduceat(bounds, first, axis=0)
+                new = part[fresh]
+                first = np.flatnonzero(np.diff(new, prepend=-1))
+                more = np.add.reduceat(bounds[fresh], first, axis=0)
+                inner = new[first] > 0
+                bound[new[first][inner] - 1] += more[inner]  # passage k holds the parts k and k + 1
+                hot = bound >= threshold - 1e-4
+                ends = np.searchsorted(part, np.arange(last + 3))
                 for k in np.flatnonzero(hot.any(axis=1)):
-                    mine = ids[k * half : (k + 2) * half]
-                    found = index.search(np.unique(mine[mine >= 0]), np.flatnonzero(hot[k]), threshold)
+                    here = slice(ends[k + 1], ends[k + 2])
+                    found = index.search(np.concatenate((term[ends[k] : ends[k + 1]], term[here][fresh[here]])), np.flatnonzero(hot[k]), threshold)
                     if found:
                         have: dict[int, set] = {}
                         here = words[k * half : (k + 2) * half]
