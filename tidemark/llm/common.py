@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only while its measured size stays below this many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Edges that one task of a round of components holds.
+EDGES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +36,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of writes inside go when the write ends: the table that it leaves needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,7 +61,8 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``df``, one row for each ``key``, in the shared folder, bucketed by it: later joins on it move only the other side."""
     spark = df.sparkSession
     name = f"tidemark_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).dropDuplicates([key]).write.option("path", f"{scratch_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    with tidy_shuffles(spark):
+        df.repartition(buckets, key).dropDuplicates([key]).write.option("path", f"{scratch_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
     return spark.table(name)
 
 
@@ -68,7 +86,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps. Each step keeps the number of edges at most and
     turns chains into stars in a logarithmic number of rounds; a table in the shared folder is
-    written per round, so that the lineage stays short. Only changed-edge counts reach the driver.
+    written per round, so that the lineage stays short, in a part for each EDGES edges, so that few edges make
+    few tasks and files. Only changed-edge counts reach the driver.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(now)
@@ -80,7 +99,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and all its neighbours below it hang on the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        after = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct().coalesce(1 + mark[0] // EDGES))
         was, mark = mark, _mark(after)
         now = after
         if mark == was:

@@ -68,12 +68,13 @@ def _children(nodes: np.ndarray, sketches: np.ndarray, threshold: float) -> tupl
 
 
 def _own(size: int):
-    """Keeps the text that a fingerprint was made of, where other rows repeat its doc_id."""
+    """Keeps the text that a fingerprint was made of, where other rows repeat its doc_id; adds the last byte of each token of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [hashlib.blake2b(shingle_set(t.as_py(), size).tobytes(), digest_size=16).digest() == p.as_py() for t, p in zip(batch.column("text"), batch.column("print"), strict=True)]
-            yield batch.select(["rep", "text", "sketch"]).filter(pa.array(keep, pa.bool_()))
+            brief = pa.array([np.frombuffer(x.as_py(), np.uint32).astype(np.uint8).tobytes() for x in batch.column("sketch")], pa.binary())
+            yield batch.select(["rep", "text", "sketch"]).append_column("brief", brief).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -106,11 +107,11 @@ def _branch(threshold: float, trees: int | None):
 
 
 def _alike(least: float):
-    """Keeps (a, b) whose sketches agree in a share of ``least``: six deviations below the threshold."""
+    """Keeps (a, b) whose brief sketches agree in a share of ``least``: six deviations below the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, POSITIONS) for c in ("sketch_a", "sketch_b"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in ("brief_a", "brief_b"))
             keep = pa.array((x == y).mean(axis=1) >= least)
             yield batch.select(["a", "b"]).filter(keep)
 
@@ -151,7 +152,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda c, what: texts.select(F.col("rep").alias(c), F.col(what).alias(f"{what}_{c}"))
-        near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b")
+        near = pairs.join(side("a", "brief"), "a").join(side("b", "brief"), "b").select("a", "b", "brief_a", "brief_b")
         near = written(near.mapInArrow(_alike(threshold - 6 * (threshold * (1 - threshold) / POSITIONS) ** 0.5), "a long, b long"))
         full = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
         return written(full.mapInArrow(_confirm(size, percent), "a long, b long"))
@@ -164,7 +165,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
         if texts is None:
             wanted = nodes.select("rep").distinct().join(reps, "rep")
             found = docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "text", "print", "sketch")
-            found = found.mapInArrow(_own(size), "rep long, text string, sketch binary")
+            found = found.mapInArrow(_own(size), "rep long, text string, sketch binary, brief binary")
             texts = bucketed(found, "rep", partitions(spark))
         stars = nodes.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
         stars = written(stars if done is None else stars.join(done, ["a", "b"], "left_anti"))

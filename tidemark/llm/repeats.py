@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch_dir, written
+from .common import partitions, scratch_dir, tidy_shuffles, written
 from .words import window_hashes, word_hashes
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -127,7 +127,8 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     packed = keyed.select("key", "text").mapInArrow(_packed, "key binary, packed binary")
     unique = packed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("packed").alias("packed"))
     name = f"tidemark_{uuid.uuid4().hex}"
-    unique.write.option("path", f"{scratch_dir(spark)}/{name}").bucketBy(partitions(spark), "key").saveAsTable(name)
+    with tidy_shuffles(spark):
+        unique.write.option("path", f"{scratch_dir(spark)}/{name}").bucketBy(partitions(spark), "key").saveAsTable(name)
     texts = spark.table(name)
 
     ranges = None
