@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.embedding_links import near_vectors, range_search, robust_prune
+from tidemark.llm.embedding_links import audit_share, near_vectors, range_search, robust_prune
 
 SF = "/root/testdata/sf0.01"
 
@@ -54,3 +54,28 @@ def test_pruned_graph_finds_all_in_range():
     lists = robust_prune(x @ x.T, 16, 1.2)
     found = sum(len(range_search(x, lists, q, 0, 0.95, 0.1, 32)) for q in x)
     assert found >= 0.99 * (x @ x.T >= 0.95).sum()
+
+
+def test_dense_groups_apart(spark):
+    """Groups of more vectors than the nearest candidates, far from each other and from the medoid."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + 0.1 * rng.normal(size=(150, 32)) for c in rng.normal(size=(6, 32))] + [rng.normal(size=(40, 32))])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()} == brute(np.arange(len(x)), x)
+
+
+def test_failed_or_vacuous_audit_compares_all(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, 32))
+    x[700:] = x[:100] + 0.05 * rng.normal(size=(100, 32))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(np.arange(len(x)), x)
+    for settings in ({"recall": 2.0}, {"audited": 2, "most_audited": 2}):
+        assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, shard=120, **settings).collect()} == want
+
+
+def test_audit_weighs_small_groups():
+    truth = {k: (90, 90) for k in range(90)} | {100 + k: (1, 1) for k in range(2)}
+    assert audit_share(truth, {k: 90 for k in range(90)}) < 0.6
+    assert audit_share(truth, {k: n for k, (n, _) in truth.items()}) > 1 - 1e-9
+    assert audit_share({}, {}) == 1.0

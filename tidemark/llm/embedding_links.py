@@ -4,13 +4,16 @@ Equal vectors are one representative with a count. Centroids are fitted to a bou
 ``overlap`` nearest clusters, so clusters are overlapping shards. In each shard a graph is built: near neighbours are the
 candidates of a vector, and a candidate is pruned if a kept neighbour is nearer to it by the factor ``alpha``. The adjacency
 lists that a vector has in its shards are united and sent back to all of them. Then every vector searches each of its
-shards greedily from the medoid and, once it stands at its place, expands all that it finds in range (and ``margin`` beyond) until
-nothing new is in range. What is found is verified by the cosine in double precision.
+shards greedily from itself, the medoid, and an entry of each unconnected part and each group of linked vectors, and expands all
+that it finds in range (and ``margin`` beyond) until nothing new is in range. What is found is verified by the cosine in double precision.
 
 Clusters of more than ``shard`` vectors are cut into pieces by id, each with a graph of its own, and each pair of pieces is
 a task, so no task holds more than two pieces. Links of a pair are counted in the first cluster that both are in, both ways
 at once; for components only a spanning forest leaves a task. An audit holds the counts of ``audited`` vectors, chosen by
-hash, against all vectors in blocks; while it finds less than ``recall`` of their links, everything is built again with twice the overlap.
+hash, against all vectors in blocks; eight times as many are taken, up to ``most_audited``, while fewer than ``linked`` of them have a link. The
+mean share of links found must reach ``recall``, with equal weight for vectors and with equal weight for groups. Else everything is built
+again with twice the overlap, and where that cannot help (``most_overlap``, or no more clusters), or where too few audited vectors have links
+to tell and not all were audited, all pairs are compared in blocks.
 
 Results for odd input: vectors that are null, zero or hold null or non-finite components, and vectors of another length than the commonest,
 link with nothing and stand alone; a null vec_id stands alone with a null component; rows that repeat a vec_id count as other vectors;
@@ -85,7 +88,8 @@ def _assign(c: np.ndarray, overlap: int):
 def robust_prune(sims: np.ndarray, degree: int, alpha: float, width: int = 64) -> list[np.ndarray]:
     """Neighbours of each of the vectors with these cosines; distances are 1 - cosine.
 
-    Candidates are the ``width`` nearest, taken from near to far; each one kept prunes those that it is nearer to by ``alpha``.
+    Candidates are the ``width`` nearest and, beyond them, some at each scale of rank up to the farthest, taken from near to far; each one
+    kept prunes those that it is nearer to by ``alpha``.
     """
     n = len(sims)
     width = min(width, n - 1)
@@ -93,10 +97,9 @@ def robust_prune(sims: np.ndarray, degree: int, alpha: float, width: int = 64) -
         return [np.zeros(0, np.int32)] * n
     masked = sims.copy()
     np.fill_diagonal(masked, -2.0)
-    near = np.argpartition(-masked, width - 1, axis=1)[:, :width]
-    own = np.take_along_axis(masked, near, axis=1)
-    order = np.argsort(-own, axis=1, kind="stable")
-    near, own = np.take_along_axis(near, order, axis=1), 1 - np.take_along_axis(own, order, axis=1)
+    ranks = np.concatenate((np.arange(width), np.geomspace(width, n - 2, 32).astype(np.int64) if n - 2 >= width else np.zeros(0, np.int64)))
+    near = np.argsort(-masked, axis=1, kind="stable")[:, np.unique(ranks)]
+    own = 1 - np.take_along_axis(masked, near, axis=1)
     alive, kept = np.ones(near.shape, bool), np.zeros(near.shape, bool)
     rows = np.arange(n)
     for _ in range(degree):  # all vectors take their nearest live candidate at once
@@ -112,7 +115,7 @@ def robust_prune(sims: np.ndarray, degree: int, alpha: float, width: int = 64) -
     back: list[list[int]] = [[] for _ in range(n)]
     for a, b in zip(*np.nonzero(kept), strict=True):
         back[near[a, b]].append(a)
-    return [np.unique(np.concatenate((near[i][kept[i]], np.array(back[i][: 2 * degree], np.int64)))).astype(np.int32) for i in range(n)]
+    return [np.unique(np.concatenate((near[i][kept[i]], np.array(back[i], np.int64)))).astype(np.int32) for i in range(n)]
 
 
 def _graph(size: int, degree: int, alpha: float):
@@ -126,11 +129,18 @@ def _graph(size: int, degree: int, alpha: float):
     return run
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], query: np.ndarray, start: int, least: float, margin: float, beam: int) -> np.ndarray:
+def entries(x: np.ndarray, lists: list[np.ndarray], least: float) -> np.ndarray:
+    """The medoid, one node of each unconnected part, and one of each group of neighbours of cosine >= ``least``."""
+    a, b = np.repeat(np.arange(len(x)), [len(k) for k in lists]), np.concatenate(lists).astype(np.int64)
+    near = (x[a] * x[b]).sum(axis=1) >= least
+    return np.unique(np.concatenate(([(x @ x.sum(axis=0)).argmax()], _roots(len(x), a, b), _roots(len(x), a[near], b[near])[a[near]])))
+
+
+def range_search(x: np.ndarray, lists: list[np.ndarray], query: np.ndarray, start: int | np.ndarray, least: float, margin: float, beam: int) -> np.ndarray:
     """Nodes of cosine >= ``least`` found from ``start``: a greedy walk of width ``beam``, then all in range and ``margin`` beyond are expanded."""
     sims = np.full(len(x), -2.0)
     seen, done = np.zeros(len(x), bool), np.zeros(len(x), bool)
-    new = np.array([start])
+    new = np.unique(start)
     while True:
         seen[new] = True
         sims[new] = x[new] @ query
@@ -159,14 +169,14 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = after
 
 
-def _links(size: int, least: float, margin: float, beam: int):
+def _links(size: int, least: float, margin: float, beam: int, exact: bool):
     """Rows of one pair of pieces to (rep, links, root): links counted here, and the least rep that is linked here."""
 
     def side(table: pa.Table, piece: int):
         t = table.filter(pa.array(table.column("piece").to_numpy() == piece)).sort_by("rep")
         x, reps = _matrix(t.column("v").combine_chunks(), size), t.column("rep").to_numpy()
         lists = []
-        for near in t.column("near"):
+        for near in [] if exact else t.column("near"):
             ids = np.asarray(near.values, np.int64)
             at = np.searchsorted(reps, ids)
             at = np.minimum(at, len(reps) - 1)
@@ -178,11 +188,13 @@ def _links(size: int, least: float, margin: float, beam: int):
         left = side(table, i)
         right = left if i == j else side(table, j)
         found = np.zeros((len(left[2]), len(right[2])), bool)
-        if found.size:
+        if found.size and exact:
+            found = left[1] @ right[1].T >= least - 1e-9
+        elif found.size:
             for near, far, flip in [(left, right, False)] + ([(right, left, True)] if i != j else []):
-                start = int((far[1] @ far[1].sum(axis=0)).argmax())
+                start = entries(far[1], far[3], least)
                 for k, q in enumerate(near[1]):
-                    hits = range_search(far[1], far[3], q, start, least - 1e-9, margin, beam)
+                    hits = range_search(far[1], far[3], q, np.append(start, k) if i == j else start, least - 1e-9, margin, beam)
                     if flip:
                         found[hits, k] = True
                     else:
@@ -221,19 +233,45 @@ def _roots_of(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _count_all(queries: np.ndarray, ids: np.ndarray, least: float):
-    """Blocks of (rep, v, n) to (rep, links): what each audited vector links with in them."""
+    """Blocks of (rep, v, n) to (rep, links, others): what each audited vector links with in them, and how many other vectors that are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
+        links, others = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for batch in batches:
             x, reps, n = _matrix(batch.column("v"), queries.shape[1]), batch.column("rep").to_numpy(), batch.column("n").to_numpy()
-            total += ((queries @ x.T >= least) & (ids[:, None] != reps[None, :])) @ n
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["rep", "links"])
+            for k in range(0, len(ids), 512):
+                at = slice(k, k + 512)
+                hit = (queries[at] @ x.T >= least) & (ids[at, None] != reps[None, :])
+                links[at] += hit @ n
+                others[at] += hit.sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(others)], ["rep", "links", "others"])
 
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, shard: int = 1_500, overlap: int = 2, degree: int = 24, alpha: float = 1.2, margin: float = 0.1, beam: int = 32, sample: int = 65_536, audited: int = 400, recall: float = 0.98) -> DataFrame:
+def _audit(reps: DataFrame, size: int, least: float, count: int, audited: int, most: int, linked: int) -> tuple[dict[int, tuple[int, int]], bool]:
+    """Links and linked vectors of the audited vectors that have any, and whether they can tell: enough of them, or all vectors audited."""
+    while True:
+        rows = reps.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(audited).select("rep", "v").collect()
+        ids = np.array([r.rep for r in rows], np.int64)
+        queries = np.frombuffer(b"".join(r.v for r in rows), np.float64).reshape(-1, size)
+        truth = reps.select("rep", "v", "n").mapInArrow(_count_all(queries, ids, least), "rep long, links long, others long").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+        truth = {r.rep: (r.links, r.others) for r in truth.where("others > 0").collect()}
+        if len(truth) >= linked or audited >= min(count, most):
+            return truth, len(truth) >= linked or audited >= count
+        audited = min(8 * audited, most)
+
+
+def audit_share(truth: dict[int, tuple[int, int]], got: dict[int, int]) -> float:
+    """Share of the links found: the lesser of the means over vectors and over groups, a group being a vector and what it links with."""
+    if not truth:
+        return 1.0
+    share = np.array([min(got.get(r, 0) / n, 1.0) for r, (n, _) in truth.items()])
+    group = np.array([1 / (1 + others) for _, others in truth.values()])
+    return float(min(share.mean(), share @ group / group.sum()))
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.95, shard: int = 1_500, overlap: int = 2, degree: int = 24, alpha: float = 1.2, margin: float = 0.1, beam: int = 32, sample: int = 65_536, audited: int = 400, recall: float = 0.98, linked: int = 50, most_audited: int = 25_600, most_overlap: int = 8) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of ``vectors`` (vec_id, embedding).
 
     Centroids are fitted to at most ``sample`` vectors, so at most ``sample`` / 16 clusters; beyond that clusters have more pieces.
@@ -248,20 +286,19 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard: int = 1_500, ov
     if count > 1:
         some = [r.v for r in reps.select("v").orderBy(F.xxhash64("rep"), "rep").limit(min(sample, max(4_096, count // 8))).collect()]
         points = np.frombuffer(b"".join(some), np.float64).reshape(-1, size)
-        audit_rows = reps.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(audited).select("rep", "v").collect()
-        audit_ids = np.array([r.rep for r in audit_rows], np.int64)
-        queries = np.frombuffer(b"".join(r.v for r in audit_rows), np.float64).reshape(-1, size)
-        truth = reps.select("rep", "v", "n").mapInArrow(_count_all(queries, audit_ids, least), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-        truth = {r.rep: r.links for r in truth.collect()}
-        while True:
+        truth, tells = _audit(reps, size, least, count, audited, most_audited, linked)
+        while tells:
             k = int(min(len(points) // 16 + 1, max(1, overlap * count // (shard // 2))))
             c = centroids(points, k)
             links = written(_search(reps, c, min(overlap, len(c)), size, least, shard, degree, alpha, margin, beam))
-            got = {r.rep: r.links for r in links.where(F.col("rep").isin([int(x) for x in audit_ids])).groupBy("rep").agg(F.sum("links").alias("links")).collect()}
-            want = sum(truth.values())
-            if sum(min(got.get(r, 0), n) for r, n in truth.items()) >= recall * want or overlap >= len(c):
+            own = reps.sparkSession.createDataFrame([(r,) for r in truth], "rep long")
+            got = {r.rep: r.links for r in links.join(F.broadcast(own), "rep").groupBy("rep").agg(F.sum("links").alias("links")).collect()}  # at most ``most_audited`` rows
+            if audit_share(truth, got) >= recall:
                 break
             overlap *= 2
+            tells = overlap <= min(most_overlap, len(c))
+        if not tells:
+            links = written(_search(reps, points[:1], 1, size, least, shard, degree, alpha, margin, beam, exact=True))
     rep_rows = reps.select("rep", "v", "low", "n")
     if links is not None:
         label = components(links.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -278,12 +315,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard: int = 1_500, ov
     return out.select("vec_id", F.when(F.col("own"), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def _search(reps: DataFrame, c: np.ndarray, overlap: int, size: int, least: float, shard: int, degree: int, alpha: float, margin: float, beam: int) -> DataFrame:
+def _search(reps: DataFrame, c: np.ndarray, overlap: int, size: int, least: float, shard: int, degree: int, alpha: float, margin: float, beam: int, exact: bool = False) -> DataFrame:
     members = written(reps.select("rep", "v", "n").mapInArrow(_assign(c, overlap), "cluster int, rep long, v binary, n long, clusters array<int>"))
     pieces = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("m"))
     cut = members.join(F.broadcast(pieces), "cluster").withColumn("piece", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("m")).cast("int"))  # a row for each cluster: at most sample / 16
-    lists = cut.groupBy("cluster", "piece").applyInArrow(_graph(size, degree, alpha), "rep long, near array<long>")
-    united = written(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    if exact:
+        placed = cut.withColumn("near", F.lit(None).cast("array<long>"))
+    else:
+        lists = cut.groupBy("cluster", "piece").applyInArrow(_graph(size, degree, alpha), "rep long, near array<long>")
+        placed = cut.join(written(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))), "rep")
     others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("piece", j).alias("i"), F.greatest("piece", j).alias("j")))
-    tasks = cut.join(united, "rep").select("cluster", "piece", "rep", "v", "n", "clusters", "near", F.explode(others).alias("t")).select("*", "t.i", "t.j").drop("t")
-    return tasks.groupBy("cluster", "i", "j").applyInArrow(_links(size, least, margin, beam), "rep long, links long, root long")
+    tasks = placed.select("cluster", "piece", "rep", "v", "n", "clusters", "near", F.explode(others).alias("t")).select("*", "t.i", "t.j").drop("t")
+    return tasks.groupBy("cluster", "i", "j").applyInArrow(_links(size, least, margin, beam, exact), "rep long, links long, root long")
