@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm.language import Space, grams, languages
-from tidemark.llm.quality import dual_descent, log_count_ratio, quality
+from tidemark.llm.quality import dual_descent, features, log_count_ratio, quality
 from tidemark.llm.toxicity import nn_pu, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -94,3 +94,14 @@ def test_bundles_are_sums_of_bound_letters():
     code, count = grams("abab", 3)
     want = sum(n * np.prod([np.roll(space.placed[2][(c // 4096 ** (2 - k)) % 4096], 2 - k) for k in range(3)], axis=0) for c, n in zip(code, count, strict=True))
     assert np.allclose(space.bundles(["abab"])[0], want)
+
+
+def test_quality_reads_texts_without_spaces_to_their_end(spark):
+    start = "春眠不覺曉,處處聞啼鳥。夜來風雨聲,花落知多少。" * 20
+    assert not any(x.startswith(("words<", "characters<")) for x in features(start))
+    assert features("春眠。") - features(start)
+    assert features(start + "###") - features(start)
+    assert "again>0.3" in features("春眠。" * 200)
+    docs = spark.createDataFrame([(k, start + ("###%%%" if k % 2 else "花落。") * (1 + k % 3)) for k in range(80)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in quality(docs, docs.selectExpr("doc_id", "1 - int(doc_id % 2) as quality")).collect()}
+    assert min(v for k, v in score.items() if k % 2 == 0) > max(v for k, v in score.items() if k % 2)

@@ -1,7 +1,7 @@
 """Quality by naive Bayes support vectors.
 
-Texts become indicators of n-grams of word shapes (case, digits, marks, a word that repeats the one
-before it). Each indicator is scaled by its log-count ratio between the two labels, and a linear
+Texts become indicators of n-grams of shapes over all parts of the text (runs of letters by case, runs of digits,
+each mark; with a space before or not), of repeated neighbours and of length in characters. Each indicator is scaled by its log-count ratio between the two labels, and a linear
 model with the hinge loss is fitted to the scaled indicators by dual coordinate descent. Scores are
 the logistic of the margin, with slope and shift fitted to margins of folds left out in turn.
 
@@ -13,6 +13,7 @@ given for each row of documents, repeated and null ids included.
 from __future__ import annotations
 
 import re
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -22,33 +23,41 @@ from pyspark.sql import functions as F
 from .common import fold
 from .fitting import choose, first_by_hash, labelled, margins, matrix, scored
 
-_PART = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+_PART = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 
 class _Shapes(dict):
-    """Shape of a word, kept while there are not too many of them."""
-
-    def __missing__(self, word: str) -> str:
-        parts = [("A" if x.isupper() and len(x) > 1 else "Aa" if x[0].isupper() else "a") if x[0].isalpha() else "0" if x[0].isdigit() else x[:4] for x in _PART.findall(word)[:6]]
+    """Shapes of all parts of a word, the first with a space before it; short words are kept while there are not too many of them."""
+
+    def __missing__(self, word: str) -> list[str]:
+        parts = [("A" if x.isupper() and len(x) > 1 else "Aa" if x[0].isupper() else "a") if x[0].isalpha() else "0" if x[0].isdigit() else x for x in _PART.findall(word)]
+        if parts:
+            parts[0] = " " + parts[0]
+        if len(word) > 40:
+            return parts
         if len(self) > 200_000:
             self.clear()
-        self[word] = shape = "".join(parts)
-        return shape
+        self[word] = parts
+        return parts
 
 
 _shapes = _Shapes()
 
 
 def features(text: str) -> set[str]:
-    """Distinct shapes, pairs of shapes, and how often a word repeats the one before it."""
+    """Distinct shapes, pairs and triples of neighbouring shapes, how often a part repeats the one before it, and a short length."""
     words = text.split()
     if not words:
         return {"empty"}
-    shapes = [_shapes[w] for w in words]
-    out = set(shapes).union([f"{a} {b}" for a, b in set(zip(shapes, shapes[1:], strict=False))])
+    shapes = list(chain.from_iterable([_shapes[w] for w in words]))
+    out = set(shapes)
+    out.update(map("|".join, set(zip(shapes, shapes[1:], strict=False))), map("|".join, set(zip(shapes, shapes[1:], shapes[2:], strict=False))))
+    if len(words) < len(shapes) / 20:  # hardly any spaces: parts stand for words
+        words = [x for x in _PART.findall(text) if x[0].isalnum()] or words
     again = sum(map(eq, words, words[1:])) / len(words)
     out.update(f"again>{x}" for x in (0, 0.02, 0.1, 0.3) if again > x)
-    out.update(f"words<{x}" for x in (5, 20, 50) if len(words) < x)
+    size = sum(map(len, words)) if len(words) < 250 else 250
+    out.update(f"characters<{x}" for x in (25, 100, 250) if size < x)
     return out
 
 
