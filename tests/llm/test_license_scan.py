@@ -36,3 +36,18 @@ def test_odd_rows(spark):
     assert len(rows) == 5
     assert sorted(r.family for r in rows)[:2] == ["MIT", "none"]
     assert scan(odd.limit(0)).count() == 0
+
+
+def test_hard_wrapped_notices_in_long_paragraphs(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    rows, want = [], []
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            words = text.split()
+            wrapped = "\n".join(" # " + " ".join(words[k : k + 8]) for k in range(0, len(words), 8))
+            filler = "\n".join(["some other plain words stand on this line"] * 30)
+            rows += [(len(rows), f"Intro.\n\n{wrapped}\n\nand more"), (len(rows) + 1, f"{filler}\n{wrapped}\n{filler}")]
+            want += [family, family]
+    out = {r.doc_id: r for r in scan(base.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    wrong = [(k, w, out[k].family, out[k].probability) for k, w in enumerate(want) if w not in out[k].families.split(",")]
+    assert len(wrong) <= 0.1 * len(want), wrong

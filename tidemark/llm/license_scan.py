@@ -2,12 +2,13 @@
 
 Sparse logistic regressions over word n-grams (one for each licence family; words and pairs of neighbouring
 words that stand in a template) are trained on the templates below, whole, in parts and among other words,
-against paragraphs of a bounded sample of the corpus. Paragraphs (lines) that can hold a gram of positive weight are scored; the likeliest
-family holds if its probability reaches a limit calibrated on sampled paragraphs that the weights have not seen,
-else the paragraph is of unknown licence. A prediction is confirmed if the paragraph also holds ``overlap`` of the word
-pairs of one of the family's templates.
+against passages of a bounded sample of the corpus. Passages are the lines, and the overlapping word windows of the paragraphs between
+blank lines, so that a notice that is wrapped over lines stands whole in a window. Those that can hold a gram of positive weight are scored,
+over the grams that stand in a template, however many other words the passage has; the likeliest family holds if its probability reaches a limit
+calibrated on sampled passages that the weights have not seen, else the passage is of unknown licence. A prediction is confirmed if the
+passage also holds ``overlap`` of the word pairs of one of the family's templates.
 
-The corpus is read in one narrow pass without a shuffle: paragraphs stay in their row as arrays. Results for odd input:
+The corpus is read in one narrow pass without a shuffle: passages stay in their row as arrays. Results for odd input:
 null and blank texts have no licence; one row is given for each row of documents, repeated and null ids included;
 an empty table gives an empty table. Other columns are ignored.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -44,6 +46,8 @@ TEMPLATES = {
 
 _WORD = re.compile(r"[^\W_]+")
 _BETWEEN = r"[^\p{L}\p{N}]+"
+#: Words from one window to the next: those of the longest template. Windows are twice as long, so each run of that many words stands whole in one.
+STEP = max(len(_WORD.findall(t)) for family in TEMPLATES.values() for t in family)
 
 
 def grams_of(words: list[str]) -> list[str]:
@@ -61,13 +65,22 @@ def _strings(values: list[str]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<string>")
 
 
+def _passages(text: Column, good: Callable[[Column], Column]) -> Column:
+    """Distinct word lists of the lines and of the windows of the paragraphs of a text, if ``good`` holds for their words, joined."""
+    words = lambda parts: F.transform(F.filter(parts, good), lambda x: F.filter(F.split(x, _BETWEEN), lambda w: F.length(w) > 0))
+    text = F.lower(F.coalesce(text, F.lit("")))
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / STEP).cast("int") - 2, F.lit(0)))
+    windows = F.flatten(F.transform(words(F.split(text, r"\n\s*\n")), lambda w: F.transform(starts(w), lambda k: F.slice(w, k * STEP + 1, 2 * STEP))))
+    return F.array_distinct(F.concat(words(F.split(text, "\n")), F.filter(windows, lambda w: good(F.array_join(w, " ")))))
+
+
 def _sampled(docs: DataFrame, documents: int, paragraphs: int) -> list[list[str]]:
-    """Words of at most ``paragraphs`` paragraphs of at most ``documents`` documents; none that names a licence."""
+    """Words of at most ``paragraphs`` windows of at most ``documents`` documents; none that names a licence."""
     ids = first_by_hash(docs.where("doc_id is not null and text is not null").select("doc_id"), documents)
-    lines = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.posexplode(F.split(F.lower("text"), r"\n+")).alias("place", "line"))
-    lines = lines.where(~F.col("line").rlike("licen[sc]|copyright|rights reserved|public domain"))
-    lines = lines.select("doc_id", "place", F.slice(F.filter(F.split("line", _BETWEEN), lambda w: F.length(w) > 0), 1, 400).alias("words")).where(F.size("words") > 0)
-    return [list(r.words) for r in lines.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(paragraphs).collect()]
+    every = _passages(F.col("text"), lambda _: F.lit(True))
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.posexplode(every).alias("place", "words")).where(F.size("words").between(1, 2 * STEP))
+    rows = rows.where(~F.array_join("words", " ").rlike("licen[sc]|copyright|rights reserved|public domain"))
+    return [list(r.words) for r in rows.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(paragraphs).collect()]
 
 
 class Model:
@@ -82,7 +95,7 @@ class Model:
         for i, (k, words) in enumerate(self.templates):
             n = len(words)
             near = fit[i % len(fit)] if fit else []
-            for some in (words, words, words[: -(-n * 3 // 4)], words[n // 4 :], near[: n // 2] + words + near[n // 2 : n], words + near[:n]):
+            for some in (words, words, words[: -(-n * 3 // 4)], words[n // 4 :], near[: n // 2] + words + near[n // 2 : n], words + near[:n], (near[:STEP] + words + near[STEP:])[: 2 * STEP]):
                 rows.append(some)
                 goal.append(k)
         rows += fit
@@ -109,18 +122,17 @@ class Model:
         at = {g: i for i, g in enumerate(self.vocabulary)}
         x = np.zeros((len(rows), len(at)))
         for i, words in enumerate(rows):
-            grams = grams_of(words)
+            grams = [g for g in grams_of(words) if g in at]
             for g in grams:
-                if g in at:
-                    x[i, at[g]] = 1 / len(grams) ** 0.5
+                x[i, at[g]] = 1 / len(grams) ** 0.5
         return x
 
 
 def scan(docs: DataFrame, overlap: float = 0.6, documents: int = 600, paragraphs: int = 2_000) -> DataFrame:
     """Rows (doc_id, family, probability, confirmed, families, n_scored), one for each row of ``docs`` (doc_id, text).
 
-    ``family`` is that of the likeliest confirmed paragraph, else "unknown" if a paragraph reached half the probability but
-    not the limit or no template, else "none"; ``families`` are all confirmed ones, joined by commas; ``n_scored`` counts scored paragraphs.
+    ``family`` is that of the likeliest confirmed passage, else "unknown" if a passage reached half the probability but
+    not the limit or no template, else "none"; ``families`` are all confirmed ones, joined by commas; ``n_scored`` counts distinct scored passages.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = Model(_sampled(docs, documents, paragraphs))
@@ -129,12 +141,12 @@ def scan(docs: DataFrame, overlap: float = 0.6, documents: int = 600, paragraphs
     zeros = F.array(*[F.lit(0.0)] * count)
     names = _strings(model.families)
     gate = r"(?<![\p{L}\p{N}])(?:" + "|".join(model.gate) + r")(?![\p{L}\p{N}])"
-    lines = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda line: line.rlike(gate)) if model.gate else F.array().cast("array<string>")
-    step = docs.select("doc_id", F.transform(lines, lambda line: F.filter(F.split(line, _BETWEEN), lambda w: F.length(w) > 0)).alias("x"))
+    lines = _passages(F.col("text"), lambda x: x.rlike(gate)) if model.gate else F.array().cast("array<array<string>>")
+    step = docs.select("doc_id", lines.alias("x"))
     step = step.select("doc_id", F.transform("x", _grams).alias("x"))
-    step = step.select("doc_id", F.transform("x", lambda g: F.struct(F.size(g).alias("n"), F.array_intersect(g, _strings(model.vocabulary)).alias("hits"))).alias("x"))
+    step = step.select("doc_id", F.transform("x", lambda g: F.struct(F.array_intersect(g, _strings(model.vocabulary)).alias("hits"))).alias("x"))
     total = lambda x: F.aggregate(x["hits"], zeros, lambda a, g: F.zip_with(a, table[g], lambda p, q: p + q))
-    step = step.select("doc_id", F.transform("x", lambda x: F.struct(x["hits"].alias("hits"), F.transform(total(x), lambda s: 1 / (1 + F.exp(-(s / F.sqrt(x["n"]) + model.bias)))).alias("p"))).alias("x"))
+    step = step.select("doc_id", F.transform("x", lambda x: F.struct(x["hits"].alias("hits"), F.transform(total(x), lambda s: 1 / (1 + F.exp(-(s / F.sqrt(F.greatest(F.size(x["hits"]), F.lit(1))) + model.bias)))).alias("p"))).alias("x"))
     best = lambda x: F.array_max(F.transform(x["p"], lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
     step = step.select("doc_id", F.transform("x", lambda x: F.struct(x["hits"].alias("hits"), best(x).alias("best"))).alias("x"))
 
