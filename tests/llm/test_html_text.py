@@ -1,7 +1,8 @@
 import re
+import time
 from html import unescape
 
-from tidemark.llm.html_text import host_of, main_text, nested, page_texts, parse
+from tidemark.llm.html_text import _mark, _signed, host_of, main_text, nested, page_texts, parse
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,6 +38,38 @@ def test_pages_without_an_article_element(spark):
         assert rows[k].split("\n") == want
 
 
+def bare(k):
+    """A page whose names and tags say nothing; the story is told from the rest by the template alone."""
+    rest = "".join(f"<div class=q><div class=r>Offer of the week with a few words more</div><div class=s>Call us at any hour of the day</div></div>" for _ in range(2))
+    return f"<html><body><div class=a>The daily bulletin of our town and its people</div><div class=b><h1>Title {k}</h1>" + f"<p>Words of story {k} that stand nowhere else.</p>" * (1 + k % 4) + f"</div>{rest}<div class=z>Printed by the bulletin press in our town since long ago</div></body></html>"
+
+
+def test_the_template_decides_where_names_say_nothing(spark):
+    pages = [(k, f"http://b.example/{k}", bare(k)) for k in range(24)]
+    want = {k: "\n".join([f"Title {k}"] + [f"Words of story {k} that stand nowhere else."] * (1 + k % 4)) for k in range(24)}
+    for rows in (pages, pages + pages):  # repeated rows leave the classes as they are
+        got = page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+    assert all(main_text(h, {}) != want[k] for k, _, h in pages)
+
+
+def test_names_around_an_article():
+    for name in ("layout-sidebar-right", "content-with-sidebar", "page-with-nav", "form-page", "sidebar"):
+        assert main_text(f"<div class='{name}'><p>menu</p><article><h1>t</h1><p>text</p><div class=ad>x</div></article></div>", {}) == "t\ntext"
+    assert main_text("<div id=comments><article><p>reader</p></article></div><main><p>text</p></main>", {}) == "text"
+
+
+def test_a_page_of_five_megabytes():
+    item = "<li class=i><a href='/x'>link {k}</a><p>text {k} of the list with its words</p></li>"
+    page = "<html><body><main><ul>" + "".join(item.format(k=k) for k in range(70_000)) + "</ul></main></body></html>"
+    tags = sorted(set(parse(page).tags))
+    began = time.time()
+    text = main_text(page, {_signed(_mark(t)) or 1: hash(t[:3]) % 5 for t in tags})
+    assert len(page) > 5e6 and text.count("\n") >= 70_000 and time.time() - began < 60
+    deep = "<div>" * 200_000 + "<p>x</p>" + "</b></div>" * 200_000
+    assert main_text(deep, {}) == "x"
+
+
 def test_odd_pages(spark):
     odd = [(1, None, None), (None, "", ""), (2, "x", "no tags < at all &lt;"), (3, "http://a/", "<article>a<script>var x='</article>'</script> b<br>c</article><nav>n</nav>"), (3, "http://a/", "<article>" + "<p>w &nbsp; v</p>" * 20000), (4, "http://b", "<div title='unclosed><p>t</p>"), (5, "http://b", "<nav>only a menu</nav>")]
     out = page_texts(spark.createDataFrame([(*x, 1) for x in odd], "page_id long, url string, html string, text long")).collect()
@@ -54,4 +87,4 @@ def test_classes_nest():
     assert nested([(0, 1, 9), (1, 2, 9), (2, 2, 9), (3, 1, 9)]) == set()
     assert host_of("HTTPS://u@WWW.a.b:80/c?d") == "www.a.b"
     assert main_text("<p>a</p><div class='has-sidebar'><p>b</p></div><div class=sidebar>c</div>", {}) == "a\nb"
-    assert [b.text for b in parse("<p class=ad>x<p>y").blocks if not b.clutter] == ["y"]
+    assert [b.text for b in parse("<p class=ad>x<p>y").blocks if b.weight] == ["y"]

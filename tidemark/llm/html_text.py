@@ -7,9 +7,11 @@ order-free 64-bit signature; tokens of one host with equal vectors form an equiv
 tokens come in one order, again and again; valid classes are nested: a tuple of one may hold whole tuples of another, never a
 part. The gaps between template tokens are the slots.
 
-Text blocks that are template tokens themselves are no data. Of the others those stay that lie in no menu, header,
-footer, sidebar, notice, advert, form, script, style or comment section (by tag, role, class or id) and in the article or main
-element where the page has one with text; where it has none, those of the slots that hold most unlinked text.
+Text blocks that are template tokens themselves are no data. What is left of a slot (what follows a template token within a container,
+all over the page) is judged as a whole: text that lies in a menu, header, footer, sidebar, notice, advert, form, script, style or comment
+section (by tag, role, class or id) has no weight, text in an article or main element most, then text in elements named so. Slots whose
+mean weight comes near that of the best slot stay; where no slot has more than plain weight, those of them with most unlinked text or headings.
+A class or id around an article does not erase the article. On hosts with fewer than ``least_pages`` pages a slot is a container.
 
 Results for odd input: null and empty html and pages without main text give an empty text; a null or malformed url counts as one host
 without a name; repeated rows and null page ids keep a row each; an empty table gives an empty table. Other columns are ignored.
@@ -19,10 +21,12 @@ from __future__ import annotations
 
 import html as html_references
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -48,6 +52,8 @@ CLUTTER_NAMES = frozenset(
 )
 HEADER_NAMES = frozenset("header masthead topbar".split())
 COMMENT_NAMES = frozenset("comment comments reply replies respond disqus".split())
+#: Weights of text in an article or main element, in one that is named so, and elsewhere.
+MAIN, NAMED, PLAIN = 12.0, 4.0, 1.0
 CONTENT_NAMES = frozenset("article articlebody content maincontent post entry story main".split())
 
 
@@ -69,8 +75,8 @@ def host_of(url: str | None) -> str:
 class Block:
     text: str
     key: str  # of the text as a token
-    clutter: bool
-    scope: int  # 2: in article or main; 1: in an element named so
+    path: str  # of its container
+    weight: float
     linked: int  # characters in links
     tags: int  # tags of the page before it
     heading: bool
@@ -86,8 +92,8 @@ def _names(value: str) -> list[list[str]]:
     return [[x.lower() for x in _NAME_PART.findall(name)] for name in value.split()]
 
 
-def _kind(tag: str, attributes: str, scope: int) -> tuple[bool, int, str]:
-    """Whether an element is clutter by itself, its scope, and its key in paths."""
+def _kind(tag: str, attributes: str, scope: int) -> tuple[int, int, str]:
+    """Whether an element is clutter by itself (2: by its tag, role or as a comment section, 1: by another name), its scope, and its key in paths."""
     if not attributes.strip() or tag in ("html", "body", "head"):
         own = {}
     else:
@@ -96,24 +102,27 @@ def _kind(tag: str, attributes: str, scope: int) -> tuple[bool, int, str]:
     role, place = own.get("role", "").lower(), 2 if tag in ("article", "main") else 0
     if role in ("main", "article") or own.get("itemprop", "").lower() == "articlebody":
         place = 2
-    parts = {x for n in names if n and n[0] not in ("with", "has", "no", "without") for x in n}
+    parts = {x for n in names if n and not {"with", "has", "no", "without", "layout"} & set(n) for x in n}
     if not place and (parts & CONTENT_NAMES):
         place = 1
-    clutter = tag in CLUTTER_TAGS or role in CLUTTER_ROLES and not (role == "banner" and scope == 2)
-    if tag in ("article", "main"):
-        clutter = clutter or bool(parts & COMMENT_NAMES)
-    else:
-        clutter = clutter or bool(parts & CLUTTER_NAMES)
+    named = parts & CLUTTER_NAMES if tag not in ("article", "main") else set()
     if scope < 2 and place < 2:
-        clutter = clutter or tag == "header" or bool(parts & HEADER_NAMES)
-    clutter = clutter or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
-    return clutter, place, tag + "".join("." + "-".join(n) for n in sorted(names) if n)
+        named = named or tag == "header" or parts & HEADER_NAMES
+    hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
+    firm = tag in CLUTTER_TAGS or role in CLUTTER_ROLES and not (role == "banner" and scope == 2) or hidden or parts & COMMENT_NAMES
+    return 2 if firm else 1 if named else 0, place, tag + "".join("." + "-".join(n) for n in sorted(names) if n)
+
+
+def _weight(clutter: int, scope: int) -> float:
+    """Of a block's text in its slot. Clutter has none; what an article or main element holds counts most, then elements that are named so."""
+    return 0.0 if clutter else (PLAIN, NAMED, MAIN)[scope]
 
 
 def parse(html: str | None) -> Page:
     """Tags and text blocks of a page, in order; unclosed and misplaced tags are taken as browsers mostly do."""
     page, at, html = Page(), 0, html or ""
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, clutter, scope
+    stack: list[tuple[str, str, int, int]] = [("", "", 0, 0)]  # tag, path, clutter, scope
+    open_tags: Counter[str] = Counter()
     runs: list[str] = []
     links = linked = 0
     heading = False
@@ -123,7 +132,7 @@ def parse(html: str | None) -> Page:
         text = " ".join(html_references.unescape("".join(runs)).split()) if runs else ""
         if text:
             _, path, clutter, scope = stack[-1]
-            page.blocks.append(Block(text, f"T{path}|{text}", clutter, scope, linked, len(page.tags), heading))
+            page.blocks.append(Block(text, f"T{path}|{text}", path, _weight(clutter, scope), linked, len(page.tags), heading))
         runs.clear()
         linked = 0
 
@@ -147,14 +156,15 @@ def parse(html: str | None) -> Page:
         if tag in BLOCKS:
             close()
             if not ends and stack[-1][0] == "p":
-                stack.pop()
+                open_tags[stack.pop()[0]] -= 1
         if tag[0] == "h" and tag[1:].isdigit():
             heading = not ends
         if ends:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
+            if open_tags[tag]:
                 close()
-                del stack[depth:]
+                while stack[-1][0] != tag:
+                    open_tags[stack.pop()[0]] -= 1
+                open_tags[stack.pop()[0]] -= 1
             page.tags.append(f"E{stack[-1][1]}|{tag}")
             continue
         _, path, clutter, scope = stack[-1]
@@ -163,7 +173,10 @@ def parse(html: str | None) -> Page:
         if tag not in VOID and not attributes.rstrip().endswith("/") and (tag in CONTAINERS or own):
             if own and tag not in BLOCKS:
                 close()
-            stack.append((tag, f"{path}/{key}", clutter or own, max(scope, place)))
+            # a name around an article says nothing of the article; within it names count again
+            around = 0 if place == 2 and scope < 2 and clutter == 1 else clutter
+            stack.append((tag, f"{_mark(f'{path}/{key}'):x}", max(around, own), max(scope, place)))
+            open_tags[tag] += 1
     close()
     return page
 
@@ -194,16 +207,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 v = have.setdefault((site, token), [text, 0, 0, 0])
                 v[1] += 1
                 v[2] += n
-                v[3] ^= marks[n]
+                v[3] = _signed(v[3] + marks[n])
         if len(have) > 200_000:
             yield out()
     yield out()
 
 
+def _wrapped_sum(column: str):
+    """Sum modulo 2^64 of signed 64-bit numbers, in halves that cannot overflow; repeated pages add up."""
+    low = F.sum(F.col(column).bitwiseAND(F.lit((1 << 32) - 1)))
+    high = F.sum(F.shiftright(column, 32))
+    return F.shiftleft((high + F.shiftright(low, 32)).bitwiseAND(F.lit((1 << 32) - 1)), 32).bitwiseOR(low.bitwiseAND(F.lit((1 << 32) - 1)))
+
+
 def templates(pages: DataFrame, least_tokens: int = 3, least_pages: int = 5, text_pages: int = 10) -> DataFrame:
     """(site, tokens, classes): the template tokens of each host with the number of their class; constant texts need ``text_pages`` pages."""
     vectors = pages.select("page_id", "url", "html").mapInArrow(_counted, "site long, token long, text int, n long, c long, x long")
-    vectors = vectors.groupBy("site", "token").agg(F.max("text").alias("text"), F.sum("n").alias("n"), F.sum("c").alias("c"), F.bit_xor("x").alias("x"))
+    vectors = vectors.groupBy("site", "token").agg(F.max("text").alias("text"), F.sum("n").alias("n"), F.sum("c").alias("c"), _wrapped_sum("x").alias("x"))
     vectors = written(vectors.where(F.col("n") >= least_pages))
     sites = vectors.where("token = 0").select("site", F.col("n").alias("pages"))
     often = vectors.where((F.col("token") != 0) & ((F.col("text") == 0) | (F.col("n") >= text_pages))).join(sites, "site").where(2 * F.col("n") >= F.col("pages"))
@@ -214,33 +234,43 @@ def templates(pages: DataFrame, least_tokens: int = 3, least_pages: int = 5, tex
 
 
 def nested(seen: list[tuple[int, int, int]]) -> set[int]:
-    """Classes that are valid on a page and nest, from its template tokens (position, token, class)."""
+    """Classes that are valid on a page and nest, from its template tokens (position, token, class).
+
+    Tuples that are kept nest, so each position has one innermost tuple around it; another class nests with them if both ends of
+    each of its tuples have the same one.
+    """
     by: dict[int, list[tuple[int, int]]] = {}
-    for at, token, cls in seen:
+    for at, (_, token, cls) in enumerate(seen):
         by.setdefault(cls, []).append((at, token))
-    spans: dict[int, list[tuple[int, int]]] = {}
+    spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for cls, rows in by.items():
         order = [t for _, t in rows]
         k = len(set(order))
         if len(order) % k == 0 and order == order[:k] * (len(order) // k):
-            spans[cls] = [(rows[i][0], rows[i + k - 1][0]) for i in range(0, len(rows), k)]
+            places = np.array([at for at, _ in rows])
+            spans[cls] = places[::k], places[k - 1 :: k]
+    inner, names = np.zeros(len(seen), np.int64), 1
     kept: set[int] = set()
-    for cls in sorted(spans, key=lambda c: (len(spans[c]), -len(by[c]), c)):
-        whole = True
-        for other in kept:
-            starts, ends = [a for a, _ in spans[other]], [b for _, b in spans[other]]
-            for a, b in spans[cls]:
-                inside = [a < s and e < b for s, e in zip(starts, ends, strict=True)]
-                apart = [e < a or b < s for s, e in zip(starts, ends, strict=True)]
-                around = [s < a and b < e for s, e in zip(starts, ends, strict=True)]
-                whole = whole and all(x or y or z for x, y, z in zip(inside, apart, around, strict=True))
-        if whole:
-            kept.add(cls)
+    for cls in sorted(spans, key=lambda c: (len(spans[c][0]), -len(by[c]), c)):
+        start, end = spans[cls]
+        if (inner[start] != inner[end]).any():
+            continue
+        kept.add(cls)
+        size = end - start + 1
+        of = np.repeat(np.arange(len(start)), size)
+        place = np.arange(len(of)) + np.repeat(start - np.cumsum(size) + size, size)
+        own = inner[place] == inner[start][of]
+        inner[place[own]] = names + of[own]
+        names += len(start)
     return kept
 
 
 def main_text(html: str | None, template: dict[int, int]) -> str:
-    """The text of a page, given the classes of its host's template tokens."""
+    """The text of a page, given the classes of its host's template tokens.
+
+    A slot is what follows a template token within one container, wherever that stands on the page again. It is worth the mean weight
+    of its text, and is kept if that comes near the best slot's; where no slot stands out, those with most unlinked text and with headings are kept.
+    """
     page = parse(html)
     if not page.blocks:
         return ""
@@ -250,25 +280,30 @@ def main_text(html: str | None, template: dict[int, int]) -> str:
     for i in range(len(page.tags) + 1 if template else 0):
         while block < len(page.blocks) and page.blocks[block].tags == i:
             if keys[block] in template:
-                seen.append((2 * len(seen), keys[block], template[keys[block]]))
+                seen.append((len(seen), keys[block], template[keys[block]]))
             block += 1
         if i < len(page.tags) and (t := tags[page.tags[i]]) in template:
-            seen.append((2 * len(seen), t, template[t]))
+            seen.append((len(seen), t, template[t]))
     valid = nested(seen) if seen else set()
     used = {t for _, t, c in seen if c in valid}
-    data = [b for b in page.blocks if not b.clutter]
+    data = [b for b in page.blocks if b.weight]
     left = [b for b in data if not used or (_signed(_mark(b.key)) or 1) not in used] or data
-    for scope in (2, 1):
-        if any(b.scope >= scope for b in left):
-            return "\n".join(b.text for b in left if b.scope >= scope)
-    slots: dict[int, list[Block]] = {}
     marks = [i + 1 for i, t in enumerate(page.tags) if tags.get(t) in used]
+    slots: dict[tuple[str, str], list[Block]] = {}
+    of = []
     for b in left:
-        slots.setdefault(max((i for i in marks if i <= b.tags), default=0), []).append(b)
+        k = bisect_right(marks, b.tags)
+        of.append((page.tags[marks[k - 1] - 1] if k else "", b.path))
+        slots.setdefault(of[-1], []).append(b)
+    size = {s: sum(len(b.text) for b in bs) for s, bs in slots.items()}
     plain = {s: sum(max(0, len(b.text) - b.linked) for b in bs) for s, bs in slots.items()}
-    most = max(plain.values(), default=0)
-    good = {s for s, bs in slots.items() if 3 * plain[s] >= 2 * sum(len(b.text) for b in bs) and (5 * plain[s] >= most or any(b.heading for b in bs))}
-    return "\n".join(b.text for b in left if max((i for i in marks if i <= b.tags), default=0) in good)
+    worth = {s: sum(b.weight * len(b.text) for b in bs) / size[s] for s, bs in slots.items()}
+    best = max(worth.values(), default=0)
+    good = {s for s in slots if worth[s] >= 0.5 * best}
+    if best == PLAIN:
+        most = max((plain[s] for s in good), default=0)
+        good = {s for s in good if 3 * plain[s] >= 2 * size[s] and (5 * plain[s] >= most or any(b.heading for b in slots[s]))}
+    return "\n".join(b.text for b, s in zip(left, of, strict=True) if s in good)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
