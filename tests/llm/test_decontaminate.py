@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 
-from tidemark.llm.decontaminate import Index, leaks, question_answer, trigrams, without_leaks, words_of
+from tidemark.llm.decontaminate import Index, _matches, leaks, question_answer, trigrams, without_leaks, words_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,9 +55,39 @@ def test_odd_rows(spark):
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
 
 
-def test_bounds_hold():
-    texts = [(i, " ".join(f"w{(i * k) % 37}" for k in range(3, 25))) for i in range(60)]
+def test_search_gives_all_items_at_the_threshold(monkeypatch):
+    """Pivots and block bounds lose no item: the scores of all pairs, at several thresholds and in small runs."""
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 25) % 300)) for i in range(150)]
     df = Counter(w for _, t in texts for w in set(t.split()))
-    index = Index(texts, df, 60, 22.0)
-    for ks, xs, bound in zip(index.items, index.impacts, index.bounds):
-        assert all(bound[k // 8] >= x for k, x in zip(ks, xs))
+    index = Index(texts, df, 150, 25.0)
+    passages = [sorted({index.terms[w] for w in f"{texts[k][1]} {texts[-k][1]}".split()}) for k in range(40)]
+    p, t = np.repeat(np.arange(40), [len(x) for x in passages]), np.concatenate(passages)
+    term = np.repeat(index.keys // index.blocks, np.diff(index.first))
+    for threshold in (0.2, 0.5, 0.9):
+        want = {}
+        for k, terms in enumerate(passages):
+            score = np.bincount(index.item[np.isin(term, terms)], index.impact[np.isin(term, terms)], 150)
+            want |= {(k, int(i)): round(float(score[i]), 9) for i in np.flatnonzero(score >= threshold - 1e-9)}
+        for rows in (1, 64, 1 << 20):
+            monkeypatch.setattr("tidemark.llm.decontaminate.ROWS", rows)
+            got = index.search(p, t, threshold)
+            assert {(int(a), int(b)): round(float(c), 9) for a, b, c in zip(*got)} == want
+    assert len(want) >= 40
+
+
+def test_a_text_of_half_a_million_words_and_many_items():
+    """Peak memory beyond the words themselves stays small for a very long text against 5,000 items."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 40_000)) for i in range(5_000)]
+    df = Counter(w for _, t in texts for w in set(t.split()))
+    index = Index(texts, df, 5_000, 60.0)
+    words = [f"w{int(x)}" for x in rng.zipf(1.3, 500_000) % 40_000]
+    words[300_000:300_060] = texts[77][1].split()
+    tracemalloc.start()
+    found = set((d, i) for d, i, *_ in _matches(index, [(1, words)], 0.5, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (1, 77) in found and peak < 400e6
