@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+from tidemark.llm import queries, repeats
 from tidemark.llm.repeats import remove_repeats
 
 SF = "/root/testdata/sf0.01"
@@ -38,3 +39,20 @@ def test_short_windows_and_odd_rows(spark):
     left = {r.doc_id or 0: (r.text, r.key) for r in remove_repeats(docs, 4).collect()}
     assert left[4] == ("x y", "key") and left[5][0] == "" and left[7][0] == "one two three"
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_heavy_hashes_and_sql(spark, monkeypatch):
+    """A passage that most texts share, with heavy hashes from three rows on; DuckDB's SQL gives the same rows."""
+    import duckdb
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "LIGHT_ROWS", 3)
+    monkeypatch.setattr(repeats, "HEAVY", 10**9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [f"own {i} {passage} end {i % 7}" if i % 3 else " ".join(f"w{i % 20}_{k}" for k in range(50)) + f" {i}" for i in range(120)]
+    rows = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert {r.doc_id: tuple(r[1:]) for r in rows} == dict(enumerate(brute(texts)))
+    documents = pa.table({"doc_id": list(range(120)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert sorted(con.execute(queries.oracle_sql()["op8_substring_dedup"]).fetchall()) == sorted(map(tuple, rows))

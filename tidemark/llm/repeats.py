@@ -4,8 +4,12 @@ A passage is a window of ``window`` words (35). Whole windows are not compared a
 level of a quarter of the length every window is represented by its least sub-window of nine
 words, which equal windows share. Windows whose sub-window occurs elsewhere too are extended to
 the doubled length (18), and those that survive to the full length, where a window stands for
-itself. Each level reads only the windows that the one before left, and the last one is exact, so that
-nothing repeated is lost at the shorter levels and nothing that differs is removed.
+itself. Each level reads only the windows that the one before left. Equal windows have equal hashes, so
+nothing repeated is lost; at the last level windows count as equal by 128 bits of hash, so that windows that differ
+are taken for equal with a chance of some 1e-12 even among 1e13 windows.
+
+A hash that a large share of all windows has (a passage in very many texts) is met by broadcast and spread over all
+tasks: such hashes are at most ``HEAVY`` in number, as each has at least a part in ``HEAVY`` of the windows.
 
 Equal texts are one row with a count first: they are covered whole, if they reach a window. The
 texts lie compressed in a table bucketed by their digest, so levels move hashes and positions only.
@@ -27,9 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch_dir, tidy_shuffles, written
-from .words import window_hashes, word_hashes
+from .common import discard, partitions, scratch_dir, tidy_shuffles, written
+from .words import mix, window_hashes, word_hashes
 
+#: Hashes with at least this part of all rows of a level are heavy, so there are at most so many of them.
+HEAVY = 50_000
+#: Rows that a hash which is not heavy may have in any case.
+LIGHT_ROWS = 2_000
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -57,12 +66,15 @@ def _starts(words: int, window: int, ranges: np.ndarray | None) -> np.ndarray:
 
 
 def _anchors(window: int, length: int):
-    """Rows (key, packed[, ranges]) to (hash, key, at): a row for each run of candidate windows with one least sub-window."""
+    """Rows (key, packed[, ranges]) to (hash, more, key, at): a row for each run of candidate windows with one least sub-window.
+
+    ``more`` is a second hash at the full length, else 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             open_ = zstandard.ZstdDecompressor()
-            hashes, keys, ats = [], [], []
+            hashes, mores, keys, ats = [], [], [], []
             limited = "ranges" in batch.schema.names
             for i, (key, packed) in enumerate(zip(batch.column("key"), batch.column("packed"), strict=True)):
                 words = word_hashes(open_.decompress(packed.as_py()))
@@ -77,11 +89,12 @@ def _anchors(window: int, length: int):
                 new = np.flatnonzero(np.concatenate(([True], (np.diff(least) != 0) | (np.diff(start) != 1))))
                 last = np.concatenate((new[1:], [len(start)])) - 1
                 hashes.append(sub[least[new]].view(np.int64))
+                mores.append(window_hashes(mix(words ^ _OTHER), length)[least[new]].view(np.int64) if length == window else np.zeros(len(new), np.int64))
                 ats.append((start[new] << 6) | (start[last] - start[new]))
                 keys.append((key.as_py(), len(new)))
             if hashes:
                 which = np.repeat(np.arange(len(keys)), [n for _, n in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array([k for k, _ in keys], pa.binary()).take(pa.array(which)), pa.array(np.concatenate(ats))], ["hash", "key", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(mores)), pa.array([k for k, _ in keys], pa.binary()).take(pa.array(which)), pa.array(np.concatenate(ats))], ["hash", "more", "key", "at"])
 
     return run
 
@@ -113,6 +126,17 @@ def _cut(window: int):
     return run
 
 
+def _met(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """The ``rows`` (hash, more, key, at) whose hashes are in ``again`` (hash, more, n); rows of heavy hashes stay where they are."""
+    total = again.agg(F.sum("n")).first()[0] or 0
+    least = max(LIGHT_ROWS, -(-total // HEAVY))
+    heavy = again.where(F.col("n") >= least).select("hash", "more", F.lit(True).alias("heavy"))
+    marked = rows.join(F.broadcast(heavy), ["hash", "more"], "left")
+    dealt = F.when(F.col("heavy"), F.xxhash64("key", "at")).otherwise(F.col("hash"))
+    light = again.where(F.col("n") < least).select(F.col("hash").alias("dealt"), "more", F.lit(True).alias("light"))
+    return marked.withColumn("dealt", dealt).join(light, ["dealt", "more"], "left").where("heavy or light").select("key", "at")
+
+
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_sha256 (of the kept words joined by spaces), and text without its repeated windows.
 
@@ -134,9 +158,10 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     ranges = None
     for length in lengths(window):
         source = texts.select("key", "packed") if ranges is None else texts.select("key", "packed").join(ranges, "key")
-        rows = source.mapInArrow(_anchors(window, length), "hash long, key binary, at long")
-        again = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-        ranges = written(rows.join(again, "hash").groupBy("key").agg(F.collect_list("at").alias("ranges")))
+        rows = source.mapInArrow(_anchors(window, length), "hash long, more long, key binary, at long")
+        again = written(rows.groupBy("hash", "more").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        before, ranges = ranges, written(_met(rows, again).groupBy("key").agg(F.collect_list("at").alias("ranges")))
+        discard(again, *([before] if before is not None else []))
         if ranges.isEmpty():
             break
     cut = texts.join(ranges, "key", "left").select("key", "packed", "copies", "ranges").mapInArrow(_cut(window), "key binary, n_words long, n_removed long, kept_sha256 string, left string")
