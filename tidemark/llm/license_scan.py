@@ -3,7 +3,7 @@
 Sparse logistic regressions over word n-grams (one for each licence family; words and pairs of neighbouring
 words that stand in a template) are trained on the templates below, whole, in parts and among other words,
 against passages of a bounded sample of the corpus. Passages are the lines, and the overlapping word windows of the paragraphs between
-blank lines, so that a notice that is wrapped over lines stands whole in a window. Those that can hold a gram of positive weight are scored,
+blank lines, so that a notice that is wrapped over lines stands whole in a window. Those that hold a word without which no score can reach one half are scored,
 over the grams that stand in a template, however many other words the passage has; the likeliest family holds if its probability reaches a limit
 calibrated on sampled passages that the weights have not seen, else the passage is of unknown licence. A prediction is confirmed if the
 passage also holds ``overlap`` of the word pairs of one of the family's templates.
@@ -31,17 +31,25 @@ TEMPLATES = {
     "AGPL-3.0": ["This program is licensed under the GNU Affero General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."],
     "All-Rights-Reserved": ["All rights reserved.", "Copyright holder. All rights reserved. No part of this work may be reproduced without written permission.", "This material is proprietary and confidential. All rights reserved."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This software is released under the Apache 2.0 license."],
+    "Artistic-2.0": ["Licensed under the Artistic License 2.0.", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License version 2.0."],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Licensed under the BSD license."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under CC BY 4.0."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released under CC0 1.0 Universal.", "This work is dedicated to the public domain."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "You can redistribute it and/or modify it under the terms of the GNU General Public License version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "You can redistribute it and/or modify it under the terms of the GNU General Public License version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License."],
     "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
+    "Zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Licensed under the zlib License."],
+    "unknown": ["Licensed under the terms of the license.", "This work is licensed under its own license.", "See the license file for the license terms.", "Released under the terms of the following license."],
 }
+#: The family of notices that name a licence but none of the above; it is never confirmed.
+UNKNOWN = "unknown"
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -84,12 +92,16 @@ def _sampled(docs: DataFrame, documents: int, paragraphs: int) -> list[list[str]
 
 
 class Model:
-    """Weights of the template grams by family, bias, limit, and word pairs of the templates."""
+    """Weights of the template grams by family, bias, limit, and word pairs of the templates.
 
-    def __init__(self, plain: list[list[str]], steps: int = 400, rate: float = 0.5, sparse: float = 2e-4):
+    Grams that stand in more than a share of ``usual`` of the plain passages say nothing of a licence and are left out.
+    """
+
+    def __init__(self, plain: list[list[str]], steps: int = 400, rate: float = 0.5, sparse: float = 2e-4, usual: float = 0.01):
         self.families = sorted(TEMPLATES)
         self.templates = [(k, _WORD.findall(t.lower())) for k, family in enumerate(self.families) for t in TEMPLATES[family]]
-        self.vocabulary = sorted({g for _, words in self.templates for g in grams_of(words)})
+        common = Counter(g for words in plain for g in grams_of(words))
+        self.vocabulary = sorted({g for _, words in self.templates for g in grams_of(words) if common[g] <= usual * len(plain)})
         fit, held = plain[::2], plain[1::2]
         rows, goal = [], []
         for i, (k, words) in enumerate(self.templates):
@@ -98,6 +110,15 @@ class Model:
             for some in (words, words, words[: -(-n * 3 // 4)], words[n // 4 :], near[: n // 2] + words + near[n // 2 : n], words + near[:n], (near[:STEP] + words + near[STEP:])[: 2 * STEP]):
                 rows.append(some)
                 goal.append(k)
+        # a notice without the words that only one family's notices have is one of an unknown licence
+        of_word: dict[str, set[int]] = {}
+        for k, words in self.templates:
+            for w in words:
+                of_word.setdefault(w, set()).add(k)
+        for k, words in self.templates:
+            if {"license", "licensed"} & set(words):
+                rows.append([w if len(of_word[w]) > 1 else "" for w in words])
+                goal.append(self.families.index(UNKNOWN))
         rows += fit
         goal += [-1] * len(fit)
         x, y = self._matrix(rows), np.array(goal)[:, None] == np.arange(len(self.families))
@@ -113,10 +134,25 @@ class Model:
         self.bias = -2.0
         worst = max((float((1 / (1 + np.exp(2.0 - self._matrix(held[k : k + 500]) @ self.weights))).max()) for k in range(0, len(held), 500)), default=0.0)
         self.limit = min(0.9, max(0.5, worst + 0.02))
-        common = Counter(w for words in plain for w in set(words))
         positive = [g for g, row in zip(self.vocabulary, self.weights, strict=True) if row.max() > 0]
-        #: Every gram of positive weight holds one of these words, so a paragraph without them cannot pass one half.
-        self.gate = sorted({min(g.split(), key=lambda w: (common[w], -len(w), w)) for g in positive})
+        #: A passage without any of these words cannot pass one half: see ``reach``.
+        self.gate = sorted({w for g in positive for w in g.split()})
+        for word in sorted(self.gate, key=lambda w: (-common[w], len(w), w)):  # the commonest go first
+            fewer = [w for w in self.gate if w != word]
+            if self.reach(fewer) < -self.bias - 1e-6:
+                self.gate = fewer
+
+    def reach(self, gate: list[str]) -> float:
+        """The highest score of any family that a passage without the words of ``gate`` can get.
+
+        The score is the sum of the weights of the grams that stand in a template over the root of their number, so
+        it is highest for some of the grams of largest weight.
+        """
+        free = [i for i, g in enumerate(self.vocabulary) if not set(g.split()) & set(gate)]
+        if not free:
+            return 0.0
+        best = -np.sort(-self.weights[free], axis=0)
+        return float((np.cumsum(best, axis=0) / np.sqrt(np.arange(1, len(free) + 1))[:, None]).max())
 
     def _matrix(self, rows: list[list[str]]) -> np.ndarray:
         at = {g: i for i, g in enumerate(self.vocabulary)}
@@ -136,12 +172,13 @@ def scan(docs: DataFrame, overlap: float = 0.6, documents: int = 600, paragraphs
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = Model(_sampled(docs, documents, paragraphs))
-    count = len(model.families)
+    count, known = len(model.families), set(model.vocabulary)
     table = F.from_json(F.lit(json.dumps({g: list(row) for g, row in zip(model.vocabulary, model.weights.tolist(), strict=True)})), "map<string,array<double>>")
     zeros = F.array(*[F.lit(0.0)] * count)
     names = _strings(model.families)
     gate = r"(?<![\p{L}\p{N}])(?:" + "|".join(model.gate) + r")(?![\p{L}\p{N}])"
-    lines = _passages(F.col("text"), lambda x: x.rlike(gate)) if model.gate else F.array().cast("array<array<string>>")
+    held = F.when(F.lower("text").rlike(gate), F.col("text"))
+    lines = _passages(held, lambda x: x.rlike(gate)) if model.gate else F.array().cast("array<array<string>>")
     step = docs.select("doc_id", lines.alias("x"))
     step = step.select("doc_id", F.transform("x", _grams).alias("x"))
     step = step.select("doc_id", F.transform("x", lambda g: F.struct(F.array_intersect(g, _strings(model.vocabulary)).alias("hits"))).alias("x"))
@@ -153,7 +190,9 @@ def scan(docs: DataFrame, overlap: float = 0.6, documents: int = 600, paragraphs
     def confirmed(x: Column) -> Column:
         share = []
         for k, words in model.templates:
-            pairs = [g for g in grams_of(words) if " " in g]
+            if model.families[k] == UNKNOWN:
+                continue
+            pairs = [g for g in grams_of(words) if " " in g and g in known]
             share.append(F.when(-x["best"]["i"] == k, F.size(F.array_intersect(x["hits"], _strings(pairs))) >= overlap * len(pairs)))
         return F.coalesce(F.exists(F.array(*share), lambda s: F.coalesce(s, F.lit(False))), F.lit(False)) & (x["best"]["p"] >= model.limit)
 
