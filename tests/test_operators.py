@@ -4,11 +4,12 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import boxes as bx
 from tidemark.functions.intervals import chunk_count, intersection, iou, union
-from tidemark.functions.scalars import parse_rate, wilson
+from tidemark.functions.scalars import canonical_json, parse_rate, wilson
 from tidemark.operators import intervals as iv
 from tidemark.operators import matching as mt
 from tidemark.operators import metrics as me
@@ -53,7 +54,7 @@ def test_union_does_not_depend_on_the_stretch(spark):
 def test_threshold_merge(spark):
     kind = "k long, s long, e long, score double, id long"
     df = spark.createDataFrame([(1, 4, 8, 0.7, 0), (1, 5, 9, 0.9, 1), (2, 0, 10, 0.5, 0), (2, 8, 12, 0.6, 1)], kind)
-    assert rows(iv.fold_merge(df, ["k"], 0.5), "k", "place") == [(1, 0, 4, 9, 0.9, 2), (2, 0, 0, 10, 0.5, 1), (2, 1, 8, 12, 0.6, 1)]
+    assert rows(iv.fold_merge(df, ["k"], 0.5), "k", "place") == [(1, 0, 4, 9, 0.9, 2, [0, 1]), (2, 0, 0, 10, 0.5, 1, [0]), (2, 1, 8, 12, 0.6, 1, [1])]
 
 
 def test_frames_masks_and_votes(spark):
@@ -146,6 +147,55 @@ def test_knapsack_against_all_subsets():
         assert sum(v[chosen]) == best
 
 
+def test_numbering_and_quantiles_in_buckets(spark):
+    rng = np.random.default_rng(4)
+    data = [(int(k), int(v)) for k, v in zip(rng.integers(0, 3, 500), rng.zipf(1.6, 500) % 1000)] + [(None, 5), (None, 3)]
+    df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(data)], "k long, v long, i long")
+    got = se.numbered(df, ["k"], ["v", "i"], F.shiftright("v", 4), "place", "n").collect()
+    for key in (0, 1, 2, None):
+        mine = sorted((r.v, r.i, r.place, r.n) for r in got if r.k == key)
+        assert [x[2] for x in mine] == list(range(1, len(mine) + 1)) and {x[3] for x in mine} == {len(mine)}
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
+    known = df.where("k is not null")
+    for row in me.quantiles(known, ["k"], "v", shares, buckets=7).collect():
+        values = np.array([v for k, v in data if k == row.k], float)
+        assert [round(row[x], 9) for x in shares] == [round(float(np.quantile(values, q)), 9) for q in shares.values()]
+    for row in me.quantiles(known, ["k"], "v", shares, between=False).collect():
+        values = sorted(v for k, v in data if k == row.k)
+        assert [row[x] for x in shares] == [values[min(int(q * len(values)), len(values) - 1)] for q in shares.values()]
+
+
+def test_best_placements_against_all_offsets(spark):
+    rng = np.random.default_rng(7)
+    cases = []
+    for _ in range(500):
+        extent = int(rng.integers(5, 60))
+        crop, start = int(rng.integers(1, extent + 1)), float(rng.integers(0, 4 * extent - 3)) / 4
+        cases.append((extent, crop, start, min(float(extent), start + float(rng.integers(1, 80)) / 4)))
+    df = spark.createDataFrame(cases, "f long, c long, a double, b double")
+    out = df.select("*", *[x.alias(n) for x, n in zip(bx.best_placements(*(F.col(x) for x in "fcab")), ("low", "high", "most"))]).collect()
+    for r in out:
+        over = [max(0.0, min(q + r.c, r.b) - max(q, r.a)) for q in range(r.f - r.c + 1)]
+        best = [q for q, x in enumerate(over) if x == max(over)]
+        assert (r.low, r.high, r.most) == (best[0], best[-1], max(over)), r
+
+
+def test_canonical_json(spark):
+    df = spark.createDataFrame([(1, -0.0, "a\"b", None), (2, 1.5, "é", True)], "i long, d double, s string, b boolean")
+    got = [r[0] for r in df.orderBy("i").select(canonical_json(s=F.col("s"), d=F.col("d"), i=F.col("i"), b=F.col("b"))).collect()]
+    assert got == ['{"b":null,"d":0.0,"i":1,"s":"a\\"b"}', '{"b":true,"d":1.5,"i":2,"s":"é"}']
+    with pytest.raises(Exception, match="not a JSON number"):
+        spark.createDataFrame([(float("nan"),)], "d double").select(canonical_json(d=F.col("d"))).collect()
+
+
+def test_reader_follows_locators(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.jsonl").write_text('{"f": 1}\n{"f": 2}\n')
+    (tmp_path / "y.jsonl").write_text('{"f": 3}\n')
+    records = spark.createDataFrame([("v", "a/x.jsonl"), ("w", "y.jsonl"), ("z", "gone.jsonl")], "id string, at string")
+    assert rows(rec.followed(spark, records, "at", str(tmp_path), "f long").select("id", "f"), "id", "f") == [("v", 1), ("v", 2), ("w", 3), ("z", None)]
+
+
 def test_change_points_against_plain_search():
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(c, 0.05, (5, 3)) for c in (0, 4, -3)])

@@ -80,3 +80,42 @@ def focus_window(b: Box, margin: float) -> Box:
 
 def stratum(offset: Column, near: float, strong: float) -> Column:
     return F.when(offset < near, "near_center").when(offset < strong, "off_center").otherwise("strongly_off_center")
+
+
+def containing_placements(extent: Column, crop: Column, point: Column) -> tuple[Column, Column]:
+    """Least and greatest whole offset at which a half-open crop lies in the frame and holds the point."""
+    return F.greatest(F.floor(point - crop) + 1, F.lit(0)).cast("bigint"), F.least(F.floor(extent - crop), F.floor(point)).cast("bigint")
+
+
+def best_placements(extent: Column, crop: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
+    """Least and greatest whole offset at which the crop overlaps [start, end) most, and that overlap; all offsets where none overlaps.
+
+    The overlap grows, stays and falls with the offset: its plateau is clipped to the frame, and where the plateau holds
+    no whole number one of its two neighbours is best.
+    """
+    legal = F.floor(extent - crop)
+    overlap = lambda q: F.greatest(F.least(q + crop, end) - F.greatest(q.cast("double"), start), F.lit(0.0))
+    hold = lambda q: F.least(F.greatest(q, F.lit(0)), legal)
+    low, high = F.least(end - crop, start), F.greatest(end - crop, start)
+    low, high = F.when(low > legal, legal).otherwise(F.greatest(low, F.lit(0.0))), F.when(low > legal, legal).otherwise(F.least(high, legal.cast("double")))
+    first, last = F.ceil(low), F.floor(high)
+    a, b = hold(F.floor(low)), hold(F.ceil(high))
+    most = F.when(first <= last, overlap(first)).otherwise(F.greatest(overlap(a), overlap(b)))
+    least = F.when(most == 0, F.lit(0)).when(first <= last, first).when(overlap(a) >= overlap(b), a).otherwise(b)
+    top = F.when(most == 0, legal).when(first <= last, last).when(overlap(b) >= overlap(a), b).otherwise(a)
+    return least.cast("bigint"), top.cast("bigint"), most
+
+
+def canonical_center(x: Column, y: Column, w: Column, h: Column) -> tuple[Column, Column]:
+    """The centre from which ``crop_at`` gives this placement again."""
+    return x + w / 2, y + h / 2
+
+
+def crop_shift(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> tuple[Column, Column]:
+    """Distance of the crop's centre from the frame's, in shares of the frame."""
+    return F.abs(x + w / 2 - width / 2) / width, F.abs(y + h / 2 - height / 2) / height
+
+
+def context_retention(b: Box) -> Column:
+    """Share of the frame that a focus window keeps."""
+    return F.greatest(b[2] - b[0], F.lit(0.0)) * F.greatest(b[3] - b[1], F.lit(0.0))

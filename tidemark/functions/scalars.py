@@ -16,12 +16,6 @@ def tie_hash(*parts: Column) -> Column:
     return F.conv(F.substring(hash_key(*parts), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def index_percentile(values: Column, q: float) -> Column:
-    """Element min(floor(q * n), n - 1) of the sorted values: no interpolation. Aggregate; n values of a group meet in one row."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, (F.least(F.floor(F.size(ordered) * q), F.size(ordered) - 1) + 1).cast("int"))
-
-
 def wilson(successes: Column, total: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Lower and upper end of the binomial interval; (0, 1) without trials."""
     n, p = total.cast("double"), successes / total
@@ -68,3 +62,30 @@ def log_loss_of_logit(z: Column, y: Column) -> Column:
 
 def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def canonical_json(**fields: Column) -> Column:
+    """JSON text with keys in order, no blanks, one form for zero; an error for NaN and infinities, which JSON has not. Nulls stay as null."""
+
+    def text(c: Column) -> Column:
+        number = c.try_cast("double")
+        bad = number.isNotNull() & (F.isnan(number) | (F.abs(number) == float("inf"))) & (F.typeof(c).isin("double", "float"))
+        whole = F.when(F.typeof(c).isin("double", "float") & (number == 0), F.lit("0.0")).otherwise(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""))
+        return F.when(bad, F.raise_error(F.lit("not a JSON number")).cast("string")).otherwise(whole)
+
+    parts = [F.concat(F.lit(f'"{k}":'), text(c)) for k, c in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
+    """Class of the first pattern that the text holds; ``otherwise`` for none and for null."""
+    out = F.when(text.isNull(), otherwise)
+    for pattern, name in rules:
+        out = out.when(text.rlike(pattern), name)
+    return out.otherwise(otherwise)
+
+
+def read_intervals(text: Column) -> Column:
+    """'3-5; 7-9' as an array of (a, b); null ends where a part is no pair of whole numbers."""
+    part = lambda x, k: F.regexp_extract(F.trim(x), r"^(\d+)-(\d+)$", k).try_cast("int")
+    return F.transform(F.split(text, ";"), lambda x: F.struct(part(x, 1).alias("a"), part(x, 2).alias("b")))

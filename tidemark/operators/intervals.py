@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import ceil_div, first_frame, floor_div, intersection, iou, last_frame, precision_recall
+from ..functions.intervals import ceil_div, first_frame, floor_div, iou, last_frame, precision_recall
 
 
 def _islands(df: DataFrame, by: list[str], *extra: str) -> DataFrame:
@@ -61,15 +61,14 @@ def interval_metrics(pred: DataFrame, ref: DataFrame, by: list[str], width: int,
     References not longer than ``least`` are left out and counted. Keys of either side appear; a side that is
     missing is empty, and where both are empty all four are 1.
     """
-    long = ref.where(F.col("e") - F.col("s") > least)
-    short = ref.where(F.col("e") - F.col("s") <= least).groupBy(*by).agg(F.count(F.lit(1)).alias("excluded"))
-    a, b = coalesce(pred, by, width), coalesce(long, by, width)
-    both = overlaps(a.drop("n"), b.drop("n"), by, width).groupBy(*by).agg(F.sum(intersection(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).alias("both"))
-    keys = pred.select(*by).unionByName(ref.select(*by)).distinct()
-    out = keys
-    for side in (both, a.groupBy(*by).agg(F.sum(F.col("e") - F.col("s")).alias("predicted")), b.groupBy(*by).agg(F.sum(F.col("e") - F.col("s")).alias("reference")), short):
-        out = out.join(side, by, "left")
-    out = out.na.fill(0, ["both", "predicted", "reference", "excluded"])
+    # the unions of each side and of both sides come out of one pass; what both have is what the sides have beyond their union
+    sides = pred.select(*by, "s", "e", F.lit(0).alias("side")).unionByName(ref.where(F.col("e") - F.col("s") > least).select(*by, "s", "e", F.lit(1).alias("side")))
+    unions = coalesce(sides.withColumn("side", F.explode(F.array("side", F.lit(2)))), [*by, "side"], width)
+    total = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("e") - F.col("s"))), F.lit(0))
+    sums = unions.groupBy(*by).agg(total(0).alias("predicted"), total(1).alias("reference"), (total(0) + total(1) - total(2)).alias("both"))
+    short = (F.col("e") - F.col("s") <= least).cast("int")
+    keys = pred.select(*by, F.lit(0).alias("x")).unionByName(ref.select(*by, short.alias("x"))).groupBy(*by).agg(F.sum("x").alias("excluded"))
+    out = keys.join(sums, by, "left").na.fill(0, ["both", "predicted", "reference"])
     p, r, f, u = precision_recall(F.col("both"), F.col("predicted"), F.col("reference"))
     return out.select(*by, "predicted", "reference", "both", "excluded", p.alias("precision"), r.alias("recall"), f.alias("f1"), u.alias("tiou"))
 
@@ -115,15 +114,16 @@ def tumbling_bins(df: DataFrame, duration: str, width: int) -> DataFrame:
 def fold_merge(df: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """Merge in order (start, end, score desc, id): an interval joins the last merged one where their IoU reaches ``threshold``.
 
-    Order-dependent, so one fold per key: what a key holds must fit a task, as for one video. Rows (by, place, s, e, score, n).
+    Order-dependent, so one fold per key: what a key holds must fit a task, as for one video.
+    Rows (by, place, s, e, score, n, ids), the ids being those of the intervals joined, in order.
     """
     rows = F.array_sort(F.collect_list(F.struct("s", "e", (-F.col("score")).alias("minus"), "id")))
-    state = "array<struct<s:bigint,e:bigint,score:double,n:bigint>>"
+    state = "array<struct<s:bigint,e:bigint,score:double,n:bigint,ids:array<bigint>>>"
 
     def step(acc, x):
         last = F.element_at(acc, -1)
-        joined = F.struct(F.least(last["s"], x["s"]).alias("s"), F.greatest(last["e"], x["e"]).alias("e"), F.greatest(last["score"], -x["minus"]).alias("score"), (last["n"] + 1).alias("n"))
-        own = F.struct(x["s"].alias("s"), x["e"].alias("e"), (-x["minus"]).alias("score"), F.lit(1).cast("bigint").alias("n"))
+        joined = F.struct(F.least(last["s"], x["s"]).alias("s"), F.greatest(last["e"], x["e"]).alias("e"), F.greatest(last["score"], -x["minus"]).alias("score"), (last["n"] + 1).alias("n"), F.concat(last["ids"], F.array(x["id"])).alias("ids"))
+        own = F.struct(x["s"].alias("s"), x["e"].alias("e"), (-x["minus"]).alias("score"), F.lit(1).cast("bigint").alias("n"), F.array(x["id"]).alias("ids"))
         near = (F.size(acc) > 0) & (iou(last["s"], last["e"], x["s"], x["e"]) >= threshold)
         return F.when(F.coalesce(near, F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(own))).cast(state)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import corners, iou
@@ -71,11 +71,10 @@ def integrity(expected: DataFrame, produced: DataFrame, keys: list[str]) -> Data
 
 def contenders(boxes: DataFrame, key: str, gap: float, far: float) -> DataFrame:
     """Per key: boxes other than the best (score, area, then least ordinal) within ``gap`` of its score and with an IoU below ``far``."""
-    best = boxes.groupBy(key).agg(F.max(F.struct("score", (F.col("w") * F.col("h")).alias("a"), (-F.col("ordinal")).alias("o"), "x", "y", "w", "h")).alias("b"))
-    both = boxes.join(best, key).where(F.col("ordinal") != -F.col("b.o"))
-    near = (F.col("b.score") - F.col("score") <= gap) & (iou(corners(*(F.col(c) for c in "xywh")), corners(*(F.col(f"b.{c}") for c in "xywh"))) < far)
-    out = both.groupBy(key).agg(F.count_if(near).alias("n"))
-    return best.select(key, (-F.col("b.o")).alias("best")).join(out, key, "left").select(key, "best", F.coalesce("n", F.lit(0)).cast("bigint").alias("contenders"))
+    best = F.max(F.struct("score", (F.col("w") * F.col("h")).alias("a"), (-F.col("ordinal")).alias("o"), "x", "y", "w", "h")).over(Window.partitionBy(key))
+    both = boxes.withColumn("b", best)
+    near = (F.col("ordinal") != -F.col("b.o")) & (F.col("b.score") - F.col("score") <= gap) & (iou(corners(*(F.col(c) for c in "xywh")), corners(*(F.col(f"b.{c}") for c in "xywh"))) < far)
+    return both.groupBy(key).agg(F.first(-F.col("b.o")).alias("best"), F.count_if(near).alias("contenders"))
 
 
 def unpivot(df: DataFrame, columns: list[str], name: str = "key") -> DataFrame:

@@ -115,14 +115,33 @@ def fleiss(df: DataFrame, by: list[str], yes: str, raters: int) -> DataFrame:
     return out.select(*by, "items", "unanimous", "pairwise", F.when(chance < 1, (F.col("pairwise") - chance) / (1 - chance)).alias("kappa"))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], between: bool = True, buckets: int = 1024) -> DataFrame:
+    """Exact quantiles of each key as columns named by ``shares``: between neighbours by place, or the element min(floor(q * n), n - 1).
+
+    Rows are counted by distinct value; counts are run over buckets of equal width, then within them, so no task sees a whole key.
+    """
+    groups = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    ends = groups.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_rows"))
+    groups = groups.join(ends, by) if by else groups.crossJoin(F.broadcast(ends))  # one row
+    bucket = F.coalesce(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)) * buckets), F.lit(0))
+    run = prefix_sums(groups, by, value, ["_c"], bucket)
+    first = F.col("_rows") - F.col("c__c")
+    at = lambda place: F.max(F.when((first <= place) & (place < first + F.col("_c")), F.col(value)))
+    out = []
+    for name, q in shares.items():
+        place = (F.col("_rows") - 1) * F.lit(q) if between else F.least(F.floor(F.col("_rows") * F.lit(q)), F.col("_rows") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return run.groupBy(*by).agg(*out)
+
+
 def field_stats(df: DataFrame, fields: list[str], places: int = 6) -> DataFrame:
     """A row for each field: rows, missing, min, mean, population deviation, median, 95th percentile and distinct rounded values."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in fields])).alias("x")).select("x.*")
     long = long.withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    return long.groupBy("field").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("v").isNull()).alias("missing"), F.min("v").alias("low"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"),
-        F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.95).alias("p95"), F.countDistinct(F.round("v", places)).alias("distinct"), F.max("v").alias("high"),
-    )
+    plain = long.groupBy("field").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("v").isNull()).alias("missing"), F.min("v").alias("low"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.max("v").alias("high"))
+    distinct = long.select("field", F.round("v", places).alias("v")).distinct().groupBy("field").agg(F.count("v").alias("distinct"))
+    return plain.join(distinct, "field").join(quantiles(long, ["field"], "v", {"median": 0.5, "p95": 0.95}), "field", "left")
 
 
 def effect_size(df: DataFrame, by: list[str], value: str, positive: Column) -> DataFrame:

@@ -13,15 +13,29 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_key
 
 
-def hash_order(df: DataFrame, by: list[str], *key: Column, name: str = "place") -> DataFrame:
-    """Numbers the rows of each stratum in the order of their hash keys, from 1."""
-    return df.withColumn("_h", hash_key(*key)).withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("_h"))).drop("_h")
+def numbered(df: DataFrame, by: list[str], order: list[str], bucket: Column, name: str = "place", count: str | None = None) -> DataFrame:
+    """Numbers the rows of each key by ``order`` from 1, without a task that sees a whole key; ``count`` names a column of the key's rows.
+
+    ``bucket`` must rise with ``order``: rows are numbered within a bucket of their key, after the rows of the buckets before it.
+    """
+    df = df.withColumn("_b", bucket)
+    every = Window.partitionBy(*by)
+    sizes = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(c).alias(f"_{c}_") for c in [*by, "_b"]], before.alias("_before"), F.sum("_n").over(every).alias("_of"))
+    own = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)))
+    both = own.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in [*by, "_b"]])
+    return both.select(*df.drop("_b").columns, (F.col("_i") + F.col("_before")).alias(name), *([F.col("_of").alias(count)] if count else []))
+
+
+def hash_order(df: DataFrame, by: list[str], *key: Column, name: str = "place", count: str | None = None) -> DataFrame:
+    """Numbers the rows of each stratum in the order of their hash keys, from 1; 4,096 buckets of keys share the work of a stratum."""
+    return numbered(df.withColumn("_h", hash_key(*key)), by, ["_h"], F.substring("_h", 1, 3), name, count).drop("_h")
 
 
 def hash_split(df: DataFrame, by: list[str], *key: Column, parts: tuple[tuple[str, int], ...] = (("TRAIN", 70), ("CALIBRATION", 15), ("VALIDATION", 15))) -> DataFrame:
     """Exact split of each stratum in hash order: the last part takes what the floors of the others leave to the first."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    out = hash_order(df, by, *key).withColumn("_n", n)
+    out = hash_order(df, by, *key, count="_n")
     small = [F.floor(F.col("_n") * p / 100) for _, p in parts[1:]]
     first = F.col("_n") - sum(small[1:], small[0])
     ends, label = first, F.when(F.col("place") <= first, parts[0][0])
@@ -33,7 +47,8 @@ def hash_split(df: DataFrame, by: list[str], *key: Column, parts: tuple[tuple[st
 
 def quota(df: DataFrame, by: list[str], most: int, *key: Column) -> DataFrame:
     """The first ``most`` rows of each stratum in hash order."""
-    return hash_order(df, by, *key).where(F.col("place") <= most)
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("_h"))  # Spark cuts strata to ``most`` rows before the shuffle
+    return df.withColumn("_h", hash_key(*key)).withColumn("place", first).where(F.col("place") <= most).drop("_h")
 
 
 def round_robin(df: DataFrame, by: str, order: str, limit: int) -> DataFrame:

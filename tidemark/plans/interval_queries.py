@@ -141,12 +141,12 @@ def tumbling_bins(spark, d):
 
 
 @BOOK.add(
-    f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, s, e, score, row_number() OVER (PARTITION BY user_id ORDER BY s, e, score DESC, id) AS k FROM pred WHERE s < e),
-f AS (SELECT user_id, k, 0 AS place, s, e, score, 1 AS n FROM o WHERE k = 1
- UNION ALL SELECT o.user_id, o.k, CASE WHEN j THEN f.place ELSE f.place + 1 END, CASE WHEN j THEN least(f.s, o.s) ELSE o.s END, CASE WHEN j THEN greatest(f.e, o.e) ELSE o.e END, CASE WHEN j THEN greatest(f.score, o.score) ELSE o.score END, CASE WHEN j THEN f.n + 1 ELSE 1 END
+    f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, id, s, e, score, row_number() OVER (PARTITION BY user_id ORDER BY s, e, score DESC, id) AS k FROM pred WHERE s < e),
+f AS (SELECT user_id, k, 0 AS place, s, e, score, 1 AS n, CAST(id AS VARCHAR) AS ids FROM o WHERE k = 1
+ UNION ALL SELECT o.user_id, o.k, CASE WHEN j THEN f.place ELSE f.place + 1 END, CASE WHEN j THEN least(f.s, o.s) ELSE o.s END, CASE WHEN j THEN greatest(f.e, o.e) ELSE o.e END, CASE WHEN j THEN greatest(f.score, o.score) ELSE o.score END, CASE WHEN j THEN f.n + 1 ELSE 1 END, CASE WHEN j THEN concat(f.ids, ',', o.id) ELSE CAST(o.id AS VARCHAR) END
  FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1,
  LATERAL (SELECT greatest(0, least(f.e, o.e) - greatest(f.s, o.s)) AS i) a, LATERAL (SELECT a.i / ((f.e - f.s) + (o.e - o.s) - a.i) >= 0.3 AS j) b)
-SELECT user_id, CAST(place AS BIGINT) AS place, arg_max(s, k) AS s, arg_max(e, k) AS e, round(arg_max(score, k), 6) AS score, CAST(max(n) AS BIGINT) AS n FROM f GROUP BY user_id, place"""
+SELECT user_id, CAST(place AS BIGINT) AS place, arg_max(s, k) AS s, arg_max(e, k) AS e, round(arg_max(score, k), 6) AS score, CAST(max(n) AS BIGINT) AS n, arg_max(ids, k) AS ids FROM f GROUP BY user_id, place"""
 )
 def merge_fold(spark, d):
-    return iv.fold_merge(spans(spark, d, "purchase"), BY, 0.3).select("user_id", "place", "s", "e", r6("score").alias("score"), "n")
+    return iv.fold_merge(spans(spark, d, "purchase"), BY, 0.3).select("user_id", "place", "s", "e", r6("score").alias("score"), "n", F.array_join("ids", ",").alias("ids"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import index_percentile, log_loss, log_loss_of_logit, softplus, wilson
+from ..functions.scalars import log_loss, log_loss_of_logit, ratio, softplus, wilson
 from ..operators import metrics as me
 from .book import Book
 from .tables import EV, events, r6, table
@@ -133,23 +133,26 @@ def fleiss_kappa(spark, d):
 SELECT kind, list_extract(v, CAST(least(floor(q * len(v)), len(v) - 1) + 1 AS BIGINT)) AS value, q FROM o, q"""
 )
 def index_percentiles(spark, d):
-    e = events(spark, d)
-    out = e.groupBy("kind").agg(*[index_percentile(F.col("value"), q).alias(f"q{i}") for i, q in enumerate((0.1, 0.5, 0.9))])
+    out = me.quantiles(events(spark, d), ["kind"], "value", {f"q{i}": q for i, q in enumerate((0.1, 0.5, 0.9))}, between=False)
     return out.select("kind", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"q{i}").alias("value")) for i, q in enumerate((0.1, 0.5, 0.9))])).alias("x")).select("kind", "x.q", "x.value")
 
 
 @BOOK.add(
-    f"""WITH {EV} SELECT kind, count(*) AS n, min(value) AS low, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM ev GROUP BY kind"""
+    f"""WITH {EV} SELECT kind, count(*) AS n, min(value) AS low, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM ev WHERE kind IS NOT NULL GROUP BY kind"""
 )
 def describe(spark, d):
-    p = lambda q: r6(F.percentile("value", q))
-    return events(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.max("value").alias("high"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("sd"))
+    e = events(spark, d).where("kind is not null")
+    plain = e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), r6(F.avg("value")).alias("mean"), r6(F.stddev_pop("value")).alias("sd"))
+    p = me.quantiles(e, ["kind"], "value", {"p25": 0.25, "p50": 0.5, "p95": 0.95})
+    return plain.join(p.select("kind", *[r6(c).alias(c) for c in ("p25", "p50", "p95")]), "kind", "left")
 
 
-@BOOK.add("SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+@BOOK.add("SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS quantity, round(CAST(sum(CAST(l_discount AS DECIMAL(12,2))) AS DOUBLE) / count(l_discount), 6) AS discount FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 def strata_grouping_sets(spark, d):
+    """Sums of decimals: no order of addition changes them."""
+    exact = lambda c: F.sum(F.col(c).cast("decimal(12,2)")).cast("double")
     line = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount")
-    out = line.groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), r6(F.avg("l_discount")).alias("discount"))
+    out = line.groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), exact("l_quantity").alias("quantity"), r6(ratio(exact("l_discount"), F.count("l_discount"))).alias("discount"))
     return out.select(F.coalesce("l_returnflag", F.lit("all")).alias("flag"), F.coalesce("l_linestatus", F.lit("all")).alias("status"), "n", "quantity", "discount")
 
 
@@ -253,13 +256,14 @@ def bag_pooling(spark, d):
 
 
 @BOOK.add(
-    f"""WITH {_SC}, x AS (SELECT user_id, y, least(greatest(score, 1e-7), 1 - 1e-7) AS p, ln(value) - 3 AS z FROM sc WHERE event_id % 4 <> 0)
-SELECT user_id, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS bce, round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))), 6) AS bce_logits, round(avg(greatest(-z, 0) + ln(1 + exp(-abs(z)))), 6) AS ranking FROM x GROUP BY user_id"""
+    f"""WITH {_SC}, x AS (SELECT user_id, y, least(greatest(score, 1e-7), 1 - 1e-7) AS p, ln(value) - 3 AS z, vote <> 0 AS m FROM sc JOIN (SELECT event_id, vote FROM ev) USING (event_id))
+SELECT user_id, count_if(NOT m) AS masked, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))) FILTER (m), 6) AS bce, round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) FILTER (m), 6) AS bce_logits, round(avg(greatest(-z, 0) + ln(1 + exp(-abs(z)))) FILTER (m), 6) AS ranking FROM x GROUP BY user_id"""
 )
 def losses(spark, d):
-    x = _scored(spark, d).where("event_id % 4 <> 0").withColumn("z", F.ln("value") - 3)
-    y = F.col("y")
-    return x.groupBy("user_id").agg(r6(F.avg(log_loss(F.col("score"), y))).alias("bce"), r6(F.avg(log_loss_of_logit(F.col("z"), y))).alias("bce_logits"), r6(F.avg(softplus(-F.col("z")))).alias("ranking"))
+    """Means over the rows that the mask (a vote other than 0) lets through; the others are counted."""
+    x = events(spark, d).select("user_id", F.round("score", 2).alias("score"), F.when(F.col("kind") == "purchase", 1).otherwise(0).alias("y"), (F.col("vote") != 0).alias("m"), (F.ln("value") - 3).alias("z"))
+    y, mean = F.col("y"), lambda c: r6(F.avg(F.when(F.col("m"), c)))
+    return x.groupBy("user_id").agg(F.count_if(~F.col("m")).alias("masked"), mean(log_loss(F.col("score"), y)).alias("bce"), mean(log_loss_of_logit(F.col("z"), y)).alias("bce_logits"), mean(softplus(-F.col("z"))).alias("ranking"))
 
 
 @BOOK.add(

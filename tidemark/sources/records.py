@@ -27,6 +27,17 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_json_lines(spark, path, schema) if there else spark.createDataFrame([], schema)
 
 
+def followed(spark: SparkSession, records: DataFrame, locator: str, root: str, schema: str) -> DataFrame:
+    """``records`` with a row for each JSON line of the file that ``locator`` (a path below ``root``) names; a file that is not there gives one row with nulls.
+
+    Files are read once and met by name, so a manifest of any length stays distributed.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(root).select(F.col("_metadata.file_path").alias("_path"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_r"))
+    prefix = root.rstrip("/").rpartition("://")[2].removeprefix("file:") + "/"
+    below = lines.withColumn("_at", F.substring_index("_path", prefix, -1))
+    return records.join(below, records[locator] == below["_at"], "left").select(*records.columns, "_r.*")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
