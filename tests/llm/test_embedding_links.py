@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.embedding_links import audit_share, near_vectors, range_search, robust_prune
+from tidemark.llm.embedding_links import audit_share, near_vectors, range_search, robust_prune, twins
 
 SF = "/root/testdata/sf0.01"
 
@@ -64,14 +64,24 @@ def test_dense_groups_apart(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()} == brute(np.arange(len(x)), x)
 
 
-def test_failed_or_vacuous_audit_compares_all(spark):
+def test_failed_audit_compares_all(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(800, 32))
     x[700:] = x[:100] + 0.05 * rng.normal(size=(100, 32))
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
-    want = brute(np.arange(len(x)), x)
-    for settings in ({"recall": 2.0}, {"audited": 2, "most_audited": 2}):
-        assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, shard=120, **settings).collect()} == want
+    got = near_vectors(df, shard=120, recall=2.0).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(np.arange(len(x)), x)
+
+
+def test_twins_are_found_and_leave_no_trace(spark):
+    """A table without any link: the audit has links all the same, a passed one decides, and no count or component shows the twins."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 48))
+    names, made = twins(np.arange(900), x / np.linalg.norm(x, axis=1)[:, None], 0.95)
+    cos = (made * x).sum(axis=1) / np.linalg.norm(x, axis=1)
+    assert len(set(names.tolist())) == 900 and cos.min() >= 0.95 and cos.max() < 1 and cos.min() < 0.953
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {(r.vec_id == r.component_id, r.n_links) for r in near_vectors(df, shard=120).collect()} == {(True, 0)}
 
 
 def test_audit_weighs_small_groups():

@@ -10,10 +10,11 @@ that it finds in range (and ``margin`` beyond) until nothing new is in range. Wh
 Clusters of more than ``shard`` vectors are cut into pieces by id, each with a graph of its own, and each pair of pieces is
 a task, so no task holds more than two pieces. Links of a pair are counted in the first cluster that both are in, both ways
 at once; for components only a spanning forest leaves a task. An audit holds the counts of ``audited`` vectors, chosen by
-hash, against all vectors in blocks; eight times as many are taken, up to ``most_audited``, while fewer than ``linked`` of them have a link. The
-mean share of links found must reach ``recall``, with equal weight for vectors and with equal weight for groups. Else everything is built
-again with twice the overlap, and where that cannot help (``most_overlap``, or no more clusters), or where too few audited vectors have links
-to tell and not all were audited, all pairs are compared in blocks.
+hash, against all vectors in blocks. As many of them (at most a fiftieth of all, ten at least) have a twin: a vector at a cosine between
+``least`` and 1 that goes through the search like any other, counts for nothing and joins nothing, so that there are always links to find,
+however rare they are in the table. The mean share of links found must reach ``recall``, with equal weight for vectors and with equal weight
+for groups. Else everything is built again with twice the overlap, and where that cannot help (``most_overlap``, or no more clusters), all
+pairs are compared in blocks.
 
 Results for odd input: vectors that are null, zero or hold null or non-finite components, and vectors of another length than the commonest,
 link with nothing and stand alone; a null vec_id stands alone with a null component; rows that repeat a vec_id count as other vectors;
@@ -215,7 +216,8 @@ def _links(size: int, least: float, margin: float, beam: int, exact: bool):
         n_a, n_b = left[0].column("n").to_numpy(), right[0].column("n").to_numpy()
         count_a = np.bincount(a[mine], n_b[b[mine]], len(reps_a)).astype(np.int64)
         nodes = np.concatenate((reps_a, reps_b))
-        root = nodes[_roots_of(nodes, a, b + len(reps_a))]
+        joins = (n_a[a] > 0) & (n_b[b] > 0)
+        root = nodes[_roots_of(nodes, a[joins], b[joins] + len(reps_a))]
         if i == j:
             return pa.table({"rep": reps_a, "links": count_a, "root": np.minimum(root[: len(reps_a)], root[len(reps_a) :])})
         count_b = np.bincount(b[mine], n_a[a[mine]], len(reps_b)).astype(np.int64)
@@ -249,17 +251,25 @@ def _count_all(queries: np.ndarray, ids: np.ndarray, least: float):
     return run
 
 
-def _audit(reps: DataFrame, size: int, least: float, count: int, audited: int, most: int, linked: int) -> tuple[dict[int, tuple[int, int]], bool]:
-    """Links and linked vectors of the audited vectors that have any, and whether they can tell: enough of them, or all vectors audited."""
-    while True:
-        rows = reps.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(audited).select("rep", "v").collect()
-        ids = np.array([r.rep for r in rows], np.int64)
-        queries = np.frombuffer(b"".join(r.v for r in rows), np.float64).reshape(-1, size)
-        truth = reps.select("rep", "v", "n").mapInArrow(_count_all(queries, ids, least), "rep long, links long, others long").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
-        truth = {r.rep: (r.links, r.others) for r in truth.where("others > 0").collect()}
-        if len(truth) >= linked or audited >= min(count, most):
-            return truth, len(truth) >= linked or audited >= count
-        audited = min(8 * audited, most)
+def twins(ids: np.ndarray, x: np.ndarray, least: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors at cosines from just above ``least`` to near 1 of the given unit vectors."""
+    rng = np.random.default_rng(seed)
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1)[:, None] * x
+    size = np.linalg.norm(aside, axis=1)
+    aside /= np.maximum(size, 1e-300)[:, None]
+    cos = np.where(size > 1e-9, least + (1 - least) * (0.02 + 0.9 * rng.random(len(x))), 1.0)
+    out = cos[:, None] * x + np.sqrt(1 - cos * cos)[:, None] * aside
+    with np.errstate(over="ignore"):
+        names = ids * np.int64(0x1E3779B97F4A7C15) ^ np.int64(0x2545F4914F6CDD1D)
+    return names, out / np.linalg.norm(out, axis=1)[:, None]
+
+
+def _truth(reps: DataFrame, queries: np.ndarray, ids: np.ndarray, least: float) -> dict[int, tuple[int, int]]:
+    """Links and linked vectors of those of the given vectors that have any."""
+    found = reps.select("rep", "v", "n").mapInArrow(_count_all(queries, ids, least), "rep long, links long, others long")
+    found = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("others").alias("others")).where("others > 0")
+    return {r.rep: (r.links, r.others) for r in found.collect()}  # a row for each audited vector at most
 
 
 def audit_share(truth: dict[int, tuple[int, int]], got: dict[int, int]) -> float:
@@ -271,7 +281,7 @@ def audit_share(truth: dict[int, tuple[int, int]], got: dict[int, int]) -> float
     return float(min(share.mean(), share @ group / group.sum()))
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, shard: int = 1_500, overlap: int = 2, degree: int = 24, alpha: float = 1.2, margin: float = 0.1, beam: int = 32, sample: int = 65_536, audited: int = 400, recall: float = 0.98, linked: int = 50, most_audited: int = 25_600, most_overlap: int = 8) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, shard: int = 1_500, overlap: int = 2, degree: int = 24, alpha: float = 1.2, margin: float = 0.1, beam: int = 32, sample: int = 65_536, audited: int = 400, recall: float = 0.98, most_overlap: int = 8) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of ``vectors`` (vec_id, embedding).
 
     Centroids are fitted to at most ``sample`` vectors, so at most ``sample`` / 16 clusters; beyond that clusters have more pieces.
@@ -286,19 +296,26 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard: int = 1_500, ov
     if count > 1:
         some = [r.v for r in reps.select("v").orderBy(F.xxhash64("rep"), "rep").limit(min(sample, max(4_096, count // 8))).collect()]
         points = np.frombuffer(b"".join(some), np.float64).reshape(-1, size)
-        truth, tells = _audit(reps, size, least, count, audited, most_audited, linked)
-        while tells:
+        rows = reps.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(audited).select("rep", "v").collect()
+        ids, chosen = np.array([r.rep for r in rows], np.int64), np.frombuffer(b"".join(r.v for r in rows), np.float64).reshape(-1, size)
+        some = min(len(ids), max(10, count // 50))
+        names, made = twins(ids[:some], chosen[:some], least)
+        truth = _truth(reps, np.concatenate((chosen, made)), np.concatenate((ids, names)), least)
+        own = reps.sparkSession.createDataFrame([(int(i), x.tobytes(), 0) for i, x in zip(names, made, strict=True)], "rep long, v binary, n long")
+        searched = reps.select("rep", "v", "n").unionByName(own)
+        while True:
             k = int(min(len(points) // 16 + 1, max(1, overlap * count // (shard // 2))))
             c = centroids(points, k)
-            links = written(_search(reps, c, min(overlap, len(c)), size, least, shard, degree, alpha, margin, beam))
-            own = reps.sparkSession.createDataFrame([(r,) for r in truth], "rep long")
-            got = {r.rep: r.links for r in links.join(F.broadcast(own), "rep").groupBy("rep").agg(F.sum("links").alias("links")).collect()}  # at most ``most_audited`` rows
+            links = written(_search(searched, c, min(overlap, len(c)), size, least, shard, degree, alpha, margin, beam))
+            asked = reps.sparkSession.createDataFrame([(r,) for r in truth], "rep long")
+            got = {r.rep: r.links for r in links.join(F.broadcast(asked), "rep").groupBy("rep").agg(F.sum("links").alias("links")).collect()}  # at most twice ``audited`` rows
             if audit_share(truth, got) >= recall:
+                links = links.join(F.broadcast(own.select("rep")), "rep", "left_anti")  # at most ``audited`` rows
                 break
             overlap *= 2
-            tells = overlap <= min(most_overlap, len(c))
-        if not tells:
-            links = written(_search(reps, points[:1], 1, size, least, shard, degree, alpha, margin, beam, exact=True))
+            if overlap > min(most_overlap, len(c)):
+                links = written(_search(reps, points[:1], 1, size, least, shard, degree, alpha, margin, beam, exact=True))
+                break
     rep_rows = reps.select("rep", "v", "low", "n")
     if links is not None:
         label = components(links.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")))
