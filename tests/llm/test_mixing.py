@@ -44,6 +44,29 @@ def test_rates_meet_targets_and_are_least_squares(spark):
         assert np.allclose((r * n) @ p / n.sum(), target, atol=1e-5)
 
 
+def least_squares(p, n, target, steps=8000):
+    """Accelerated projected gradient with short steps: a plain version to hold the fit against."""
+    a = (p * n[:, None] / n.sum()).T
+    r = y = np.ones(len(n))
+    size, t = 1 / np.linalg.norm(a @ a.T, 2), 1.0
+    for _ in range(steps):
+        new = np.maximum(0, y - size * a.T @ (a @ y - target))
+        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        r, y, t = new, new + (t - 1) / after * (new - r), after
+    return float(((a @ r - target) ** 2).sum())
+
+
+def test_unreachable_targets_come_as_near_as_least_squares(spark):
+    rng = np.random.default_rng(1)
+    for p, target in ((rng.dirichlet([2, 2, 2], 200) * 0.6 + np.array([0.4, 0, 0]), [0.1, 0.45, 0.45]), (rng.dirichlet([5, 5, 5], 200), [0.98, 0.01, 0.01])):
+        n = rng.integers(1, 900, 200)
+        soft = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(200)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+        out = fit_rates(soft, target).orderBy("doc_id").collect()
+        off = (np.array([x.rate for x in out]) * n) @ p / n.sum() - target
+        assert abs(out[0].miss - np.abs(off).max()) < 1e-9 and out[0].miss > 1e-3
+        assert float(off @ off) <= least_squares(p, n.astype(float), np.array(target)) * 1.02 + 1e-7
+
+
 def test_query_tables_and_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = label_domains(spark.read.parquet(f"{SF}/labels.parquet"))

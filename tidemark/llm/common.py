@@ -28,11 +28,13 @@ def fold(column: str, modulus: int):
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names. A temporary one only where it is unset, as in tests."""
+    """The shared folder that spark.checkpoint.dir names. A temporary one only where it is unset and Spark is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
