@@ -2,6 +2,12 @@
 
 Rows that toxicity rejects go; of near-duplicates the least doc_id stays; passages that repeat are cut
 from the texts; documents with a test item go; what is left gets rates that mix it to the target weights.
+
+Results for odd input, in every stage: null and blank texts stay (as null or as they are; substring_dedup makes a null text empty), as
+nothing is found in them; rows with a null doc_id stay in the stages that reject documents, and so do they in the others; rows that
+repeat a doc_id go or stay together, but substring_dedup and mixing take each by its own text; of equal texts the least doc_id
+stays, with all its rows; texts of any length are read whole; empty tables give empty tables; other columns than those of documents
+are dropped on reading.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import discard, table, written
 from tidemark.llm.decontaminate import without_leaks
 from tidemark.llm.mixing import label_domains, mix
 from tidemark.llm.near_dup import one_of_each
@@ -57,7 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            discard(before)
     return docs
