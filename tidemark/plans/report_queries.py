@@ -272,3 +272,101 @@ def rational_rates(spark, d):
     rate = parse_rate(F.concat_ws("/", F.col("num").cast("string"), F.col("den").cast("string")))
     seed = F.conv(F.substring(F.sha2(F.concat(F.lit("seed|"), k.cast("string")), 256), 1, 8), 16, 10).cast("bigint") % 1000003
     return r.select("p_partkey", F.expr("num div g").alias("rate_num"), F.expr("den div g").alias("rate_den"), F.round(100 / rate.cast("double"), 6).alias("t100"), seed.alias("seed"))
+
+
+@BOOK.add(
+    f"""WITH {EV}, w AS (SELECT user_id, t // {10 * DAY} AS bin, avg(score) AS score, max(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) AS y FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, bin) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM w)
+SELECT percent, round(avg(CASE WHEN k <= ceil(n * percent / 100) THEN y END), 6) AS top, round(avg(y), 6) AS base, round(avg(CASE WHEN k <= ceil(n * percent / 100) THEN y END) / avg(y), 6) AS enrichment FROM r, (SELECT unnest([10, 20, 30]) AS percent) GROUP BY percent"""
+)
+def window_enrichment(spark, d):
+    """Positive windows among each user's best ones against all windows."""
+    e = events(spark, d)
+    w = e.groupBy("user_id", F.expr(f"t div {10 * DAY}").alias("bin")).agg(F.avg("score").alias("score"), F.max((F.col("kind") == "purchase").cast("int")).alias("y"))
+    by = Window.partitionBy("user_id")
+    r = w.select("y", F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), "bin")).alias("k"), F.count(F.lit(1)).over(by).alias("n")).withColumn("percent", F.explode(F.array(F.lit(10), F.lit(20), F.lit(30))))
+    top = F.avg(F.when(F.col("k") <= F.ceil(F.col("n") * F.col("percent") / 100), F.col("y")))
+    return r.groupBy("percent").agg(r6(top).alias("top"), r6(F.avg("y")).alias("base"), r6(top / F.avg("y")).alias("enrichment"))
+
+
+@BOOK.add(
+    """SELECT l_orderkey, l_linenumber, o_orderstatus AS policy, c_mktsegment AS segment, n_name AS origin, round(l_extendedprice * (1 - l_discount), 6) AS net, l_quantity > 25 AS large FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"""
+)
+def composed_rows(spark, d):
+    """A wide row for each frame: its policy, metadata and origin by equi-joins; the dimension tables are small enough for Spark to broadcast by size."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_quantity")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", F.col("o_custkey").alias("c_custkey"))
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.col("c_nationkey").alias("n_nationkey"))
+    all_ = line.join(orders, "l_orderkey").join(c, "c_custkey").join(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    net = r6(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return all_.select("l_orderkey", "l_linenumber", F.col("o_orderstatus").alias("policy"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("origin"), net.alias("net"), (F.col("l_quantity") > 25).alias("large"))
+
+
+@BOOK.add(
+    f"""WITH {BOXES}, r AS (SELECT unnest(list_filter([CASE WHEN w * h > 250 THEN 'TOO_LARGE' END, CASE WHEN score < 0.3 THEN 'LOW_SCORE' END, CASE WHEN x + w > 100 THEN 'OUTSIDE' END], lambda c: c IS NOT NULL)) AS reason, w * h / 10000 AS share, ordinal % 3 AS class FROM boxes)
+SELECT reason, count(*) AS frames, round(count(*) / (SELECT count(*) FROM boxes), 6) AS of_all, count_if(class = 0) AS class_0, count_if(class = 1) AS class_1, round(avg(share), 6) AS mean_area, round(quantile_cont(share, 0.5), 6) AS median_area FROM r GROUP BY reason"""
+)
+def fallback_reasons(spark, d):
+    """Reasons of frames, several to a frame and each counted, with shares of all frames, classes and areas."""
+    area = F.col("w") * F.col("h")
+    why = F.array_compact(F.array(F.when(area > 250, "TOO_LARGE"), F.when(F.col("score") < 0.3, "LOW_SCORE"), F.when(F.col("x") + F.col("w") > 100, "OUTSIDE")))
+    b = boxes(spark, d)
+    r = b.select(F.explode(why).alias("reason"), (area / 10000).alias("share"), (F.col("ordinal") % 3).alias("class"))
+    some = lambda k: F.count_if(F.col("class") == k).alias(f"class_{k}")
+    out = r.groupBy("reason").agg(F.count(F.lit(1)).alias("frames"), some(0), some(1), r6(F.avg("share")).alias("mean_area"), r6(F.percentile("share", 0.5)).alias("median_area"))
+    return out.crossJoin(F.broadcast(b.agg(F.count(F.lit(1)).alias("n")))).withColumn("of_all", r6(F.col("frames") / F.col("n"))).drop("n")  # one row
+
+
+@BOOK.add(
+    f"""WITH {EV}, l AS (SELECT kind, unnest(['value', 'score', 'age']) AS feature, unnest([value, score, CAST(t AS DOUBLE) / 86400000000]) AS v, CASE WHEN vote >= 3 THEN 1.0 ELSE 0.0 END AS y FROM ev)
+SELECT feature, coalesce(kind, 'pooled') AS scope, count(*) AS n, round(corr(v, y), 6) AS correlation, round(avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0), 6) AS gap FROM l GROUP BY GROUPING SETS ((feature, kind), (feature))"""
+)
+def signal_audit(spark, d):
+    """Each feature against the label, pooled and by scope."""
+    pair = lambda name, c: F.struct(F.lit(name).alias("feature"), c.cast("double").alias("v"))
+    e = events(spark, d)
+    long = e.select("kind", (F.col("vote") >= 3).cast("double").alias("y"), F.explode(F.array(pair("value", F.col("value")), pair("score", F.col("score")), pair("age", F.col("t").cast("double") / 86400000000))).alias("x")).select("kind", "y", "x.*")
+    gap = F.avg(F.when(F.col("y") == 1, F.col("v"))) - F.avg(F.when(F.col("y") == 0, F.col("v")))
+    out = long.groupingSets([["feature", "kind"], ["feature"]], "feature", "kind").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("v", "y")).alias("correlation"), r6(gap).alias("gap"))
+    return out.select("feature", F.coalesce("kind", F.lit("pooled")).alias("scope"), "n", "correlation", "gap")
+
+
+@BOOK.add(
+    """WITH c AS (SELECT p_partkey, p_brand, p_size, p_retailprice FROM part), a AS (SELECT p_partkey, 'longest' AS arm FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM c) WHERE k <= 3), b AS (SELECT p_partkey, 'cheapest' AS arm FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS k FROM c) WHERE k <= 1)
+SELECT p_partkey, array_to_string(list_sort(list(arm)), ',') AS arms FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY p_partkey"""
+)
+def subset_picks(spark, d):
+    """Fixed picks of each brand, the three largest and the cheapest, united; each says which arms took it."""
+    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    first = lambda arm, k, *order: p.select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(*order)).alias("k"), F.lit(arm).alias("arm")).where(F.col("k") <= k).select("p_partkey", "arm")
+    both = first("longest", 3, F.desc("p_size"), "p_partkey").unionAll(first("cheapest", 1, "p_retailprice", "p_partkey"))
+    return both.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list("arm")), ",").alias("arms"))
+
+
+@BOOK.add(
+    f"""WITH {EV}, i AS (SELECT user_id, event_id, t, sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run, kind FROM ev), c AS (SELECT * FROM i WHERE kind <> 'error'),
+s AS (SELECT user_id, run, count(*) AS n, min(t) AS begins FROM c GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, begins) AS k FROM s), o AS (SELECT c.*, b.n, row_number() OVER (PARTITION BY c.user_id, c.run ORDER BY c.t, c.event_id) - 1 AS place FROM c JOIN b ON b.user_id = c.user_id AND b.run = c.run AND b.k = 1)
+SELECT event_id, user_id FROM o WHERE place >= (n - least(n, 5)) // 2 AND place < (n - least(n, 5)) // 2 + least(n, 5)"""
+)
+def centered_pieces(spark, d):
+    """Up to five rows from the middle of each user's longest stretch without an error."""
+    w = Window.partitionBy("user_id").orderBy("t", "event_id")
+    i = events(spark, d).withColumn("run", F.sum((F.col("kind") == "error").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind <> 'error'")
+    run = Window.partitionBy("user_id", "run")
+    i = i.select("event_id", "user_id", "run", F.count(F.lit(1)).over(run).alias("n"), F.min("t").over(run).alias("begins"), (F.row_number().over(run.orderBy("t", "event_id")) - 1).alias("place"))
+    best = F.max(F.struct("n", (-F.col("begins")).alias("b"))).over(Window.partitionBy("user_id"))
+    start = F.expr("(n - least(n, 5)) div 2")
+    return i.withColumn("best", best).where((F.col("n") == F.col("best.n")) & (-F.col("begins") == F.col("best.b")) & (F.col("place") >= start) & (F.col("place") < start + F.least(F.col("n"), F.lit(5)))).select("event_id", "user_id")
+
+
+@BOOK.add(
+    """WITH e AS (SELECT o_orderkey AS k, count(*) AS n, sum(CAST(l_linenumber AS BIGINT) * 1000003 + l_partkey) AS mark FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), p AS (SELECT l_orderkey AS k, count(*) AS n, sum(CAST(l_linenumber AS BIGINT) * 1000003 + l_partkey) AS mark FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01' GROUP BY 1)
+SELECT CASE WHEN p.k IS NULL THEN 'absent' WHEN p.n < e.n THEN 'short' WHEN p.mark <> e.mark THEN 'differs' ELSE 'complete' END AS state, count(*) AS shards FROM e LEFT JOIN p ON p.k = e.k GROUP BY 1"""
+)
+def shard_states(spark, d):
+    """Shards written against what their manifest promises: rows and an order-free mark of the content."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", (F.col("l_linenumber").cast("bigint") * 1000003 + F.col("l_partkey")).alias("m"))
+    done = F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp_ntz")
+    e = line.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("mark"), F.count_if(done).alias("pn"), F.sum(F.when(done, F.col("m"))).alias("pmark"))
+    e = e.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    state = F.when(F.col("pn") == 0, "absent").when(F.col("pn") < F.col("n"), "short").when(F.col("pmark") != F.col("mark"), "differs").otherwise("complete")
+    return e.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("shards"))
