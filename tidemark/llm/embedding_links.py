@@ -13,7 +13,8 @@ at once; for components only a spanning forest leaves a task. An audit holds the
 hash, against all vectors in blocks. As many of them (at most a fiftieth of all, ten at least) have a twin: a vector at a cosine between
 ``least`` and 1 that goes through the search like any other, counts for nothing and joins nothing, so that there are always links to find,
 however rare they are in the table. The mean share of links found must reach ``recall``, with equal weight for vectors and with equal weight
-for groups. Else everything is built again with twice the overlap, and where that cannot help (``most_overlap``, or no more clusters), all
+for groups. ``overlap`` is doubled before anything is built while fewer twins share a cluster with their vector than half way from ``recall`` to 1;
+if the audit fails all the same, everything is built again with twice the overlap, and where that cannot help (``most_overlap``, or no more clusters), all
 pairs are compared in blocks.
 
 Results for odd input: vectors that are null, zero or hold null or non-finite components, and vectors of another length than the commonest,
@@ -71,13 +72,22 @@ def centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 3) ->
     return c
 
 
+def nearest(x: np.ndarray, c: np.ndarray, overlap: int) -> np.ndarray:
+    return np.sort(np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap], axis=1).astype(np.int32)
+
+
+def meeting(x: np.ndarray, y: np.ndarray, c: np.ndarray, overlap: int) -> float:
+    """Share of the vectors that have a cluster in common with their twin."""
+    return float((nearest(x, c, overlap)[:, :, None] == nearest(y, c, overlap)[:, None, :]).any(axis=(1, 2)).mean())
+
+
 def _assign(c: np.ndarray, overlap: int):
     """(rep, v, n) to a row for each of the nearest clusters, with all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("v"), c.shape[1])
-            near = np.sort(np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap], axis=1).astype(np.int32)
+            near = nearest(x, c, overlap)
             k = near.shape[1]
             row = pa.array(np.repeat(np.arange(len(x)), k))
             lists = pa.ListArray.from_arrays(np.arange(0, len(near) * k + 1, k, dtype=np.int32), near.ravel()).take(row)
@@ -306,6 +316,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, shard: int = 1_500, ov
         while True:
             k = int(min(len(points) // 16 + 1, max(1, overlap * count // (shard // 2))))
             c = centroids(points, k)
+            wider = 2 * overlap <= min(most_overlap, len(c))
+            if wider and meeting(chosen[:some], made, c, overlap) < (1 + recall) / 2:
+                overlap *= 2
+                continue
             links = written(_search(searched, c, min(overlap, len(c)), size, least, shard, degree, alpha, margin, beam))
             asked = reps.sparkSession.createDataFrame([(r,) for r in truth], "rep long")
             got = {r.rep: r.links for r in links.join(F.broadcast(asked), "rep").groupBy("rep").agg(F.sum("links").alias("links")).collect()}  # at most twice ``audited`` rows
