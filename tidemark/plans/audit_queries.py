@@ -313,12 +313,12 @@ def guard_diagnostics(spark, d):
     return s.join(runs, "user_id", "left").select("user_id", "rows", r6(F.col("hit") / F.col("rows")).alias("rate"), F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("longest", F.lit(0)).alias("longest"), r6(ratio(F.col("sum_c"), F.col("hit"))).alias("mean_correction"), r6("max_c").alias("max_correction"))
 
 
-@BOOK.add(f"{_GUARD} SELECT CASE WHEN before THEN 'guarded' ELSE 'free' END AS state_before, CASE WHEN guarded THEN 'guarded' ELSE 'free' END AS state, coalesce(kind, 'all') AS kind, count(*) AS n, round(avg(abs(step)), 6) AS mean_step FROM i WHERE step IS NOT NULL GROUP BY GROUPING SETS ((before, guarded, kind), (before, guarded))")
+@BOOK.add(f"{_GUARD} SELECT CASE WHEN before THEN 'guarded' ELSE 'free' END AS state_before, CASE WHEN guarded THEN 'guarded' ELSE 'free' END AS state, coalesce(kind, 'all') AS kind, count(*) AS n, CAST(sum(CAST(abs(step) AS DECIMAL(12,2))) AS DOUBLE) AS steps FROM i WHERE step IS NOT NULL GROUP BY GROUPING SETS ((before, guarded, kind), (before, guarded))")
 def state_transitions(spark, d):
-    """Steps by the state before and after, overall and by kind."""
+    """Steps and their length by the state before and after, overall and by kind; a sum of decimals, which no order changes."""
     name = lambda c: F.when(F.col(c), "guarded").otherwise("free").alias
     g = _guarded(spark, d).where("step is not null").select(name("before")("state_before"), name("guarded")("state"), "kind", F.abs("step").alias("step"))
-    out = g.groupingSets([["state_before", "state", "kind"], ["state_before", "state"]], "state_before", "state", "kind").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("step")).alias("mean_step"))
+    out = g.groupingSets([["state_before", "state", "kind"], ["state_before", "state"]], "state_before", "state", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("step").cast("decimal(12,2)")).cast("double").alias("steps"))
     return out.withColumn("kind", F.coalesce("kind", F.lit("all")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_match, parse_rate, ratio, read_intervals
+from ..functions.scalars import first_match, ratio, read_intervals
 from ..operators import matching as mt
 from ..operators import selection as se
 from .book import Book
@@ -258,7 +258,7 @@ def candidate_buckets(spark, d):
 
 @BOOK.add(
     """WITH r AS (SELECT p_partkey, 1000 * (p_size + 23) AS num, CASE WHEN p_partkey % 4 = 0 THEN 1001 ELSE 1000 END AS den FROM part)
-SELECT p_partkey, num // gcd(num, den) AS rate_num, den // gcd(num, den) AS rate_den, round(100 * den / num, 6) AS t100, CAST(CAST(concat('0x', substr(sha256(concat('seed|', p_partkey)), 1, 8)) AS BIGINT) % 1000003 AS BIGINT) AS seed FROM r"""
+SELECT p_partkey, num // gcd(num, den) AS rate_num, den // gcd(num, den) AS rate_den, round(100 * den / num, 9) AS t100, CAST(CAST(concat('0x', substr(sha256(concat('seed|', p_partkey)), 1, 8)) AS BIGINT) % 1000003 AS BIGINT) AS seed FROM r"""
 )
 def rational_rates(spark, d):
     """Rates in lowest terms, the time of frame 100, and a seed that follows from the key."""
@@ -269,9 +269,8 @@ def rational_rates(spark, d):
     pair = F.struct(F.col("num").alias("a"), F.col("den").alias("b"))
     turn = lambda x, _: F.struct(F.when(x["b"] == 0, x["a"]).otherwise(x["b"]).alias("a"), F.when(x["b"] == 0, x["b"]).otherwise(x["a"] % x["b"]).alias("b"))
     r = r.withColumn("g", F.aggregate(F.sequence(F.lit(1), F.lit(30)), pair, turn)["a"])
-    rate = parse_rate(F.concat_ws("/", F.col("num").cast("string"), F.col("den").cast("string")))
     seed = F.conv(F.substring(F.sha2(F.concat(F.lit("seed|"), k.cast("string")), 256), 1, 8), 16, 10).cast("bigint") % 1000003
-    return r.select("p_partkey", F.expr("num div g").alias("rate_num"), F.expr("den div g").alias("rate_den"), F.round(100 / rate.cast("double"), 6).alias("t100"), seed.alias("seed"))
+    return r.select("p_partkey", F.expr("num div g").alias("rate_num"), F.expr("den div g").alias("rate_den"), F.round(100 * F.col("den") / F.col("num"), 9).alias("t100"), seed.alias("seed"))
 
 
 @BOOK.add(
