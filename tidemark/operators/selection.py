@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key
 
+#: Keys x items x budget of a table of knapsacks.
+KNAPSACK_CELLS = 1 << 23
+
 
 def numbered(df: DataFrame, by: list[str], order: list[str], bucket: Column, name: str = "place", count: str | None = None) -> DataFrame:
     """Numbers the rows of each key by ``order`` from 1, without a task that sees a whole key; ``count`` names a column of the key's rows.
@@ -119,14 +122,59 @@ def _by_key(df: DataFrame, key: str, columns: list[str], pick, out: str) -> Data
     return packed.mapInArrow(run, f"{key} {kinds[key]}, {out} {kinds[out]}")
 
 
-def within_budget(df: DataFrame, key: str, item: str, weight: str, value: str, percent: int) -> DataFrame:
-    """(key, item) chosen by an exact knapsack per key within floor(total weight * percent / 100). A key's items must fit a task."""
+def knapsacks(weights: np.ndarray, values: np.ndarray, budgets: np.ndarray) -> np.ndarray:
+    """Which items of each row are chosen, as ``knapsack`` does, for all rows at once: a table of rows x budgets for each item. Padding weighs more than any budget."""
+    rows, items = weights.shape
+    room = np.arange(int(budgets.max(initial=0)) + 1)
+    best, better = np.zeros((rows, len(room))), np.zeros((items, rows, len(room)), bool)
+    for i in range(items):
+        at = room[None, :] - weights[:, i, None]
+        taken = np.take_along_axis(best, np.maximum(at, 0), axis=1) + values[:, i, None]
+        better[i] = (at >= 0) & (taken > best)
+        best = np.where(better[i], taken, best)
+    chosen, left, every = np.zeros((rows, items), bool), budgets.copy(), np.arange(rows)
+    for i in range(items - 1, -1, -1):
+        chosen[:, i] = better[i, every, left]
+        left -= np.where(chosen[:, i], weights[:, i], 0)
+    return chosen
+
 
-    def pick(_, weights: pa.Array, values: pa.Array) -> list[int]:
-        w = weights.to_numpy(zero_copy_only=False).astype(np.int64)
-        return knapsack(w, values.to_numpy(zero_copy_only=False).astype(float), int(w.sum() * percent // 100))
+def within_budget(df: DataFrame, key: str, item: str, weight: str, value: str, percent: int | None = None, budget: str | None = None) -> DataFrame:
+    """(key, item) chosen by an exact knapsack per key within floor(total weight * percent / 100), or within the key's ``budget``. A key's items must fit a task.
+
+    The keys of an Arrow batch are padded into tables of at most KNAPSACK_CELLS keys x items x budget, keys of about the same size together.
+    """
+    kinds = dict(df.dtypes)
+    room = F.max(budget).cast("long") if budget else F.floor(F.sum(weight) * percent / 100).cast("long")
+    packed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(item, F.col(weight).cast("long").alias("_w"), F.col(value).cast("double").alias("_v")))).alias("rows"), room.alias("_room"))
 
-    return _by_key(df, key, [item, weight, value], pick, item)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("rows")
+            sizes = rows.value_lengths().to_numpy(zero_copy_only=False)
+            items = rows.flatten()
+            starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+            w, v = items.field("_w").to_numpy(zero_copy_only=False), items.field("_v").to_numpy(zero_copy_only=False)
+            budgets = np.maximum(batch.column("_room").to_numpy(zero_copy_only=False), 0)
+            order, kept, at = np.lexsort((budgets, sizes)), np.zeros(len(items), bool), 0
+            while at < len(order):
+                end, most = at, 0
+                while end < len(order):
+                    most = max(most, int(budgets[order[end]]))
+                    if end > at and (end - at + 1) * int(sizes[order[end]]) * (most + 1) > KNAPSACK_CELLS:
+                        break
+                    end += 1
+                own = order[at:end]
+                width = int(sizes[own].max())
+                inside = np.arange(width)[None, :] < sizes[own][:, None]
+                place = np.where(inside, starts[own][:, None] + np.arange(width)[None, :], 0)
+                chosen = knapsacks(np.where(inside, w[place], most + 1), np.where(inside, v[place], 0.0), budgets[own].astype(np.int64))
+                kept[place[chosen & inside]] = True
+                at = end
+            key_of = np.repeat(np.arange(len(sizes)), sizes)[kept]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(key_of)), items.field(item).filter(pa.array(kept))], [key, item])
+
+    return packed.mapInArrow(run, f"{key} {kinds[key]}, {item} {kinds[item]}")
 
 
 def change_points(x: np.ndarray, most: int, penalty: float = 1.0) -> list[int]:
@@ -160,6 +208,36 @@ def segmented(df: DataFrame, key: str, order: str, vector: str, most: int, penal
     return _by_key(df, key, [order, vector], lambda _, v: change_points(np.array(v.to_pylist(), float), most, penalty), order)
 
 
+def shots(df: DataFrame, key: str, order: str, vector: str, score: str, frame: str, frames: str, most: int, penalty: float = 1.0) -> DataFrame:
+    """The shots of each key's samples: (key, shot, first, end, length, score), between change points of the vectors.
+
+    A shot reaches from the frame of its first sample to that of the next shot, the last to the number of ``frames`` of the key, and the first
+    begins with frame 0 if its sample does. Its score is the mean of its frames, each of which has the score of the last sample at or before it.
+    """
+    starts = segmented(df.select(key, order, vector), key, order, vector, most, penalty).withColumn("_new", F.lit(1))
+    w = Window.partitionBy(key).orderBy(order)
+    at = df.join(starts, [key, order], "left").withColumn("shot", F.sum(F.coalesce("_new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = at.withColumn("_span", F.coalesce(F.lead(frame).over(w), F.col(frames)) - F.col(frame))
+    out = at.groupBy(key, "shot").agg(F.min(frame).alias("first"), F.max(F.col(frame) + F.col("_span")).alias("end"), F.sum("_span").alias("length"), (F.sum(F.col(score) * F.col("_span")) / F.sum("_span")).alias("score"))
+    return out.select(key, "shot", "first", "end", "length", "score")
+
+
+def shot_summary(df: DataFrame, key: str, order: str, vector: str, score: str, frame: str, frames: str, most: int, percent: int = 15, penalty: float = 1.0, whole: int | None = None) -> DataFrame:
+    """The shots of each key that an exact knapsack keeps within floor(frames * percent / 100): (key, first, end).
+
+    ``whole`` truncates scores times it to integers before they are compared. Fails for a key whose samples are outside its frames or repeat a frame.
+    """
+    order_of = Window.partitionBy(key).orderBy(order)
+    wrong = (F.col(frame) < 0) | (F.col(frame) >= F.col(frames)) | F.coalesce(F.lag(frame).over(order_of) >= F.col(frame), F.lit(False))
+    fault = F.raise_error(F.concat(F.lit("samples do not rise within the frames of "), F.col(key).cast("string"))).cast("boolean")
+    sound = df.withColumn("_wrong", wrong).where(F.when(F.col("_wrong"), fault).otherwise(True)).drop("_wrong")
+    found = shots(sound, key, order, vector, score, frame, frames, most, penalty)
+    worth = F.floor(F.col("score") * whole).cast("double") if whole else F.col("score")
+    limits = sound.groupBy(key).agg(F.floor(F.max(frames) * percent / 100).cast("long").alias("_budget"))
+    chosen = within_budget(found.join(limits, key).withColumn("_worth", worth), key, "shot", "length", "_worth", budget="_budget")
+    return found.join(chosen, [key, "shot"], "left_semi").select(key, "first", "end")
+
+
 def bootstrap_mean(df: DataFrame, key: str, value: str, draws: int = 1000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
     """Mean of the per-key means with a percentile interval over resampled keys. Each task weighs its keys in all draws; only sums meet."""
     each = df.groupBy(key).agg(F.avg(value).alias("v")).where("v is not null").select(F.xxhash64(key).alias("h"), "v")

@@ -10,11 +10,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import audit_queries, interval_queries, matching_queries, metric_queries, report_queries, selection_queries, sequence_queries
+    from . import audit_queries, interval_queries, matching_queries, metric_queries, report_queries, selection_queries, sequence_queries, store_queries
 
     queries: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (interval_queries, sequence_queries, matching_queries, metric_queries, selection_queries, audit_queries, report_queries):
+    for module in (interval_queries, sequence_queries, matching_queries, metric_queries, selection_queries, audit_queries, report_queries, store_queries):
         queries |= module.BOOK.queries
         sql |= module.BOOK.sql
     return queries, sql
