@@ -22,13 +22,14 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, partitions, scratch_dir, written
-from .words import bounds, mix, window_hashes, word_hashes
+from .words import bounds, mix, slice_hashes, window_hashes, word_hashes
 
 #: Bits of a map of frequent words or pairs (8 MB), bytes of text and n-grams that a task works on at once, memory of duckdb in a task.
 BITS = 1 << 26
@@ -90,8 +91,32 @@ def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _grams(low: int, high: int, words, pairs):
-    """Rows (lang, piece, c) to n-grams of ``low`` to ``high`` words, added up within a task as far as it holds them; maps of words or pairs say which can be frequent."""
+def _packed(counts: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, lang, body): the phrases and counts of a bucket in few bytes, instead of a row of the shuffle for each."""
+    press = zstandard.ZstdCompressor(level=1)
+    for lang in counts.column("lang").unique():
+        own = counts.filter(pa.compute.equal(counts.column("lang"), lang))
+        phrases = own.column("phrase").to_pylist()
+        data = "\n".join(phrases).encode("utf-8", "surrogatepass")
+        ends = np.cumsum(pa.compute.binary_length(own.column("phrase")).to_numpy().astype(np.int64) + 1) - 1
+        bucket = (slice_hashes(data, np.concatenate(([0], ends[:-1] + 1)), ends) % np.uint64(buckets)).astype(np.int32)
+        f, order = own.column("f").to_numpy(), np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        bodies = []
+        for at in np.split(order, cuts[1:]):
+            bodies.append(press.compress(f[at].astype("<i8").tobytes() + "\n".join([phrases[k] for k in at]).encode("utf-8", "surrogatepass")))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]]), pa.array([lang.as_py()] * len(cuts)), pa.array(np.diff(cuts, append=len(order)).astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "lang", "n", "body"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    for lang, n, body in zip(batch.column("lang").to_pylist(), batch.column("n").to_pylist(), batch.column("body"), strict=True):
+        data = zstandard.decompress(body.as_py())
+        phrases = data[8 * n :].decode("utf-8", "surrogatepass").split("\n")
+        yield pa.table([pa.array([lang] * n, pa.string()), pa.array(phrases, pa.string()), pa.array(np.frombuffer(data, "<i8", n))], schema=_COUNTS)
+
+
+def _grams(low: int, high: int, buckets: int, words, pairs):
+    """Rows (lang, piece, c) to n-grams of ``low`` to ``high`` words, added up within a task as far as it holds them, packed for their buckets; maps of words or pairs say which can be frequent."""
 
     def cut(texts: list[str], tails: list[int], langs: list[str], counts: list[int]) -> Iterator[pa.Table]:
         data = "\n".join(texts).encode("utf-8", "surrogatepass")
@@ -156,11 +181,11 @@ def _grams(low: int, high: int, words, pairs):
                     if size >= BYTES:
                         take()
             if tables and sum(t.num_rows for t in tables) >= 2 * ROWS:
-                yield from merged(tables).to_batches(1 << 14)
+                yield from _packed(merged(tables), buckets)
                 tables.clear()
         take()
         if tables:
-            yield from merged(tables).to_batches(1 << 14)
+            yield from _packed(merged(tables), buckets)
 
     return run
 
@@ -184,9 +209,16 @@ def _count(least: int, folder: str, totals: bool):
         try:
             con.execute("CREATE TABLE part (lang VARCHAR, phrase VARCHAR, f BIGINT)")
             for batch in batches:
-                con.register("batch", pa.Table.from_batches([batch]))
-                con.execute("INSERT INTO part SELECT lang, phrase, f FROM batch")
-                con.unregister("batch")
+                held, size = [], 0
+                for part in [*_unpacked(batch), None]:
+                    if part is not None:
+                        held.append(part)
+                        size += part.num_rows
+                    if held and (part is None or size >= ROWS):
+                        con.register("held", pa.concat_tables(held))
+                        con.execute("INSERT INTO part SELECT lang, phrase, f FROM held")
+                        con.unregister("held")
+                        held, size = [], 0
             counts = f"SELECT lang, phrase, sum(f)::BIGINT AS f FROM part GROUP BY ALL HAVING sum(f) >= {least}"
             if totals:
                 counts += " UNION ALL SELECT lang, '', sum(f)::BIGINT FROM part GROUP BY lang"
@@ -201,10 +233,10 @@ def _count(least: int, folder: str, totals: bool):
 
 def counted(parts: DataFrame, low: int, high: int, least: int, words=None, pairs=None, totals: bool = False) -> DataFrame:
     """Frequent phrases (lang, phrase, f) of ``low`` to ``high`` words of distinct pieces."""
-    kind = "lang string, phrase string, f long"
-    grams = parts.mapInArrow(_grams(low, high, words, pairs), kind)
     spark = parts.sparkSession
-    return grams.repartition(partitions(spark), "lang", "phrase").mapInArrow(_count(least, scratch_dir(spark), totals), kind)
+    buckets = partitions(spark)
+    grams = parts.mapInArrow(_grams(low, high, buckets, words, pairs), "bucket int, lang string, n int, body binary")
+    return grams.repartitionById(buckets, "bucket").mapInArrow(_count(least, scratch_dir(spark), totals), "lang string, phrase string, f long")
 
 
 def _bits(frequent: DataFrame, n: int):

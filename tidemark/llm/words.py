@@ -44,9 +44,8 @@ def bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """One 64-bit hash for each word of ``data``, in order."""
-    start, end = bounds(data)
+def slice_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for the bytes between two places each."""
     if not len(start):
         return np.zeros(0, np.uint64)
     raw = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
@@ -55,6 +54,11 @@ def word_hashes(data: bytes) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """One 64-bit hash for each word of ``data``, in order."""
+    return slice_hashes(data, *bounds(data))
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each window of ``size`` consecutive words; empty if there are fewer words."""
     n = len(words) - size + 1
