@@ -88,3 +88,46 @@ def test_classes_nest():
     assert host_of("HTTPS://u@WWW.a.b:80/c?d") == "www.a.b"
     assert main_text("<p>a</p><div class='has-sidebar'><p>b</p></div><div class=sidebar>c</div>", {}) == "a\nb"
     assert [b.text for b in parse("<p class=ad>x<p>y").blocks if b.weight] == ["y"]
+
+
+PARAGRAPHS = "".join(f"<p>Part {k} of the report tells at some length what was seen.</p>" for k in range(8))
+PARTS = "\n".join(f"Part {k} of the report tells at some length what was seen." for k in range(8))
+
+
+def test_teasers_do_not_replace_the_article():
+    teasers = "<article><a href=/1>Other story</a></article>"
+    assert main_text(f"<body><div class='content'>{PARAGRAPHS}</div><div class='related'>{teasers}</div></body>", {}) == PARTS
+    assert main_text(f"<body><div>{PARAGRAPHS}</div><ul>{'<li>' + teasers + '</li>'}<li>{teasers}</li></ul></body>", {}) == PARTS
+    assert main_text(f"<body><article>{PARAGRAPHS}</article><div class=related>{teasers}</div></body>", {}) == PARTS
+
+
+def test_names_inside_an_article_do_not_erase_it():
+    for name in "banner-image promo-code-guide notice social-history form-and-function menu-item-description post-footer share".split():
+        assert main_text(f"<article><h1>t</h1><div class='{name}'>{PARAGRAPHS}</div></article>", {}) == "t\n" + PARTS
+    for name in "ad ad-box newsletter-signup share-buttons related-posts cookie-notice comments comment-list".split():
+        assert main_text(f"<article><h1>t</h1>{PARAGRAPHS}<div class='{name}'><p>Buy now</p></div></article>", {}) == "t\n" + PARTS
+
+
+def test_a_form_around_the_page_is_none():
+    assert main_text(f"<body><form action=/x><div>{PARAGRAPHS}</div><input><button>Go</button></form></body>", {}) == PARTS
+    assert main_text(f"<body><div>{PARAGRAPHS}</div><form><p>Write to us</p><label>Name</label></form></body>", {}) == PARTS
+
+
+def test_mirrored_and_repeated_paragraphs_stay(spark):
+    same = [(k, f"http://c.example/{k}", f"<body><nav>Home</nav><article>{PARAGRAPHS}<p>Version {k} of this page was saved</p></article></body>") for k in range(12)]
+    lines = "<p>All readings are in metres.</p>"
+    own = [(100 + k, f"http://d.example/{k}", f"<body><nav>Home</nav><article><p>Report {k} of the day</p>{lines}<p>More of {k}</p></article></body>") for k in range(12)]
+    got = {r.page_id: r.text for r in page_texts(spark.createDataFrame(same + own, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"{PARTS}\nVersion {k} of this page was saved" for k in range(12))
+    assert all(got[100 + k] == f"Report {k} of the day\nAll readings are in metres.\nMore of {k}" for k in range(12))
+
+
+def test_broken_markup_takes_time_by_its_length():
+    began = time.monotonic()
+    for piece in ("<a ", "<a href=\"", "<", "<!", "<a '\">", "<a \">\"", "<!--", "<script ", "<script></script ", "</", "<p a='"):
+        for tail in ("", ">", "x>\"", "'"):
+            parse(piece * 20_000 + tail)
+    parse("<a " * 1_700_000)
+    parse("<a \">\"" * 800_000 + "\"")
+    assert time.monotonic() - began < 60
+    assert main_text("<p title='a > b'>x</p><p title=\"it's\">y</p><p title='open>z</p>", {}) == "x\ny\nz"

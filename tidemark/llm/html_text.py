@@ -7,14 +7,14 @@ order-free 64-bit signature; tokens of one host with equal vectors form an equiv
 tokens come in one order, again and again; valid classes are nested: a tuple of one may hold whole tuples of another, never a
 part. The gaps between template tokens are the slots.
 
-Text blocks that are template tokens themselves are no data. What is left of a slot (what follows a template token within a container,
+Text blocks that are template tokens themselves are no data outside articles. What is left of a slot (what follows a template token within a container,
 all over the page) is judged as a whole: text that lies in a menu, header, footer, sidebar, notice, advert, form, script, style or comment
 section (by tag, role, class or id) has no weight, text in an article or main element most, then text in elements named so. Slots whose
 mean weight comes near that of the best slot stay; where no slot has more than plain weight, those of them with most unlinked text or headings.
-A class or id around an article does not erase the article. On hosts with fewer than ``least_pages`` pages a slot is a container.
+A class or id around an article does not erase the article, and what names and tags say is held against the text (``weigh``). On hosts with fewer than ``least_pages`` pages a slot is a container.
 
 Results for odd input: null and empty html and pages without main text give an empty text; a null or malformed url counts as one host
-without a name; repeated rows and null page ids keep a row each; an empty table gives an empty table. Other columns are ignored.
+without a name; slots of equal worth all stay; unclosed tags, quotes and comments cost no more than their length; repeated rows and null page ids keep a row each; an empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -45,15 +46,20 @@ BLOCKS = frozenset(
     "address article aside blockquote body br button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = BLOCKS - frozenset("br hr p li dd dt h1 h2 h3 h4 h5 h6 option".split()) | frozenset("noscript template svg canvas object video audio label".split())
-CLUTTER_TAGS = frozenset("head nav aside footer form dialog menu search button select option label fieldset noscript template svg canvas object video audio".split())
+CLUTTER_TAGS = frozenset("head nav aside footer dialog menu search button select option label fieldset noscript template svg canvas object video audio".split())
 CLUTTER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 CLUTTER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices banner alert popup modal overlay newsletter subscribe subscription signup login paywall comment comments reply replies respond disqus share sharing social related recommended recommendations widget widgets pagination pager search form copyright toolbar skip".split()
 )
+#: Words that say nothing of what a part is; in an article, a name is one of clutter only if all its other words are.
+PLACE_NAMES = frozenset(
+    "area bar block body bottom box btn button buttons card cards col component container content element field frame grid group holder icon icons inline inner item items left link links list module outer panel placeholder post posts primary region right row secondary section slot small text title top unit wrap wrapper zone".split()
+)
 HEADER_NAMES = frozenset("header masthead topbar".split())
 COMMENT_NAMES = frozenset("comment comments reply replies respond disqus".split())
 #: Weights of text in an article or main element, in one that is named so, and elsewhere.
 MAIN, NAMED, PLAIN = 12.0, 4.0, 1.0
+WEIGHTS = (PLAIN, NAMED, MAIN)
 CONTENT_NAMES = frozenset("article articlebody content maincontent post entry story main".split())
 
 
@@ -76,10 +82,18 @@ class Block:
     text: str
     key: str  # of the text as a token
     path: str  # of its container
-    weight: float
+    clutter: int  # 2: by a tag, a role or as a comment section, 1: by a name, 0: not
+    scope: int  # 2: in an article or main element, 1: in one that is named so
+    form: bool  # in a form
+    lifted: bool  # in an article that a name of clutter stands around
     linked: int  # characters in links
     tags: int  # tags of the page before it
     heading: bool
+    weight: float  # of the text in its slot, by tags and names alone until weigh() sees the page
+
+    @property
+    def plain(self) -> int:
+        return max(0, len(self.text) - self.linked)
 
 
 @dataclass
@@ -105,23 +119,51 @@ def _kind(tag: str, attributes: str, scope: int) -> tuple[int, int, str]:
     parts = {x for n in names if n and not {"with", "has", "no", "without", "layout"} & set(n) for x in n}
     if not place and (parts & CONTENT_NAMES):
         place = 1
-    named = parts & CLUTTER_NAMES if tag not in ("article", "main") else set()
+    if scope == 2:
+        named = any(set(n) & CLUTTER_NAMES and set(n) <= CLUTTER_NAMES | PLACE_NAMES for n in names) and tag not in ("article", "main")
+        parts = {x for n in names if set(n) <= COMMENT_NAMES | PLACE_NAMES | {"section", "thread"} for x in n}
+    else:
+        named = bool(parts & CLUTTER_NAMES) and tag not in ("article", "main")
     if scope < 2 and place < 2:
-        named = named or tag == "header" or parts & HEADER_NAMES
+        named = named or tag == "header" or bool(parts & HEADER_NAMES)
     hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
     firm = tag in CLUTTER_TAGS or role in CLUTTER_ROLES and not (role == "banner" and scope == 2) or hidden or parts & COMMENT_NAMES
     return 2 if firm else 1 if named else 0, place, tag + "".join("." + "-".join(n) for n in sorted(names) if n)
 
 
-def _weight(clutter: int, scope: int) -> float:
-    """Of a block's text in its slot. Clutter has none; what an article or main element holds counts most, then elements that are named so."""
-    return 0.0 if clutter else (PLAIN, NAMED, MAIN)[scope]
+class _Tags:
+    """The next tag from a place on, in time that grows with the length of the page, whatever it leaves open."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        self._lost: set[int] = set()  # quotes that open outside others, after which no tag ends
+
+    def end(self, at: int) -> int:
+        """Where a tag whose attributes begin at ``at`` ends: at the first > outside quotes, or if there is none at the first; -1 without any."""
+        if at > self.last:
+            return -1
+        seen, place = [], at
+        while True:
+            found = _MARK.search(self.html, place)
+            if found is None or found.start() in self._lost:
+                break
+            if found[0] == ">":
+                return found.start()
+            seen.append(found.start())
+            close = self.html.find(found[0], found.end())
+            if close < 0:
+                break
+            place = close + 1
+        self._lost.update(seen)
+        return self.html.find(">", at)
 
 
 def parse(html: str | None) -> Page:
     """Tags and text blocks of a page, in order; unclosed and misplaced tags are taken as browsers mostly do."""
     page, at, html = Page(), 0, html or ""
-    stack: list[tuple[str, str, int, int]] = [("", "", 0, 0)]  # tag, path, clutter, scope
+    tags = _Tags(html)
+    stack: list[tuple[str, str, int, int, bool, bool]] = [("", "", 0, 0, False, False)]  # tag, path, clutter, scope, form, lifted
     open_tags: Counter[str] = Counter()
     runs: list[str] = []
     links = linked = 0
@@ -131,26 +173,45 @@ def parse(html: str | None) -> Page:
         nonlocal linked
         text = " ".join(html_references.unescape("".join(runs)).split()) if runs else ""
         if text:
-            _, path, clutter, scope = stack[-1]
-            page.blocks.append(Block(text, f"T{path}|{text}", path, _weight(clutter, scope), linked, len(page.tags), heading))
+            _, path, clutter, scope, form, lifted = stack[-1]
+            page.blocks.append(Block(text, f"T{path}|{text}", path, clutter, scope, form, lifted, linked, len(page.tags), heading, 0.0 if clutter or form else WEIGHTS[scope]))
         runs.clear()
         linked = 0
 
+    def add(text: str) -> None:
+        nonlocal linked
+        runs.append(text)
+        linked += len(text.strip()) if links else 0
+
     while at < len(html):
-        m = _TOKEN.match(html, at)
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            if html[m.start()] != "<" or m.end() == m.start() + 1:
-                runs.append(m[0])
-                linked += len(m[0].strip()) if links else 0
+        begin = html.find("<", at)
+        if begin < 0:
+            begin = len(html)
+        if begin > at:
+            add(html[at:begin])
+            at = begin
+            continue
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = end + 3 if end >= 0 else len(html)
             continue
-        tag, ends, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if html[at + 1 : at + 2] in ("!", "?") and at < tags.last:
+            at = html.find(">", at) + 1
+            continue
+        m = _NAME.match(html, at + 1)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            add("<")
+            at += 1
+            continue
+        at = end + 1
+        tag, ends, attributes = m[2].lower(), bool(m[1]), html[m.end() : end]
         if tag == "a":
             links = 0 if ends else 1
         if tag in RAW and not ends:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-            at = end.end()
+            found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+            stop = html.find(">", found.end()) if found else -1
+            at = stop + 1 if stop >= 0 else len(html)
             page.tags.append(f"S{stack[-1][1]}|{tag}")
             continue
         if tag in BLOCKS:
@@ -167,20 +228,45 @@ def parse(html: str | None) -> Page:
                 open_tags[stack.pop()[0]] -= 1
             page.tags.append(f"E{stack[-1][1]}|{tag}")
             continue
-        _, path, clutter, scope = stack[-1]
+        _, path, clutter, scope, form, lifted = stack[-1]
         own, place, key = _kind(tag, attributes, scope)
         page.tags.append(f"S{path}|{key}")
         if tag not in VOID and not attributes.rstrip().endswith("/") and (tag in CONTAINERS or own):
             if own and tag not in BLOCKS:
                 close()
             # a name around an article says nothing of the article; within it names count again
-            around = 0 if place == 2 and scope < 2 and clutter == 1 else clutter
-            stack.append((tag, f"{_mark(f'{path}/{key}'):x}", max(around, own), max(scope, place)))
+            lift = place == 2 and scope < 2 and clutter == 1
+            stack.append((tag, f"{_mark(f'{path}/{key}'):x}", max(0 if lift else clutter, own), max(scope, place), form or tag == "form", lifted or lift))
             open_tags[tag] += 1
     close()
     return page
 
 
+def weigh(blocks: list[Block]) -> list[Block]:
+    """``blocks`` with the weight of their text in a slot: none for clutter, most in an article or main element, more in elements that are named so.
+
+    What names and tags say is held against the text. A form that holds the page is none. Names of clutter in an article are none if they hold
+    more of its text than all else. Articles inside clutter count only if they are more than the text outside, and articles of
+    less than half the other text are teasers.
+    """
+    free = [b for b in blocks if b.clutter < 2]
+    inside, outside = (sum(b.plain for b in free if not b.clutter and b.form == f) for f in (True, False))
+    whole_form = inside > 4 * outside
+    free = [b for b in free if whole_form or not b.form]
+    named, rest = (sum(b.plain for b in free if b.scope == 2 and bool(b.clutter) == c) for c in (True, False))
+    free = [b for b in free if not b.clutter or b.scope == 2 and named > rest and not b.lifted]
+    lifted, others = (sum(b.plain for b in free if b.lifted == x) for x in (True, False))
+    if lifted < others:
+        free = [b for b in free if not b.lifted]
+    articles, others = (sum(b.plain for b in free if (b.scope == 2) == x) for x in (True, False))
+    teasers = 2 * articles < others
+    for b in blocks:
+        b.weight = 0.0
+    for b in free:
+        b.weight = 0.0 if teasers and b.scope == 2 else WEIGHTS[b.scope]
+    return blocks
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (page_id, url, html) to (site, token, text, n, c, x): what these pages add to the occurrence vectors; token 0 is the page."""
     have: dict[tuple[int, int], list[int]] = {}
@@ -274,6 +360,7 @@ def main_text(html: str | None, template: dict[int, int]) -> str:
     page = parse(html)
     if not page.blocks:
         return ""
+    weigh(page.blocks)
     seen, block = [], 0
     keys = [_signed(_mark(b.key)) or 1 for b in page.blocks] if template else []
     tags = {k: _signed(_mark(k)) or 1 for k in set(page.tags)} if template else {}
@@ -287,7 +374,8 @@ def main_text(html: str | None, template: dict[int, int]) -> str:
     valid = nested(seen) if seen else set()
     used = {t for _, t, c in seen if c in valid}
     data = [b for b in page.blocks if b.weight]
-    left = [b for b in data if not used or (_signed(_mark(b.key)) or 1) not in used] or data
+    # a text that repeats over the host is no data, unless it stands in an article
+    left = [b for b in data if b.weight > PLAIN or not used or (_signed(_mark(b.key)) or 1) not in used] or data
     marks = [i + 1 for i, t in enumerate(page.tags) if tags.get(t) in used]
     slots: dict[tuple[str, str], list[Block]] = {}
     of = []
@@ -296,7 +384,7 @@ def main_text(html: str | None, template: dict[int, int]) -> str:
         of.append((page.tags[marks[k - 1] - 1] if k else "", b.path))
         slots.setdefault(of[-1], []).append(b)
     size = {s: sum(len(b.text) for b in bs) for s, bs in slots.items()}
-    plain = {s: sum(max(0, len(b.text) - b.linked) for b in bs) for s, bs in slots.items()}
+    plain = {s: sum(b.plain for b in bs) for s, bs in slots.items()}
     worth = {s: sum(b.weight * len(b.text) for b in bs) / size[s] for s, bs in slots.items()}
     best = max(worth.values(), default=0)
     good = {s for s in slots if worth[s] >= 0.5 * best}
