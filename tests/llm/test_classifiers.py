@@ -105,3 +105,17 @@ def test_quality_reads_texts_without_spaces_to_their_end(spark):
     docs = spark.createDataFrame([(k, start + ("###%%%" if k % 2 else "花落。") * (1 + k % 3)) for k in range(80)], "doc_id long, text string")
     score = {r.doc_id: r.score for r in quality(docs, docs.selectExpr("doc_id", "1 - int(doc_id % 2) as quality")).collect()}
     assert min(v for k, v in score.items() if k % 2 == 0) > max(v for k, v in score.items() if k % 2)
+
+
+def test_bundles_of_long_and_varied_texts_stay_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 5_000_000)))
+    space = Space(256, 3)
+    tracemalloc.start()
+    out = space.bundles([text, *[text[k * 30_000 : (k + 1) * 30_000] for k in range(64)], None])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000_000
+    assert (out[-1] == 0).all() and np.array_equal(out[5], space.bundles([text[120_000:150_000]])[0])

@@ -6,7 +6,8 @@ and a language the bundle of its texts. A text gets the language whose prototype
 cosine with it.
 
 Results for odd input: null texts and texts without a letter get `und` and 0.0; so does every text
-if nothing can be learnt; equal cosines give the first language in code point order. One row is given
+if nothing can be learnt; equal cosines give the first language in code point order; a text of any length is read whole, in stretches of its
+n-grams, and counts in its language's prototype with its length. One row is given
 for each row of documents, repeated and null ids included.
 """
 
@@ -23,6 +24,9 @@ from .common import fold
 
 #: Code points below this have vectors of their own; others share them by remainder.
 LETTERS = 4096
+#: Distinct n-grams of the texts that are bundled together, and of those whose vectors are made at once.
+GRAMS = 1 << 16
+STRETCH = 8192
 _NOT_LETTER = np.uint16(0)
 
 
@@ -77,17 +81,35 @@ class Space:
         return out.astype(np.float32)
 
     def bundles(self, texts: list[str | None]) -> np.ndarray:
-        """A row for each text, zero for texts without a letter: counts of distinct n-grams times the vectors of those."""
+        """A row for each text, zero for texts without a letter: counts of distinct n-grams times the vectors of those.
+
+        Texts are taken together while they have at most GRAMS n-grams; one with more is taken alone, a stretch of n-grams at a time.
+        """
         out = np.zeros((len(texts), self.size), np.float32)
-        for at in range(0, len(texts), 64):
-            found = [grams(t, self.n) for t in texts[at : at + 64]]
-            every, place = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-            ends = np.cumsum([0, *[len(c) for c, _ in found]])
-            counts = np.zeros((len(found), len(every)), np.float32)
-            for i, (_, n) in enumerate(found):
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def flush() -> None:
+            every, place = np.unique(np.concatenate([c for _, c, _ in held]), return_inverse=True)
+            ends = np.cumsum([0, *[len(c) for _, c, _ in held]])
+            counts = np.zeros((len(held), len(every)), np.float32)
+            for i, (_, _, n) in enumerate(held):
                 counts[i, place[ends[i] : ends[i + 1]]] = n
-            for k in range(0, len(every), 8192):
-                out[at : at + 64] += counts[:, k : k + 8192] @ self.bound(every[k : k + 8192])
+            rows = [i for i, _, _ in held]
+            for k in range(0, len(every), STRETCH):
+                out[rows] += counts[:, k : k + STRETCH] @ self.bound(every[k : k + STRETCH])
+            held.clear()
+
+        for i, text in enumerate(texts):
+            codes, n = grams(text, self.n)
+            if len(codes) > GRAMS:
+                for k in range(0, len(codes), STRETCH):
+                    out[i] += n[k : k + STRETCH].astype(np.float32) @ self.bound(codes[k : k + STRETCH])
+                continue
+            if held and (len(held) == 64 or sum(len(c) for _, c, _ in held) + len(codes) > GRAMS):
+                flush()
+            held.append((i, codes, n))
+        if held:
+            flush()
         return out
 
 
