@@ -49,24 +49,28 @@ def class_ranges() -> tuple[str, str, str]:
 
 
 class Classes:
-    """Patterns of words, letters, white space and the rest, and the normal form of a text."""
-
-    def __init__(self, letter: str, number: str, space: str):
-        from tokenizers.normalizers import NFC, Lowercase, Sequence
+    """Patterns of words, letters and the rest among code points below ``end``: short classes are faster, and most texts need no others."""
 
+    def __init__(self, ranges: tuple[str, str, str], end: int):
+        letter, number, space = ("".join(f"\\U{a:08x}-\\U{min(b, end - 1):08x}" for a, b in _pairs(r) if a < end) for r in ranges)
         other = f"[^{letter}{number}{space}]"
-        self.word = re.compile(f"{SHORT_FORMS}|[{letter}]+|[{number}]|{other}+")
+        self.word = re.compile(f"[{letter}]+|[{number}]|{SHORT_FORMS}|{other}+")
         self.letters, self.others, self.space = re.compile(f"[{letter}]+"), re.compile(f"{other}+"), re.compile(f"[{space}]")
-        self.normal = Sequence([NFC(), Lowercase()]).normalize_str
 
-    def last_space(self, text: str, reach: int) -> int:
-        """Where the last white space among the last ``reach`` code points is, or 0."""
-        at = 0
-        for found in self.space.finditer(text, max(0, len(text) - reach)):
-            at = found.start()
+    def a_space(self, text: str, reach: int) -> int:
+        """A place of white space among the last ``reach`` code points, or 0."""
+        at = text.rfind(" ")
+        if at < 0 or len(text) - at > reach:
+            at = 0
+            for found in self.space.finditer(text, max(0, len(text) - reach)):
+                at = found.start()
         return at
 
 
+def _pairs(ranges: str) -> list[tuple[int, int]]:
+    return [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\U(\w{8})-\\U(\w{8})", ranges)]
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: its own where that is a visible Latin-1 letter, else the next from U+0100 on."""
     seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -208,7 +212,11 @@ class Encoder:
     """Text to ids: special tokens, then words, then the transducer of each."""
 
     def __init__(self, spec: dict):
-        self.merges, self.classes = Merges(spec), Classes(*spec.get("classes") or class_ranges())
+        from tokenizers.normalizers import NFC, Lowercase, Sequence
+
+        self.merges, ranges = Merges(spec), spec.get("classes") or class_ranges()
+        self._ascii, self._low, self._all = (Classes(ranges, end) for end in (0x80, 0x10000, 0x110000))
+        self._normal = Sequence([NFC(), Lowercase()]).normalize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) or "(?!)")
         self.words: dict[str, list[int]] = {}
@@ -224,22 +232,27 @@ class Encoder:
                 self.words[word] = found
         return found
 
+    def _kinds(self, text: str) -> Classes:
+        """The shortest classes that know every code point of a text."""
+        return self._ascii if text.isascii() else self._low if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self._all
+
     def _words(self, words: list[str]) -> list[int]:
         return list(chain.from_iterable(map(self._word, words)))
 
     def plain(self, text: str, size: int = BLOCK, long: int = 4096) -> Iterator[list[int]]:
         """Ids of a text without special tokens, block by block. A word of over ``long`` code points at the end of a block is read on as a run."""
-        kinds, run, same, held = self.classes, None, None, ""
-        for block in normalized(text, self.classes.normal, size):
+        run, letters, held = None, False, ""
+        for block in normalized(text, self._normal, size):
             block, held = held + block, ""
+            kinds = self._kinds(block)
             if run:
-                end = found.end() if (found := same.match(block)) else 0
+                end = found.end() if (found := (kinds.letters if letters else kinds.others).match(block)) else 0
                 yield run.feed(block[:end].encode())
                 if end == len(block):
                     continue
                 yield run.end()
                 run, block = None, block[end:]
-            space = self.classes.last_space(block, long)
+            space = kinds.a_space(block, long)
             if len(block) - space <= long:
                 yield self._words(kinds.word.findall(block[:space]))
                 held = block[space:]
@@ -256,11 +269,11 @@ class Encoder:
             if at + 3 > len(block):
                 held = block[at:]
             else:
-                run, same = Word(self.merges), kinds.letters if kinds.letters.match(block, at) else kinds.others
+                run, letters = Word(self.merges), kinds.letters.match(block, at) is not None
                 yield run.feed(block[at:].encode())
         if run:
             yield run.end()
-        yield self._words(kinds.word.findall(held))
+        yield self._words(self._kinds(held).word.findall(held))
 
     def ids(self, text: str) -> np.ndarray:
         out, at = [], 0
