@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap as bo
 from ..operators import nested, pools, regions, sequences_padded
 from ..operators import selection as se
-from ..sources import ragged, shards
+from ..sources import ragged, shards, submissions
 from .book import Book
 from .tables import BOXES, EV, boxes, events, r6, table
 
@@ -184,3 +184,42 @@ def padded_users(spark, d):
 def text_vectors(spark, d):
     """Hashed character n-grams of every turn; held against a plain version in the tests."""
     return sequences_padded.text_vectors(table(spark, d, "conversations"), ["conv_id", "turn"], "text")
+
+
+@BOOK.add(
+    """WITH l AS (SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_suppkey % 100 - 2 AS x, l_partkey % 100 AS y, l_quantity, l_returnflag FROM lineitem),
+i AS (SELECT l_orderkey AS k, CAST(to_json(list(CASE WHEN l_partkey % 17 = 3 THEN json_object('frame', l_linenumber) WHEN l_returnflag = 'R' THEN json_object('frame', l_linenumber // 2, 'bboxes', [x, y]) WHEN l_quantity >= 45 THEN json_object('frame', l_linenumber + 0.5, 'bboxes', [x, y, l_quantity + 0.5])
+ELSE json_object('frame', l_linenumber // 2, 'bboxes', [x, y, CAST(l_quantity AS BIGINT)]) END ORDER BY l_partkey, l_linenumber, l_extendedprice)) AS VARCHAR) AS ps FROM l GROUP BY 1),
+t AS (SELECT o_orderkey AS line, CASE o_orderpriority WHEN '1-URGENT' THEN '{"video_id": "v' || o_orderkey || '", "predictions": ' || ps || '}' WHEN '2-HIGH' THEN '{"video_id": "v' || o_orderkey || '", "targetRatioWH": [9, 16], "predictions": ' || ps || '}'
+WHEN '3-MEDIUM' THEN '{"video_id": "v' || o_orderkey || '", "targetRatioWH": [9, 0], "predictions": ' || ps WHEN '5-LOW' THEN '{"video_id": ' || o_orderkey || ', "predictions": ' || ps || '}' ELSE ps END AS j FROM orders JOIN i ON k = o_orderkey),
+r AS (SELECT line, CASE WHEN json_valid(j) THEN j END AS j FROM t), v AS (SELECT line, j, json_extract_string(j, '$.video_id') AS id, CASE WHEN j IS NULL THEN 'invalid_json' WHEN json_type(j) <> 'OBJECT' THEN 'invalid_record' WHEN json_type(j, '$.video_id') <> 'VARCHAR' THEN 'missing_video_id' END AS broken FROM r),
+g AS (SELECT line, j, id, json_extract(j, '$.targetRatioWH') IS NOT NULL OR id IN (SELECT 'v' || o_orderkey FROM orders WHERE o_orderstatus <> 'P') AS has FROM v WHERE broken IS NULL), p AS (SELECT line, has, unnest(json_extract(j, '$.predictions[*]')) AS p, generate_subscripts(json_extract(j, '$.predictions[*]'), 1) - 1 AS place FROM g),
+q AS (SELECT *, CASE WHEN json_type(p, '$.frame') LIKE '%BIGINT' THEN CAST(p->>'$.frame' AS BIGINT) END AS n, json_extract(p, '$.bboxes') AS b FROM p), f AS (SELECT *, CASE WHEN n < 3 THEN n END AS f FROM q),
+w AS (SELECT *, last_value(f IGNORE NULLS) OVER (PARTITION BY line ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY line, f ORDER BY place) AS nth, json_array_length(b) = 3 AS three, CAST(b->>'$[0]' AS DOUBLE) AS x, CAST(b->>'$[1]' AS DOUBLE) AS y, CAST(b->>'$[2]' AS DOUBLE) AS w FROM f),
+z AS (SELECT *, coalesce(three, false) AND w = floor(w) AND coalesce(json_type(b, '$[2]') LIKE '%BIGINT', false) AS ints FROM w), c AS (SELECT line, list_filter([CASE WHEN n IS NULL THEN 'non_integer_frame' END, CASE WHEN n >= 3 THEN 'frame_out_of_range' END, CASE WHEN f IS NOT NULL AND nth > 1 THEN 'duplicate_frame' END, CASE WHEN f < before THEN 'non_ascending_order' END,
+CASE WHEN f = 1 THEN 'temporal_traceability_violation' END, CASE WHEN b IS NULL THEN 'missing_bboxes' END, CASE WHEN b IS NOT NULL AND NOT three THEN 'invalid_bbox_shape' END, CASE WHEN three AND NOT ints THEN 'non_integer_bbox' END, CASE WHEN ints AND (x < 0 OR y < 0 OR w <= 0) THEN 'invalid_bbox_value' END,
+CASE WHEN ints AND x >= 0 AND x + w > 120 THEN 'bbox_out_of_bounds' END, CASE WHEN ints AND has AND x >= 0 AND w * 16 > (140 - y) * 9 THEN 'ratio_height_violation' END], lambda s: s IS NOT NULL) AS codes FROM z)
+SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM c UNION ALL SELECT broken FROM v WHERE broken IS NOT NULL UNION ALL SELECT 'unknown_video_id' FROM g WHERE NOT EXISTS (SELECT 1 FROM orders WHERE 'v' || o_orderkey = g.id AND o_orderstatus <> 'P')
+UNION ALL SELECT 'missing_video_line' FROM orders WHERE o_orderstatus <> 'P' AND NOT EXISTS (SELECT 1 FROM g WHERE g.id = 'v' || o_orderkey)) GROUP BY code"""
+)
+def submission_codes(spark, d):
+    """Issue codes of a submission with a line for each order, whose predictions are its lines: parsed, checked against index, sizes and frames."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", (F.col("l_suppkey") % 100 - 2).alias("x"), (F.col("l_partkey") % 100).alias("y"), "l_quantity", "l_returnflag")
+    of = lambda frame, *box: F.concat(F.lit('{"frame": '), frame.cast("string"), *([F.lit(', "bboxes": ['), F.concat_ws(", ", *[b.cast("string") for b in box]), F.lit("]")] if box else []), F.lit("}"))
+    half, number = F.expr("l_linenumber div 2"), F.col("l_linenumber")
+    item = F.when(F.col("l_partkey") % 17 == 3, of(number)).when(F.col("l_returnflag") == "R", of(half, F.col("x"), F.col("y"))).when(F.col("l_quantity") >= 45, of(number + 0.5, F.col("x"), F.col("y"), F.col("l_quantity") + 0.5)).otherwise(of(half, F.col("x"), F.col("y"), F.col("l_quantity").cast("long")))
+    lists = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber", "l_extendedprice", item.alias("item")))).alias("x"))
+    ps = F.concat(F.lit("["), F.array_join("x.item", ", "), F.lit("]"))
+    name = F.concat(F.lit('{"video_id": "v'), F.col("o_orderkey").cast("string"), F.lit('"'))
+    text = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(name, F.lit(', "predictions": '), ps, F.lit("}"))).when(F.col("o_orderpriority") == "2-HIGH", F.concat(name, F.lit(', "targetRatioWH": [9, 16], "predictions": '), ps, F.lit("}")))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(name, F.lit(', "targetRatioWH": [9, 0], "predictions": '), ps)).when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit('{"video_id": '), F.col("o_orderkey").cast("string"), F.lit(', "predictions": '), ps, F.lit("}"))).otherwise(ps)
+    )
+    orders = table(spark, d, "orders")
+    lines = orders.join(lists, "o_orderkey").select(F.col("o_orderkey").alias("line"), text.alias("text"))
+    video = orders.select(F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("video_id"), "o_orderstatus")
+    index = video.where("o_orderstatus <> 'P'").select("video_id", F.array(F.lit(9), F.lit(16)).alias("ratio"))
+    sizes = video.select("video_id", F.lit(120).alias("width"), F.lit(140).alias("height"), F.lit(3).alias("frame_count"))
+    allowed = video.select("video_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("frame"))
+    found = submissions.validate(lines, index, sizes, allowed)
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
