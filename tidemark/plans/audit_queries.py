@@ -84,9 +84,10 @@ round(quantile_cont(retention, 0.1), 6) AS p10, round(quantile_cont(retention, 0
 )
 def run_retention_strata(spark, d):
     r = _runs(spark, d)
-    p = lambda q: r6(F.percentile("retention", q))
-    out = r.groupingSets([["stratum"], []], "stratum").agg(F.count(F.lit(1)).alias("runs"), r6(F.avg((F.col("kept") > 0).cast("double"))).alias("survival"), r6(F.avg((F.col("kept") == 0).cast("double"))).alias("deleted"), r6(F.avg("retention")).alias("mean"), p(0.5).alias("median"), p(0.1).alias("p10"), p(0.25).alias("p25"), F.min("retention").alias("low"))
-    return out.withColumn("stratum", F.coalesce("stratum", F.lit("overall")))
+    both = r.withColumn("stratum", F.explode(F.array("stratum", F.lit("overall"))))
+    out = both.groupBy("stratum").agg(F.count(F.lit(1)).alias("runs"), r6(F.avg((F.col("kept") > 0).cast("double"))).alias("survival"), r6(F.avg((F.col("kept") == 0).cast("double"))).alias("deleted"), r6(F.avg("retention")).alias("mean"), F.min("retention").alias("low"))
+    q = me.quantiles(both, ["stratum"], "retention", {"median": 0.5, "p10": 0.1, "p25": 0.25})
+    return out.join(q, "stratum", "left").select("stratum", "runs", "survival", "deleted", "mean", "low", *[r6(c).alias(c) for c in ("median", "p10", "p25")])
 
 
 @BOOK.add(
@@ -200,7 +201,9 @@ def strata_audit(spark, d):
     pair = lambda name, c: F.struct(F.lit(name).alias("stratifier"), c.cast("string").alias("level"))
     e = events(spark, d)
     long = e.select("value", "score", F.explode(F.array(pair("kind", F.col("kind")), pair("vote", F.col("vote")), pair("weekday", F.expr(f"t div {DAY} % 7")))).alias("x")).select("value", "score", "x.*")
-    return long.groupBy("stratifier", "level").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), r6(F.percentile("value", 0.5)).alias("median"), r6(F.avg("score")).alias("score"))
+    by = ["stratifier", "level"]
+    out = long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("value")).alias("mean"), r6(F.avg("score")).alias("score"))
+    return out.join(me.quantiles(long, by, "value", {"median": 0.5}), by, "left").withColumn("median", r6("median"))
 
 
 @BOOK.add(
@@ -211,8 +214,9 @@ def source_summary(spark, d):
     """Sources count alike whatever their rows: mean, median, tails and share of the commoner sign of their deltas."""
     side = lambda kind: F.avg(F.when(F.col("kind") == kind, F.col("value")))
     k = events(spark, d).groupBy("vote", "user_id").agg((side("view") - side("purchase")).alias("delta")).where("delta is not null")
-    p = lambda q: r6(F.percentile("delta", q))
-    return k.groupBy("vote").agg(F.count(F.lit(1)).alias("sources"), r6(F.avg("delta")).alias("mean"), p(0.5).alias("median"), r6(F.greatest(F.count_if(F.col("delta") > 0), F.count_if(F.col("delta") < 0)) / F.count(F.lit(1))).alias("same_sign"), p(0.05).alias("low_tail"), p(0.95).alias("high_tail"))
+    out = k.groupBy("vote").agg(F.count(F.lit(1)).alias("sources"), r6(F.avg("delta")).alias("mean"), r6(F.greatest(F.count_if(F.col("delta") > 0), F.count_if(F.col("delta") < 0)) / F.count(F.lit(1))).alias("same_sign"))
+    q = me.quantiles(k, ["vote"], "delta", {"median": 0.5, "low_tail": 0.05, "high_tail": 0.95})
+    return out.join(q, "vote", "left").select("vote", "sources", "mean", "same_sign", *[r6(c).alias(c) for c in ("median", "low_tail", "high_tail")])
 
 
 _WEIGHT = """CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 ELSE 5 END"""
@@ -250,7 +254,9 @@ def auc_bootstrap(spark, d):
     """Interval of the pooled AUROC with users as clusters; rows are summed by score before the draws."""
     s = _scored(spark, d).groupBy("user_id", "score").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     g = _draw(40)(s).groupBy("draw", "score").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * (F.col("n") - F.col("pos"))).alias("neg"))
-    c = g.withColumn("tp", F.sum("pos").over(Window.partitionBy("draw").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = g.select("score").distinct().agg(me.sketch("score").alias("bounds"))
+    placed = g.crossJoin(F.broadcast(bounds)).withColumn("at", me.sketch_bucket("bounds", "score")).drop("bounds")  # one row
+    c = me.prefix_sums(placed, ["draw"], "score", ["pos"], F.col("at")).withColumnRenamed("c_pos", "tp")
     a = c.groupBy("draw").agg(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
     return a.agg(r6(F.avg("auc")).alias("mean"), r6(F.percentile("auc", 0.025)).alias("low"), r6(F.percentile("auc", 0.975)).alias("high"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import first_match, ratio, read_intervals
 from ..operators import matching as mt
+from ..operators import metrics as me
 from ..operators import selection as se
 from .book import Book
 from .tables import BOXES, EV, boxes, events, r6, table
@@ -174,7 +175,8 @@ SELECT count(*) AS videos, round(avg(area), 6) AS mean_area, round(quantile_cont
 def reference_geometry(spark, d):
     """Means of video means beside means of all rows."""
     v = boxes(spark, d).groupBy("video").agg(F.avg(F.col("w") * F.col("h")).alias("area"), F.avg((F.col("x") > 50).cast("double")).alias("right_share"), F.count(F.lit(1)).alias("n"))
-    return v.agg(F.count(F.lit(1)).alias("videos"), r6(F.avg("area")).alias("mean_area"), r6(F.percentile("area", 0.5)).alias("median_area"), r6(F.percentile("area", 0.9)).alias("p90_area"), r6(F.avg("right_share")).alias("macro_right"), r6(F.sum(F.col("right_share") * F.col("n")) / F.sum("n")).alias("micro_right"))
+    q = me.quantiles(v, [], "area", {"median_area": 0.5, "p90_area": 0.9}).select(r6("median_area").alias("median_area"), r6("p90_area").alias("p90_area"))
+    return q.crossJoin(v.agg(F.count(F.lit(1)).alias("videos"), r6(F.avg("area")).alias("mean_area"), r6(F.avg("right_share")).alias("macro_right"), r6(F.sum(F.col("right_share") * F.col("n")) / F.sum("n")).alias("micro_right")))  # one row each
 
 
 @BOOK.add(f"WITH {EV}, m AS (SELECT *, max(score) OVER (PARTITION BY user_id) AS peak FROM ev) SELECT event_id, round(score / nullif(peak, 0), 6) AS by_peak, CASE WHEN score > 0.3 THEN 1 ELSE 0 END AS indicator, round(CASE WHEN vote >= 3 THEN score ELSE 0 END, 6) AS masked FROM m")
@@ -196,7 +198,9 @@ def masked_means(spark, d):
 def shuffle_in_split(spark, d):
     """Values dealt anew within each split, in hash order: a negative control that no partition changes."""
     e = events(spark, d).select("event_id", "kind", "vote")
-    placed = se.numbered(e, ["kind"], ["event_id"], F.shiftright("event_id", 16), "i")
+    ends = e.agg(F.min("event_id").alias("_lo"), (F.max("event_id") + 1).alias("_hi"))
+    spread = e.crossJoin(F.broadcast(ends)).withColumn("_part", F.expr("width_bucket(event_id, _lo, _hi, 1024)")).drop("_lo", "_hi")  # one row
+    placed = se.numbered(spread, ["kind"], ["event_id"], F.col("_part"), "i")
     hashed = e.withColumn("h", F.md5(F.concat(F.lit("shuffle|"), F.col("event_id").cast("string"))))
     dealt = se.numbered(hashed, ["kind"], ["h", "event_id"], F.substring("h", 1, 3), "i")
     return placed.select("event_id", "kind", "i").join(dealt.select("kind", "i", F.col("vote")), ["kind", "i"]).select("event_id", "kind", "vote")
@@ -239,7 +243,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY tercile ORDER BY sha256(concat('
 )
 def tercile_picks(spark, d):
     """Five of each third by size, in hash order; thirds by place, numbered without one task for all rows."""
-    p = se.numbered(table(spark, d, "part").select("p_partkey", "p_size"), [], ["p_size", "p_partkey"], F.struct("p_size", F.shiftright("p_partkey", 16)), "place", "n")
+    part = table(spark, d, "part").select("p_partkey", "p_size")
+    ends = part.agg(F.min("p_partkey").alias("_lo"), (F.max("p_partkey") + 1).alias("_hi"))
+    part = part.crossJoin(F.broadcast(ends)).withColumn("_part", F.expr("width_bucket(p_partkey, _lo, _hi, 64)")).drop("_lo", "_hi")  # one row
+    p = se.numbered(part, [], ["p_size", "p_partkey"], F.struct("p_size", "_part"), "place", "n")
     t = p.select("p_partkey", F.least(F.expr("(place - 1) * 3 div n"), F.lit(2)).cast("bigint").alias("tercile"))
     return se.quota(t, ["tercile"], 5, F.lit("pick"), F.col("p_partkey")).select("p_partkey", "tercile")
 
@@ -311,7 +318,8 @@ def fallback_reasons(spark, d):
     b = boxes(spark, d)
     r = b.select(F.explode(why).alias("reason"), (area / 10000).alias("share"), (F.col("ordinal") % 3).alias("class"))
     some = lambda k: F.count_if(F.col("class") == k).alias(f"class_{k}")
-    out = r.groupBy("reason").agg(F.count(F.lit(1)).alias("frames"), some(0), some(1), r6(F.avg("share")).alias("mean_area"), r6(F.percentile("share", 0.5)).alias("median_area"))
+    out = r.groupBy("reason").agg(F.count(F.lit(1)).alias("frames"), some(0), some(1), r6(F.avg("share")).alias("mean_area"))
+    out = out.join(me.quantiles(r, ["reason"], "share", {"median_area": 0.5}), "reason", "left").withColumn("median_area", r6("median_area"))
     return out.crossJoin(F.broadcast(b.agg(F.count(F.lit(1)).alias("n")))).withColumn("of_all", r6(F.col("frames") / F.col("n"))).drop("n")  # one row
 
 
