@@ -22,14 +22,14 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, partitions, scratch_dir, written
-from .words import bounds, mix, slice_hashes, window_hashes, word_hashes
+from .words import _BYTE, _power, bounds, mix, window_hashes, word_hashes
 
 #: Bits of a map of frequent words or pairs (8 MB), bytes of text and n-grams that a task works on at once, memory of duckdb in a task.
 BITS = 1 << 26
@@ -92,42 +92,60 @@ def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _packed(counts: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, lang, body): the phrases and counts of a bucket in few bytes, instead of a row of the shuffle for each."""
+    """Rows (bucket, lang, n, body): the phrases and counts of a bucket in few bytes, instead of a row of the shuffle for each."""
     press = zstandard.ZstdCompressor(level=1)
     for lang in counts.column("lang").unique():
-        own = counts.filter(pa.compute.equal(counts.column("lang"), lang))
-        phrases = own.column("phrase").to_pylist()
-        data = "\n".join(phrases).encode("utf-8", "surrogatepass")
-        ends = np.cumsum(pa.compute.binary_length(own.column("phrase")).to_numpy().astype(np.int64) + 1) - 1
-        bucket = (slice_hashes(data, np.concatenate(([0], ends[:-1] + 1)), ends) % np.uint64(buckets)).astype(np.int32)
-        f, order = own.column("f").to_numpy(), np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        bodies = []
-        for at in np.split(order, cuts[1:]):
-            bodies.append(press.compress(f[at].astype("<i8").tobytes() + "\n".join([phrases[k] for k in at]).encode("utf-8", "surrogatepass")))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]]), pa.array([lang.as_py()] * len(cuts)), pa.array(np.diff(cuts, append=len(order)).astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "lang", "n", "body"])
-
-
-def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.Table]:
-    for lang, n, body in zip(batch.column("lang").to_pylist(), batch.column("n").to_pylist(), batch.column("body"), strict=True):
-        data = zstandard.decompress(body.as_py())
-        phrases = data[8 * n :].decode("utf-8", "surrogatepass").split("\n")
-        yield pa.table([pa.array([lang] * n, pa.string()), pa.array(phrases, pa.string()), pa.array(np.frombuffer(data, "<i8", n))], schema=_COUNTS)
+        own = counts.filter(pc.equal(counts.column("lang"), lang))
+        phrases = own.column("phrase").combine_chunks()
+        data, start, end = _joined(phrases)
+        bucket = (slice_hashes(data, start, end) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        data, start, _ = _joined(phrases.take(pa.array(order)))
+        f, bucket = own.column("f").to_numpy()[order].astype("<i8"), bucket[order]
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        last = np.append(first[1:], len(order))
+        ends = np.append(start[first[1:]] - 1, len(data))
+        bodies = [press.compress(f[i:j].tobytes() + data[a:b]) for i, j, a, b in zip(first, last, start[first], ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([lang.as_py()] * len(first)), pa.array((last - first).astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "lang", "n", "body"])
+
+
+def slice_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for the bytes between two places each."""
+    raw = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    up, down = _power(_BYTE, len(raw) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * up[: len(raw)], dtype=np.uint64)))
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def _joined(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Texts with a line break between them, and the first byte and the end of each."""
+    data = pc.binary_join_element_wise(texts, "", "\n").buffers()[2].to_pybytes()[:-1] if len(texts) else b""
+    end = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1) - 1
+    return data, np.concatenate((np.zeros(1, np.int64), end[:-1] + 1)), end
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.Table:
+    """Rows (lang, phrases, fs): the phrases of a body with line breaks between them, and their counts."""
+    n, bodies = batch.column("n").to_numpy(), [zstandard.decompress(x.as_py()) for x in batch.column("body")]
+    counts = np.frombuffer(b"".join([x[: 8 * k] for x, k in zip(bodies, n, strict=True)]), "<i8")
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(counts))
+    phrases = pa.array([x[8 * k :] for x, k in zip(bodies, n, strict=True)], pa.binary()).cast(pa.string())
+    return pa.table([batch.column("lang"), phrases, lists], ["lang", "phrases", "fs"])
 
 
 def _grams(low: int, high: int, buckets: int, words, pairs):
     """Rows (lang, piece, c) to n-grams of ``low`` to ``high`` words, added up within a task as far as it holds them, packed for their buckets; maps of words or pairs say which can be frequent."""
 
-    def cut(texts: list[str], tails: list[int], langs: list[str], counts: list[int]) -> Iterator[pa.Table]:
-        data = "\n".join(texts).encode("utf-8", "surrogatepass")
+    def cut(texts: pa.Array, tails: np.ndarray, langs: pa.Array, weight: np.ndarray) -> Iterator[pa.Table]:
+        data = _joined(texts)[0]
         raw = np.frombuffer(data, np.uint8)
         start, end = bounds(data)
-        sizes = np.array([t.count(" ") + 1 for t in texts])
+        sizes = pc.count_substring(texts, " ").to_numpy(zero_copy_only=False) + 1
         piece, place = np.repeat(np.arange(len(texts)), sizes), np.arange(len(start))
         last = np.cumsum(sizes)[piece]  # the first word after the piece
-        begins = place < last - np.array(tails)[piece]
-        names, codes = np.unique(np.array(langs, object), return_inverse=True)
-        weight = np.array(counts, np.int64)
+        begins = place < last - tails[piece]
+        coded = langs.dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if words is not None:
             hashes = _hashes(data, np.array([_lang_hash(n) for n in names], np.uint64)[codes[piece]])
             good = np.concatenate((_held(words.value, hashes), [False]))
@@ -145,7 +163,7 @@ def _grams(low: int, high: int, buckets: int, words, pairs):
             found = np.flatnonzero(keep)
             for k in range(0, len(found), ROWS):
                 at = found[k : k + ROWS]
-                lang = pa.DictionaryArray.from_arrays(pa.array(codes[piece[at]].astype(np.int32)), pa.array(names.tolist(), pa.string())).cast(pa.string())
+                lang = pa.DictionaryArray.from_arrays(pa.array(codes[piece[at]].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
                 yield pa.table([lang, _slices(raw, start[at], end[at + n - 1]), pa.array(weight[piece[at]])], schema=_COUNTS)
 
     def merged(tables: list[pa.Table]) -> pa.Table:
@@ -154,36 +172,27 @@ def _grams(low: int, high: int, buckets: int, words, pairs):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: list[pa.Table] = []
-        texts: list[str] = []
-        tails: list[int] = []
-        langs: list[str] = []
-        counts: list[int] = []
-        size = 0
-
-        def take() -> None:
-            nonlocal size
+
+        def add(texts: pa.Array, tails: np.ndarray, langs: pa.Array, counts: np.ndarray) -> None:
             for table in cut(texts, tails, langs, counts):
                 tables.append(table)
                 if sum(t.num_rows for t in tables) >= 4 * ROWS:
                     tables[:] = [merged(tables)]
-            for one in (texts, tails, langs, counts):
-                one.clear()
-            size = 0
 
         for batch in batches:
-            for lang, piece, c in zip(batch.column("lang").to_pylist(), batch.column("piece"), batch.column("c").to_pylist(), strict=True):
-                for text, tail in _parts(piece.as_py(), high - 1):
-                    texts.append(text)
-                    tails.append(tail)
-                    langs.append(lang)
-                    counts.append(c)
-                    size += len(text)
-                    if size >= BYTES:
-                        take()
+            langs, texts, counts = batch.column("lang"), batch.column("piece"), batch.column("c").to_numpy()
+            size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            for k in np.flatnonzero(size > BYTES):  # a long piece goes in stretches
+                for text, tail in _parts(texts[k].as_py(), high - 1):
+                    add(pa.array([text]), np.array([tail]), langs.slice(k, 1), counts[k : k + 1])
+            brief = np.flatnonzero(size <= BYTES)
+            for part in np.split(brief, np.flatnonzero(np.diff(np.cumsum(size[brief]) // BYTES)) + 1):
+                if len(part):
+                    at = pa.array(part)
+                    add(texts.take(at), np.zeros(len(part), np.int64), langs.take(at), counts[part])
             if tables and sum(t.num_rows for t in tables) >= 2 * ROWS:
                 yield from _packed(merged(tables), buckets)
                 tables.clear()
-        take()
         if tables:
             yield from _packed(merged(tables), buckets)
 
@@ -209,16 +218,10 @@ def _count(least: int, folder: str, totals: bool):
         try:
             con.execute("CREATE TABLE part (lang VARCHAR, phrase VARCHAR, f BIGINT)")
             for batch in batches:
-                held, size = [], 0
-                for part in [*_unpacked(batch), None]:
-                    if part is not None:
-                        held.append(part)
-                        size += part.num_rows
-                    if held and (part is None or size >= ROWS):
-                        con.register("held", pa.concat_tables(held))
-                        con.execute("INSERT INTO part SELECT lang, phrase, f FROM held")
-                        con.unregister("held")
-                        held, size = [], 0
+                for k in range(0, batch.num_rows, 64):
+                    con.register("bodies", _unpacked(batch.slice(k, 64)))
+                    con.execute("INSERT INTO part SELECT lang, unnest(string_split(phrases, chr(10))), unnest(fs) FROM bodies")
+                    con.unregister("bodies")
             counts = f"SELECT lang, phrase, sum(f)::BIGINT AS f FROM part GROUP BY ALL HAVING sum(f) >= {least}"
             if totals:
                 counts += " UNION ALL SELECT lang, '', sum(f)::BIGINT FROM part GROUP BY lang"
