@@ -265,3 +265,53 @@ def test_bootstrap_holds_the_mean(spark):
     a, b = (se.bootstrap_mean(df.repartition(n), "k", "v", draws=200).first() for n in (2, 5))
     assert a.low < a.mean < a.high
     assert abs(a.low - b.low) < 1e-9
+
+
+def test_one_outlier_or_a_crowd_makes_no_large_bucket(spark):
+    """Values that crowd near 0 beside one of 1e12: buckets hold a tenth of a key's values at most, and quantiles stay exact."""
+    rng = np.random.default_rng(8)
+    values = np.concatenate((rng.random(40_000) ** 8 * 1e-3, [1e12]))
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 1.0), ("b", 3.0), ("b", None)], "k string, v double")
+    bounds = df.groupBy("k").agg(me.sketch("v").alias("bounds"))
+    sizes = df.join(bounds, "k").where("k = 'a'").groupBy(me.sketch_bucket("bounds", "v").alias("b")).count().collect()
+    assert max(r["count"] for r in sizes) < len(values) / 10 and len(sizes) > 100
+    got = {r.k: r for r in me.quantiles(df, ["k"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0}).collect()}
+    assert np.allclose([got["a"].low, got["a"].mid, got["a"].top], np.quantile(values, [0.1, 0.5, 1.0]), rtol=1e-12)
+    assert (got["b"].low, got["b"].mid, got["b"].top) == (1.2, 2.0, 3.0)
+    curve = me.curve(df.where("v is not null").withColumn("y", F.col("v") > 1e-4), ["k"], "v", "y").where("k = 'a'").orderBy("v").collect()
+    assert curve[0].tp == sum(values > 1e-4) and curve[0].fp == sum(values <= 1e-4) and (curve[-1].tp, curve[-1].fp) == (1, 0)
+
+
+def test_guarded_crops_equal_a_plain_fold(spark):
+    rng, rows, want = np.random.default_rng(9), [], {}
+    for mode in ("none", "offset", "canonical"):
+        for key in range(6):
+            state = None
+            for o in np.cumsum(rng.integers(1, 3, 15)).tolist():
+                x1, y1 = rng.integers(0, 120), rng.integers(0, 90)
+                box = (float(x1), float(y1), float(x1 + rng.integers(1, 41)), float(y1 + rng.integers(1, 31)))
+                c = None if rng.random() < 0.1 else (float(rng.integers(0, 320)) / 2, float(rng.integers(0, 240)) / 2)
+                rows.append((mode, key, int(o), *(c or (None, None)), *box, 160, 120, 50, 30))
+                if c is None:
+                    state, want[mode, key, int(o)] = None, (None, None)
+                    continue
+                fresh = state is None or o - state[2] > 1
+                new, place, after = [], [], []
+                for k, (whole, size) in enumerate(((160, 50), (120, 30))):
+                    s = c[k] if fresh else state[k] + 0.5 * (c[k] - state[k])
+                    show = [max(0, min(q + size, box[k + 2]) - max(q, box[k])) for q in range(whole - size + 1)]
+                    best = [q for q, v in enumerate(show) if v == max(show)]
+                    p = min(max(math.floor(s - size / 2), 0), whole - size)
+                    q = min(max(p, best[0]), best[-1])
+                    new.append({"none": s, "offset": s + q - p, "canonical": q + size / 2}[mode])
+                    place.append(q)
+                    after.append(show[q] / (box[k + 2] - box[k]))
+                state, want[mode, key, int(o)] = (*new, o), tuple(place)
+    df = spark.createDataFrame(rows, "mode string, k int, o long, cx double, cy double, x1 double, y1 double, x2 double, y2 double, fw int, fh int, zw int, zh int")
+    got = {}
+    for mode in ("none", "offset", "canonical"):
+        out = sq.guarded_crops(df.where(F.col("mode") == mode), ["k"], "o", ("cx", "cy"), ("x1", "y1", "x2", "y2"), ("fw", "fh"), ("zw", "zh"), 1, feedback=mode)
+        for r in out.collect():
+            got[mode, r.k, r.o] = (r.x, r.y)
+            assert r.x is None or r.visible_after >= r.visible_before - 1e-12
+    assert got == want

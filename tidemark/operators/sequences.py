@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.boxes import best_placements
+
 
 def with_component(df: DataFrame, by: list[str], order: str, gap: int, name: str = "component") -> DataFrame:
     """Numbers the stretches of a key in which each row follows the one before by at most ``gap``."""
@@ -93,6 +95,46 @@ def smooth(df: DataFrame, by: list[str], order: str, value: str, gap: int, alpha
     return folded.select(*by, F.explode("x").alias("x")).select(*by, F.col("x.o").alias(order), F.col("x.out").alias("smoothed"), F.col("x.reset").alias("reset"))
 
 
+def guarded_crops(df: DataFrame, by: list[str], order: str, center: tuple[str, str], box: tuple[str, str, str, str], extent: tuple[str, str], crop: tuple[str, str], gap: int, alpha: float = 0.5, feedback: str = "none") -> DataFrame:
+    """Smoothed crops of a fixed size that show as much of a box as can be: adds x, y, reset, guarded, visible_before, visible_after.
+
+    The state is a centre, smoothed on both axes as in ``smooth``. Its crop is the proposal; on each axis it is moved into the offsets of
+    greatest overlap with the box (corners ``box``). ``feedback`` says what the next row starts from: 'none' the state, 'offset' the state
+    moved by the correction, 'canonical' the centre of the crop that came out. Rows without a centre have no crop and end a stretch.
+    """
+    if feedback not in ("none", "offset", "canonical"):
+        raise ValueError(f"no feedback {feedback}")
+    axes = []
+    for k, c in enumerate("xy"):
+        size, whole = F.col(crop[k]), F.col(extent[k])
+        low, high, _ = best_placements(whole, size, F.col(box[k]).cast("double"), F.col(box[k + 2]).cast("double"))
+        axes += [F.col(center[k]).cast("double").alias(f"c{c}"), size.cast("bigint").alias(f"s{c}"), F.floor(whole - size).cast("bigint").alias(f"m{c}"), low.alias(f"l{c}"), high.alias(f"h{c}")]
+    item = F.struct(F.col(order).cast("bigint").alias("o"), *axes)
+    row = "struct<o:bigint,ax:double,ay:double,px:bigint,py:bigint,x:bigint,y:bigint,reset:string>"
+
+    def step(acc, r):
+        last = F.element_at(acc, -1)
+        why = F.when(F.size(acc) == 0, "NEW_KEY").when(r["cx"].isNull() | r["cy"].isNull(), "NO_VALUE").when(r["o"] - last["o"] > gap, "GAP").when(last["ax"].isNull(), "AFTER_NO_VALUE")
+        out = {}
+        for c in "xy":
+            v, was = r[f"c{c}"], last[f"a{c}"]
+            state = F.when(r["cx"].isNotNull() & r["cy"].isNotNull(), F.when(why.isNotNull(), v).otherwise(was + F.lit(alpha) * (v - was)))
+            proposal = F.least(F.greatest(F.floor(state - r[f"s{c}"] / 2).cast("bigint"), F.lit(0).cast("bigint")), r[f"m{c}"])
+            place = F.when(state.isNotNull(), F.least(F.greatest(proposal, r[f"l{c}"]), r[f"h{c}"]))
+            next_state = state if feedback == "none" else state + (place - proposal) if feedback == "offset" else place + r[f"s{c}"] / 2
+            out[c] = next_state.alias(f"a{c}"), F.when(state.isNotNull(), proposal).alias(f"p{c}"), place.alias(c)
+        new = F.struct(r["o"].alias("o"), out["x"][0], out["y"][0], out["x"][1], out["y"][1], out["x"][2], out["y"][2], why.alias("reset"))
+        return F.concat(acc, F.array(new)).cast(f"array<{row}>")
+
+    folded = df.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast(f"array<{row}>"), step).alias("_f"))
+    folded = folded.select(*by, F.explode("_f").alias("_f")).select(*by, F.col("_f.o").alias(order), "_f.x", "_f.y", "_f.px", "_f.py", "_f.reset")
+    both = df.select(*by, order, *[F.col(b).cast("double").alias(f"_b{k}") for k, b in enumerate(box)], *[F.col(c).alias(f"_s{k}") for k, c in enumerate(crop)]).join(folded, [*by, order])
+    overlap = lambda at, k: F.greatest(F.least(F.col(at) + F.col(f"_s{k}"), F.col(f"_b{k + 2}")) - F.greatest(F.col(at).cast("double"), F.col(f"_b{k}")), F.lit(0.0))
+    shown = lambda x, y: overlap(x, 0) * overlap(y, 1) / F.nullif((F.col("_b2") - F.col("_b0")) * (F.col("_b3") - F.col("_b1")), F.lit(0.0))
+    moved = (F.col("x") != F.col("px")) | (F.col("y") != F.col("py"))
+    return both.select(*by, order, "x", "y", "reset", moved.alias("guarded"), shown("px", "py").alias("visible_before"), shown("x", "y").alias("visible_after"))
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], how: str = "backward") -> DataFrame:
     """Time of the nearest row of ``right`` (by, t): ``backward`` at or before, ``forward`` at or after, ``nearest`` of both, ties to the earlier.
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap as bo
-from ..operators import nested, pools, regions, sequences_padded
+from ..operators import nested, pools, regions, sequences, sequences_padded
 from ..operators import selection as se
-from ..sources import ragged, shards, submissions
+from ..sources import ragged, records, shards, submissions
 from .book import Book
 from .tables import BOXES, EV, boxes, events, r6, table
 
@@ -223,3 +224,69 @@ def submission_codes(spark, d):
     allowed = video.select("video_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("frame"))
     found = submissions.validate(lines, index, sizes, allowed)
     return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@BOOK.add(
+    """WITH s AS (SELECT l_orderkey, string_agg('{"start_sec": ' || l_quantity || ', "end_sec": ' || (l_quantity + round(l_discount * 100)) || ', "score": ' || round(l_tax * 15, 2) || ', "reason": "' || l_linestatus || '"}', ', ' ORDER BY l_linenumber, l_partkey, l_extendedprice) AS t FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+j AS (SELECT o_orderkey, o_orderpriority AS p, '{"has_highlight": ' || CASE WHEN o_orderstatus = 'P' THEN 'false' ELSE 'true' END || ', "segments": [' || coalesce(t, '') || ']}' AS j FROM orders LEFT JOIN s ON l_orderkey = o_orderkey),
+r AS (SELECT o_orderkey, CASE p WHEN '2-HIGH' THEN '```json' || chr(10) || j || chr(10) || '```' WHEN '3-MEDIUM' THEN left(j, length(j) - 1) WHEN '5-LOW' THEN p ELSE j END AS said FROM j), b AS (SELECT o_orderkey, regexp_replace(trim(said), '^```(?:json)?\\s*|\\s*```$', '', 'g') AS body FROM r),
+v AS (SELECT o_orderkey, body, CASE WHEN json_valid(body) THEN body END AS j FROM b), x AS (SELECT o_orderkey, body, json_extract_string(j, '$.has_highlight') AS has, json_extract(j, '$.segments[*]') AS segs FROM v),
+z AS (SELECT o_orderkey, body, has, list_transform(segs, lambda g: {'s': CAST(g->>'$.start_sec' AS DOUBLE), 'e': CAST(g->>'$.end_sec' AS DOUBLE), 'score': CAST(g->>'$.score' AS DOUBLE)}) AS segs FROM x),
+y AS (SELECT o_orderkey, segs, CASE WHEN has IS NULL THEN CASE WHEN body LIKE '{%' AND body NOT LIKE '%}' THEN 'truncated' ELSE 'malformed' END WHEN has = 'false' OR len(segs) = 0 THEN 'empty' WHEN len(list_filter(segs, lambda g: NOT (g.s >= 0 AND g.s < 30 AND g.e > g.s AND g.score BETWEEN 0 AND 1))) > 0 THEN 'invalid' ELSE 'ok' END AS status FROM z)
+SELECT o_orderkey, status, CASE WHEN status = 'ok' THEN len(segs) END AS segments, CASE WHEN status = 'ok' THEN round(list_sum(list_transform(segs, lambda g: least(g.e, 30) - g.s)), 6) END AS seconds FROM y"""
+)
+def parsed_responses(spark, d):
+    """Answers made of the returned lines of an order, fenced, cut short, plain text or JSON: status of each and its clipped seconds."""
+    item = F.concat(F.lit('{"start_sec": '), F.col("l_quantity"), F.lit(', "end_sec": '), F.col("l_quantity") + F.round(F.col("l_discount") * 100), F.lit(', "score": '), F.round(F.col("l_tax") * 15, 2), F.lit(', "reason": "'), F.col("l_linestatus"), F.lit('"}'))
+    line = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", item.alias("item")))).alias("x"))
+    orders = table(spark, d, "orders").join(line, "o_orderkey", "left")
+    j = F.concat(F.lit('{"has_highlight": '), F.when(F.col("o_orderstatus") == "P", "false").otherwise("true"), F.lit(', "segments": ['), F.coalesce(F.array_join("x.item", ", "), F.lit("")), F.lit("]}"))
+    p = F.col("o_orderpriority")
+    said = F.when(p == "2-HIGH", F.concat(F.lit("```json\n"), F.col("j"), F.lit("\n```"))).when(p == "3-MEDIUM", F.expr("left(j, length(j) - 1)")).when(p == "5-LOW", p).otherwise(F.col("j"))
+    answers = orders.withColumn("j", j).select("o_orderkey", said.alias("said"), F.lit(0.0).alias("chunk"), F.lit(30.0).alias("duration"))
+    out = records.parse_segments(answers, "chunk", "said", "duration")
+    seconds = F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end_sec"] - s["start_sec"])
+    return out.select("o_orderkey", "status", F.when(F.col("status") == "ok", F.size("segments")).cast("long").alias("segments"), r6(seconds).alias("seconds"))
+
+
+def _crops_sql(feedback: str) -> str:
+    """Rows of guarded crops of 60 x 40 in a frame of 160 x 120, every offset tried on each axis, folded row by row."""
+    best = lambda c, size, most: f"(SELECT {{'l': min(q), 'h': max(q)}} FROM (SELECT q, o, max(o) OVER () AS top FROM (SELECT q, greatest(0, least(q + {size}, {c}2) - greatest(q, {c}1)) AS o FROM (SELECT unnest(range({most + 1})) AS q))) WHERE o = top)"
+    prop = lambda s, size, most: f"CAST(least(greatest(floor({s} - {size} / 2), 0), {most}) AS BIGINT)"
+    back = {"none": "{s}", "offset": "{s} + ({p} - {q})", "canonical": "{p} + {z} / 2"}[feedback]
+    fold = lambda s, c, size, most: back.format(s=s, p=f"least(greatest({prop(s, size, most)}, g{c}.l), g{c}.h)", q=prop(s, size, most), z=float(size))
+    return f"""WITH RECURSIVE {BOXES}, r AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY frame, ordinal, x, y, w, h) AS k, x AS x1, y AS y1, x + w AS x2, y + h AS y2, CASE WHEN score >= 0.1 THEN x + w / 2 END AS cx, y + h / 2 AS cy FROM boxes),
+ux AS (SELECT x1, x2, {best('x', 60, 100)} AS gx FROM (SELECT DISTINCT x1, x2 FROM r)), uy AS (SELECT y1, y2, {best('y', 40, 80)} AS gy FROM (SELECT DISTINCT y1, y2 FROM r)),
+f AS (SELECT r.*, gx, gy FROM r JOIN ux ON ux.x1 = r.x1 AND ux.x2 = r.x2 JOIN uy ON uy.y1 = r.y1 AND uy.y2 = r.y2),
+t AS (SELECT video, k, cx AS sx, CASE WHEN cx IS NOT NULL THEN cy END AS sy, CASE WHEN cx IS NOT NULL THEN {fold('cx', 'x', 60, 100)} END AS ax, CASE WHEN cx IS NOT NULL THEN {fold('cy', 'y', 40, 80)} END AS ay FROM f WHERE k = 1 UNION ALL
+SELECT video, k, sx, sy, CASE WHEN sx IS NOT NULL THEN {fold('sx', 'x', 60, 100)} END, CASE WHEN sx IS NOT NULL THEN {fold('sy', 'y', 40, 80)} END FROM (SELECT f.*, CASE WHEN t.ax IS NULL THEN f.cx ELSE t.ax + 0.5 * (f.cx - t.ax) END AS sx, CASE WHEN f.cx IS NULL THEN NULL WHEN t.ax IS NULL THEN f.cy ELSE t.ay + 0.5 * (f.cy - t.ay) END AS sy FROM t JOIN f ON f.video = t.video AND f.k = t.k + 1)),
+p AS (SELECT f.*, {prop('sx', 60, 100)} AS px, {prop('sy', 40, 80)} AS py, sx FROM f JOIN t USING (video, k)), z AS (SELECT *, least(greatest(px, gx.l), gx.h) AS x, least(greatest(py, gy.l), gy.h) AS y FROM p)
+SELECT video, k, CASE WHEN sx IS NOT NULL THEN x END AS x, CASE WHEN sx IS NOT NULL THEN y END AS y, CASE WHEN sx IS NOT NULL THEN CAST(x <> px OR y <> py AS INT) END AS guarded,
+CASE WHEN sx IS NOT NULL THEN round(greatest(0, least(px + 60, x2) - greatest(px, x1)) * greatest(0, least(py + 40, y2) - greatest(py, y1)) / ((x2 - x1) * (y2 - y1)), 6) END AS before, CASE WHEN sx IS NOT NULL THEN round(greatest(0, least(x + 60, x2) - greatest(x, x1)) * greatest(0, least(y + 40, y2) - greatest(y, y1)) / ((x2 - x1) * (y2 - y1)), 6) END AS after FROM z"""
+
+
+def _crops(spark, d, feedback):
+    order = Window.partitionBy("video").orderBy("frame", "ordinal", "x", "y", "w", "h")
+    b = boxes(spark, d).withColumn("k", F.row_number().over(order).cast("bigint"))
+    b = b.select("video", "k", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.when(F.col("score") >= 0.1, F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), *[F.lit(n).alias(c) for c, n in {"fw": 160, "fh": 120, "zw": 60, "zh": 40}.items()])
+    out = sequences.guarded_crops(b, ["video"], "k", ("cx", "cy"), ("x1", "y1", "x2", "y2"), ("fw", "fh"), ("zw", "zh"), 1, feedback=feedback)
+    there = F.col("x").isNotNull()
+    return out.select("video", "k", "x", "y", F.when(there, F.col("guarded").cast("int")).alias("guarded"), F.when(there, r6("visible_before")).alias("before"), F.when(there, r6("visible_after")).alias("after"))
+
+
+@BOOK.add(_crops_sql("none"))
+def crops_guarded(spark, d):
+    """Smoothed crops moved on both axes to where they show most of their box."""
+    return _crops(spark, d, "none")
+
+
+@BOOK.add(_crops_sql("offset"))
+def crops_projected(spark, d):
+    """The same with the correction added to the state."""
+    return _crops(spark, d, "offset")
+
+
+@BOOK.add(_crops_sql("canonical"))
+def crops_canonical(spark, d):
+    """The same with the centre of the crop that came out as the next state."""
+    return _crops(spark, d, "canonical")
