@@ -49,3 +49,47 @@ def test_without_index_sizes_and_frames(spark):
     lines = spark.createDataFrame([(1, line(video="zz", ratio=None, predictions=[GOOD | {"frame": 10**9, "bboxes": [9999, 9999, 9]}])), (2, None)], "line long, text string")
     assert validate(lines).collect() == []
     assert validate(lines.limit(0)).count() == 0
+
+
+def test_manifest_against_its_files(spark, tmp_path):
+    import hashlib
+
+    from tidemark.sources.manifests import file_issues, manifest_issues, require_manifest
+
+    (tmp_path / "a").mkdir()
+    for name, data in {"a/x": b"one", "a/y": b"two!", "z": b"three"}.items():
+        (tmp_path / name).write_bytes(data)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    rows = [("1", "a/x", 3, digest(b"one").upper()), ("2", "a/y", 3, digest(b"two!")), ("3", "z", 5, digest(b"other")), ("4", "none", 1, None), ("5", "a/x", None, None)]
+    df = spark.createDataFrame(rows, "id string, place string, bytes long, sha string")
+    assert {tuple(r) for r in file_issues(spark, df, "id", "place", "bytes", str(tmp_path)).collect()} == {("2", "SIZE"), ("4", "NO_FILE"), ("5", "SIZE")}
+    assert {tuple(r) for r in file_issues(spark, df, "id", "place", "bytes", str(tmp_path), "sha").collect()} == {("2", "SIZE"), ("3", "CONTENT"), ("4", "NO_FILE"), ("5", "SIZE")}
+    one = df.where("id = '1'")
+    assert require_manifest(one, file_issues(spark, one, "id", "place", "bytes", str(tmp_path), "sha"), 1) is one
+    with pytest.raises(ValueError, match="instead of 2"):
+        require_manifest(one, manifest_issues(one, "id"), 2)
+    with pytest.raises(ValueError, match="DUPLICATE"):
+        require_manifest(one, manifest_issues(one.unionAll(one), "id"))
+    nulls = spark.createDataFrame([(None, None), (None, "s"), ("k", "s")], "id string, s string")
+    assert {tuple(r) for r in manifest_issues(nulls, "id", "s", {"s": 2, "t": 1}).collect()} == {(None, "NULL_KEY", 2), ("null", "QUOTA", 1), ("t", "QUOTA", 0)}
+
+
+def test_candidates_name_the_fault(spark):
+    from tidemark.sources.manifests import split_candidates
+
+    sha = "0" * 64
+    aligned = [("v1", " TRAIN ", True, "", "dog"), ("v2", "train", False, None, "dog"), ("v3", "test", True, None, None)]
+    kinds = ("canonical_video_id string, official_split string, passed boolean, actual_source_id string, category string", "canonical_video_id string, download_status string, sha256 string, relative_path string", "canonical_video_id string, original_video_id string, replacement_video_id string")
+
+    def run(aligned, raw, seen):
+        return [tuple(r) for r in split_candidates(*[spark.createDataFrame(x, k) for x, k in zip((aligned, raw, seen), kinds)]).collect()]
+
+    raw = [("v1", "ok", sha, "p")]
+    assert run(aligned, raw, []) == [("v1", "v1", "v1", None, "dog", "p", sha)]
+    assert run(aligned, raw, [("v1", "o", "")]) == [("v1", "v1", "o", None, "dog", "p", sha)]
+    for bad, fault in [
+        ((aligned, [], []), "no raw row"), ((aligned, [("v1", "failed", sha, "p")], []), "download is not OK"), ((aligned, [("v1", "OK", "00", "p")], []), "no digest"), ((aligned, [("v1", "OK", sha, "")], []), "no path"), ((aligned, raw * 2, []), "two rows"),
+        (([("v1", "train", True, None, "")], raw, []), "no category"), (([("", "train", True, None, "c")], raw, []), "no canonical_video_id"),
+    ]:
+        with pytest.raises(Exception, match=fault):
+            run(*bad)

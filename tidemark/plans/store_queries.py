@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap as bo
 from ..operators import nested, pools, regions, sequences, sequences_padded
 from ..operators import selection as se
-from ..sources import ragged, records, shards, submissions
+from ..sources import manifests, ragged, records, shards, submissions
 from .book import Book
 from .tables import BOXES, EV, boxes, events, r6, table
 
@@ -290,3 +290,33 @@ def crops_projected(spark, d):
 def crops_canonical(spark, d):
     """The same with the centre of the crop that came out as the next state."""
     return _crops(spark, d, "canonical")
+
+
+@BOOK.add(
+    """WITH l AS (SELECT l_orderkey, max(l_quantity) AS most, min(l_shipdate) AS first, count_if(l_returnflag = 'R') AS back FROM lineitem GROUP BY 1)
+SELECT 'v' || o_orderkey AS canonical_video_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'r' || o_custkey ELSE 'v' || o_orderkey END AS realized_video_id, CASE WHEN back > 0 THEN 'o' || o_orderkey ELSE 'v' || o_orderkey END AS original_video_id,
+CASE WHEN back > 1 THEN 'n' || o_orderkey END AS replacement_video_id, o_orderpriority AS category, 'raw/' || o_orderkey AS relative_path, sha256(CAST(o_orderkey AS VARCHAR)) AS sha256 FROM orders JOIN l ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND o_totalprice > 100000"""
+)
+def candidate_join(spark, d):
+    """Orders as candidates of a split: alignment, raw files and availability met by id."""
+    line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "R").alias("back"))
+    o = table(spark, d, "orders").join(line, "o_orderkey").withColumn("id", F.col("o_orderkey").cast("string"))
+    name = lambda letter: F.concat(F.lit(letter), F.col("id"))
+    video = name("v").alias("canonical_video_id")
+    aligned = o.select(video, F.when(F.col("o_orderstatus") == "F", " Train").otherwise("test").alias("official_split"), (F.col("o_totalprice") > 100000).alias("passed"), F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("r"), F.col("o_custkey").cast("string"))).alias("actual_source_id"), F.col("o_orderpriority").alias("category"))
+    raw = o.select(video, F.lit("ok").alias("download_status"), F.sha2("id", 256).alias("sha256"), F.concat(F.lit("raw/"), F.col("id")).alias("relative_path"))
+    seen = o.where("back > 0").select(video, name("o").alias("original_video_id"), F.when(F.col("back") > 1, name("n")).alias("replacement_video_id"))
+    return manifests.split_candidates(aligned, raw, seen)
+
+
+@BOOK.add(
+    """WITH r AS (SELECT *, o_orderkey // 2 AS k, count(*) OVER (PARTITION BY o_orderkey // 2) AS again FROM orders), x AS (SELECT DISTINCT l_orderkey // 2 AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48)
+SELECT CAST(k AS VARCHAR) AS name, 'DUPLICATE' AS code, count(*) AS n FROM r WHERE again > 1 GROUP BY 1 UNION ALL SELECT CAST(k AS VARCHAR), 'EXCLUDED', count(*) FROM r WHERE k IN (SELECT k FROM x) GROUP BY 1
+UNION ALL SELECT CAST(k AS VARCHAR), 'NOT_ALLOWED', count(*) FROM r WHERE o_orderstatus NOT IN ('F', 'O') GROUP BY 1
+UNION ALL SELECT coalesce(p, w), 'QUOTA', coalesce(n, 0) FROM (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1) FULL JOIN (SELECT unnest(['1-URGENT', '2-HIGH', '9-NONE']) AS w, unnest([300, 300, 5]) AS m) ON p = w WHERE coalesce(n, 0) <> coalesce(m, 0)"""
+)
+def manifest_rules(spark, d):
+    """Orders as a manifest: keys that are there twice, excluded or not allowed, and priorities that miss their quota."""
+    records = table(spark, d, "orders").withColumn("k", F.expr("o_orderkey div 2"))
+    out = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 48").select(F.expr("l_orderkey div 2").alias("k"))
+    return manifests.manifest_issues(records, "k", "o_orderpriority", {"1-URGENT": 300, "2-HIGH": 300, "9-NONE": 5}, out, F.col("o_orderstatus").isin("F", "O"))
