@@ -60,12 +60,22 @@ def test_equals_the_plain_version(docs, most, least, top, percent):
     assert got == plain(DOCS, most, least, top, percent)
 
 
-def test_full_and_tiny_bit_maps_change_nothing(docs, monkeypatch):
-    monkeypatch.setattr(phrases, "BITS", 64)
+def test_a_full_bit_map_changes_nothing(docs):
+    got = {(r.lang, tuple(r.phrase.split(" "))): r.f for r in frequencies(docs, 5, 2, bits=64).where("phrase <> ''").collect()}
+    assert got == {k: a for k, a in counts(DOCS, 5).items() if a >= 2}
+
+
+def test_small_blocks_and_buckets_lose_nothing(docs, monkeypatch):
     monkeypatch.setattr(phrases, "BYTES", 20)
     monkeypatch.setattr(phrases, "ROWS", 3)
-    got = {(r.lang, tuple(r.phrase.split(" "))): r.f for r in frequencies(docs, 5, 2).where("phrase <> ''").collect()}
-    assert got == {k: a for k, a in counts(DOCS, 5).items() if a >= 2}
+    batches = pieces(docs).toArrow().to_batches(3)
+    got = Counter()
+    for batch in phrases._grams(1, 5, 7, None, None)(iter(batches)):
+        assert batch.column("bucket").to_pylist() == sorted(batch.column("bucket").to_pylist()) and max(batch.column("bucket").to_pylist()) < 7
+        for row in phrases._unpacked(batch).to_pylist():
+            for phrase, f in zip(row["phrases"].split("\n"), row["fs"], strict=True):
+                got[row["lang"], tuple(phrase.split(" "))] += f
+    assert got == counts(DOCS, 5)
 
 
 def test_long_pieces_are_counted_across_their_stretches():

@@ -87,7 +87,7 @@ def _lang_hash(lang: str) -> np.uint64:
 
 
 def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(BITS - 1)
+    at = hashes & np.uint64(64 * len(bits) - 1)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -242,8 +242,8 @@ def counted(parts: DataFrame, low: int, high: int, least: int, words=None, pairs
     return grams.repartitionById(buckets, "bucket").mapInArrow(_count(least, scratch_dir(spark), totals), "lang string, phrase string, f long")
 
 
-def _bits(frequent: DataFrame, n: int):
-    """The map of frequent phrases of ``n`` words as a broadcast of BITS bits: only its 64-bit cells that are not empty reach the driver, as many as it has at most."""
+def _bits(frequent: DataFrame, n: int, size: int):
+    """The map of frequent phrases of ``n`` words as a broadcast of ``size`` bits, a power of two: only its 64-bit cells that are not empty reach the driver, as many as it has at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,27 +252,27 @@ def _bits(frequent: DataFrame, n: int):
             lang = np.repeat(np.array([_lang_hash(x) for x in langs], np.uint64), n)
             hashes = _hashes(data, lang)
             hashes = window_hashes(hashes, n)[::n] if n > 1 else hashes
-            at = hashes & np.uint64(BITS - 1)
+            at = hashes & np.uint64(size - 1)
             cell = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(cell)], ["cell", "bits"])
 
     cells = frequent.mapInArrow(run, "cell int, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(BITS >> 6, np.uint64)
+    out = np.zeros(size >> 6, np.uint64)
     for row in cells.toLocalIterator():
         out[row.cell] = np.array(row.bits, np.int64).view(np.uint64)
     return frequent.sparkSession.sparkContext.broadcast(out)
 
 
-def frequencies(docs: DataFrame, most: int = 5, least: int = 100) -> DataFrame:
+def frequencies(docs: DataFrame, most: int = 5, least: int = 100, bits: int = BITS) -> DataFrame:
     """Exact counts (lang, phrase, f) of all phrases of 1 to ``most`` words with f >= ``least``, and of all words of a language under an empty phrase."""
     parts = written(pieces(docs))
     found = [written(counted(parts, 1, 1, least, totals=True))]
     totals = found[0].where("phrase = ''").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))  # a row of each bucket
-    words = _bits(found[0].where("phrase <> ''"), 1)
+    words = _bits(found[0].where("phrase <> ''"), 1, bits)
     if most > 1:
         found.append(written(counted(parts, 2, 2, least, words)))
     if most > 2:
-        pairs = _bits(found[1], 2)
+        pairs = _bits(found[1], 2, bits)
         found.append(written(counted(parts, 3, most, least, words, pairs)))
         pairs.unpersist()
     words.unpersist()
