@@ -25,29 +25,35 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, sums: list[str], bucke
     return out.select(*df.drop("_b").columns, *[(F.col(f"c_{c}") + F.col(f"_{c}")).alias(f"c_{c}") for c in sums])
 
 
-#: Buckets of a key's values are cut at this many squared quantiles of a sketch, once the key has so many distinct values.
-SKETCH, SKETCHED = 16, 4096
+#: Buckets of values are cut at this many squared quantiles of a sketch, once there are so many distinct values.
+SKETCH, SKETCHED = 12, 4096
 
 
 def sketch(value: str) -> Column:
-    """An aggregate for ``sketch_bucket``: quantiles of a key's distinct values, none for a key that one task can hold."""
-    cuts = F.percentile_approx(F.col(value).cast("double"), [k / SKETCH**2 for k in range(1, SKETCH**2)], 10_000)
+    """An aggregate for ``sketch_bucket``: quantiles of the values of all keys, none where one task can hold all. A key with a share of the rows has at most that many times more of a bucket."""
+    cuts = F.percentile_approx(F.col(value).cast("double"), [k / SKETCH**2 for k in range(1, SKETCH**2)], 2_000)
     return F.when(F.count(value) > SKETCHED, cuts).otherwise(F.array().cast("array<double>"))
 
 
-def sketch_bucket(bounds: str, value: str) -> Column:
-    """A bucket that rises with ``value``: how many bounds are below it, found in two steps. Equal values share one, and no spread of the values makes one large."""
+def sketch_bucket(rough: str, bounds: str, value: str) -> Column:
+    """A bucket that rises with ``value``: how many bounds are below it, found among every SKETCH-th (``rough``) and then between two of those. Equal values share one, and no spread of the values makes one large."""
     below = lambda cuts: F.size(F.filter(cuts, lambda b: b < F.col(value)))
-    rough = below(F.filter(bounds, lambda _, i: i % SKETCH == SKETCH - 1))
-    return rough * SKETCH + below(F.slice(bounds, rough * SKETCH + 1, F.lit(SKETCH)))
+    return below(F.col(rough)) * SKETCH + below(F.slice(bounds, below(F.col(rough)) * SKETCH + 1, F.lit(SKETCH)))
+
+
+def bucketed(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with ``_at``, the bucket of each value."""
+    bounds = df.agg(sketch(value).alias("_bounds"))
+    bounds = bounds.select("_bounds", F.filter("_bounds", lambda _, i: i % SKETCH == SKETCH - 1).alias("_rough"))
+    return df.crossJoin(F.broadcast(bounds)).withColumn("_at", sketch_bucket("_rough", "_bounds", value)).drop("_bounds", "_rough")  # one row
 
 
 def curve(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """A row for each distinct score: tp and fp of keeping rows at or above it, positives and rows of the key."""
     groups = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    whole = groups.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("n").alias("rows"), sketch(score).alias("_bounds"))
-    groups = groups.join(whole, by) if by else groups.crossJoin(F.broadcast(whole))  # one row
-    run = prefix_sums(groups.withColumn("_at", sketch_bucket("_bounds", score)).drop("_bounds"), by, score, ["pos", "n"], F.col("_at"))
+    run = prefix_sums(bucketed(groups, score), by, score, ["pos", "n"], F.col("_at"))
+    whole = groups.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("n").alias("rows"))
+    run = run.join(whole, by) if by else run.crossJoin(F.broadcast(whole))  # one row
     return run.select(*by, score, "pos", "n", F.col("c_pos").alias("tp"), (F.col("c_n") - F.col("c_pos")).alias("fp"), "positives", "rows")
 
 
@@ -138,9 +144,9 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     Rows are counted by distinct value; counts are run over buckets that a sketch bounds, then within them, so no task sees a whole key and no outlier makes a bucket large.
     """
     groups = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    ends = groups.groupBy(*by).agg(F.sum("_c").alias("_rows"), sketch(value).alias("_bounds"))
+    ends = groups.groupBy(*by).agg(F.sum("_c").alias("_rows"))
     groups = groups.join(ends, by) if by else groups.crossJoin(F.broadcast(ends))  # one row
-    run = prefix_sums(groups.withColumn("_at", sketch_bucket("_bounds", value)).drop("_bounds"), by, value, ["_c"], F.col("_at"))
+    run = prefix_sums(bucketed(groups, value), by, value, ["_c"], F.col("_at"))
     first = F.col("_rows") - F.col("c__c")
     at = lambda place: F.max(F.when((first <= place) & (place < first + F.col("_c")), F.col(value)))
     out = []

@@ -254,9 +254,7 @@ def auc_bootstrap(spark, d):
     """Interval of the pooled AUROC with users as clusters; rows are summed by score before the draws."""
     s = _scored(spark, d).groupBy("user_id", "score").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     g = _draw(40)(s).groupBy("draw", "score").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * (F.col("n") - F.col("pos"))).alias("neg"))
-    bounds = g.select("score").distinct().agg(me.sketch("score").alias("bounds"))
-    placed = g.crossJoin(F.broadcast(bounds)).withColumn("at", me.sketch_bucket("bounds", "score")).drop("bounds")  # one row
-    c = me.prefix_sums(placed, ["draw"], "score", ["pos"], F.col("at")).withColumnRenamed("c_pos", "tp")
+    c = me.prefix_sums(me.bucketed(g, "score"), ["draw"], "score", ["pos"], F.col("_at")).withColumnRenamed("c_pos", "tp")
     a = c.groupBy("draw").agg(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
     return a.agg(r6(F.avg("auc")).alias("mean"), r6(F.percentile("auc", 0.025)).alias("low"), r6(F.percentile("auc", 0.975)).alias("high"))
 
