@@ -41,8 +41,11 @@ def sketch_bucket(rough: str, bounds: str, value: str) -> Column:
     return below(F.col(rough)) * SKETCH + below(F.slice(bounds, below(F.col(rough)) * SKETCH + 1, F.lit(SKETCH)))
 
 
-def bucketed(df: DataFrame, value: str) -> DataFrame:
-    """``df`` with ``_at``, the bucket of each value."""
+def bucketed(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_at``, the bucket of each value; ``buckets`` are so many whatever the number of values."""
+    if buckets:
+        cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), [k / buckets for k in range(1, buckets)], 2_000).alias("_bounds"))
+        return df.crossJoin(F.broadcast(cuts)).withColumn("_at", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")  # one row
     bounds = df.agg(sketch(value).alias("_bounds"))
     bounds = bounds.select("_bounds", F.filter("_bounds", lambda _, i: i % SKETCH == SKETCH - 1).alias("_rough"))
     return df.crossJoin(F.broadcast(bounds)).withColumn("_at", sketch_bucket("_rough", "_bounds", value)).drop("_bounds", "_rough")  # one row
@@ -138,7 +141,7 @@ def fleiss(df: DataFrame, by: list[str], yes: str, raters: int) -> DataFrame:
     return out.select(*by, "items", "unanimous", "pairwise", F.when(chance < 1, (F.col("pairwise") - chance) / (1 - chance)).alias("kappa"))
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], between: bool = True) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], between: bool = True, buckets: int | None = None) -> DataFrame:
     """Exact quantiles of each key as columns named by ``shares``: between neighbours by place, or the element min(floor(q * n), n - 1).
 
     Rows are counted by distinct value; counts are run over buckets that a sketch bounds, then within them, so no task sees a whole key and no outlier makes a bucket large.
@@ -146,7 +149,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     groups = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     ends = groups.groupBy(*by).agg(F.sum("_c").alias("_rows"))
     groups = groups.join(ends, by) if by else groups.crossJoin(F.broadcast(ends))  # one row
-    run = prefix_sums(bucketed(groups, value), by, value, ["_c"], F.col("_at"))
+    run = prefix_sums(bucketed(groups, value, buckets), by, value, ["_c"], F.col("_at"))
     first = F.col("_rows") - F.col("c__c")
     at = lambda place: F.max(F.when((first <= place) & (place < first + F.col("_c")), F.col(value)))
     out = []
