@@ -51,10 +51,10 @@ def bucketed(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame
     return df.crossJoin(F.broadcast(bounds)).withColumn("_at", sketch_bucket("_rough", "_bounds", value)).drop("_bounds", "_rough")  # one row
 
 
-def curve(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+def curve(df: DataFrame, by: list[str], score: str, label: str, buckets: int | None = None) -> DataFrame:
     """A row for each distinct score: tp and fp of keeping rows at or above it, positives and rows of the key."""
     groups = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    run = prefix_sums(bucketed(groups, score), by, score, ["pos", "n"], F.col("_at"))
+    run = prefix_sums(bucketed(groups, score, buckets), by, score, ["pos", "n"], F.col("_at"))
     whole = groups.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("n").alias("rows"))
     run = run.join(whole, by) if by else run.crossJoin(F.broadcast(whole))  # one row
     return run.select(*by, score, "pos", "n", F.col("c_pos").alias("tp"), (F.col("c_n") - F.col("c_pos")).alias("fp"), "positives", "rows")
