@@ -335,6 +335,19 @@ def test_kernel_without_a_class_and_too_many_clusters(spark, scored, monkeypatch
         bootstrap.auc_interval(df, "c", "x", "y", 5).collect()
 
 
+def test_interval_by_score_equals_the_kernel_and_takes_any_number_of_clusters(spark, scored, monkeypatch):
+    _, df = scored
+    for stratum in (None, "s"):
+        want = {r.stratum: r for r in bootstrap.auc_interval(df, "c", "x", "y", 30, stratum).collect()}
+        got = {r.stratum: r for r in bootstrap.auc_interval_by_score(df, "c", "x", "y", 30, stratum).collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[k][c], want[k][c]) for k in want for c in ("auc", "low", "high"))
+    row = bootstrap.auc_interval_by_score(df.withColumn("y", F.lit(1)), "c", "x", "y", 5).collect()[0]
+    assert (row.auc, row.low, row.high) == (None, None, None)
+    monkeypatch.setattr(bootstrap, "CLUSTERS", 3)
+    assert store_queries.kernel_auc(spark, SF).count() == 1
+
+
 def test_knapsacks_of_a_batch_equal_single_ones(monkeypatch, spark):
     rng, rows = random.Random(7), []
     for key in range(200):

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import bucketed, prefix_sums
+
 #: Clusters that a pair kernel takes at most: it has a cell for each two of them.
 CLUSTERS = 2048
 #: Cells of a block of distinct scores and clusters in a task.
@@ -133,3 +135,26 @@ def auc_interval(df: DataFrame, cluster: str, score: str, label: str, draws: int
     all_pairs = sizes.groupBy("stratum").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     whole = all_pairs.join(kernel.groupBy("stratum").agg(F.sum("wins").alias("wins")), "stratum", "left").select("stratum", F.when(pairs > 0, F.coalesce("wins", F.lit(0.0)) / pairs).alias("auc"))
     return whole.join(_ends(samples, "x", alpha), "stratum")
+
+
+def auc_interval_by_score(df: DataFrame, cluster: str, score: str, label: str, draws: int = 200, stratum: str | None = None, alpha: float = 0.05) -> DataFrame:
+    """The result of ``auc_interval`` for any number of clusters: weights meet the rows, which are counted by draw and distinct score, so work grows with rows x draws.
+
+    Counts are run over buckets of scores that a sketch bounds, then within them: no task sees a whole draw, and rows of a crowded score are summed before the shuffle.
+    """
+    named = df.withColumn("stratum", (F.col(stratum) if stratum else F.lit("all")).cast("string"))
+    clusters = numbered_clusters(named, cluster, "stratum")
+    lists = multinomial(clusters, draws).groupBy("stratum", "i").agg(F.collect_list(F.struct(F.col("draw").cast("int").alias("draw"), "w")).alias("_w"))
+    # the draw 0 is the sample itself
+    itself = F.array(F.struct(F.lit(0).alias("draw"), F.lit(1).cast("bigint").alias("w")))
+    weights = clusters.join(lists, ["stratum", "i"], "left").select(cluster, "stratum", F.when(F.col("_w").isNull(), itself).otherwise(F.concat(itself, "_w")).alias("_w"))
+    y = F.col(label).cast("bigint")
+    rows = named.where(F.col(score).isNotNull()).groupBy(cluster, "stratum", F.col(score).cast("double").alias("s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
+    drawn = bucketed(rows, "s").join(weights, [cluster, "stratum"]).select("stratum", "_at", "s", "pos", "neg", F.explode("_w").alias("_w"))
+    counts = drawn.groupBy("stratum", F.col("_w.draw").alias("draw"), "_at", "s").agg(*[F.sum(F.col("_w.w") * F.col(c)).alias(c) for c in ("pos", "neg")])
+    run = prefix_sums(counts, ["stratum", "draw"], "s", ["pos"], F.col("_at"))
+    double = lambda c: F.col(c).cast("double")
+    wins, pairs = F.sum(double("neg") * (double("c_pos") - double("pos") / 2)), F.sum("pos").cast("double") * F.sum("neg")
+    samples = run.groupBy("stratum", "draw").agg(F.when(pairs > 0, wins / pairs).alias("x"))
+    low, high = (F.percentile(F.when(F.col("draw") > 0, F.col("x")), q) for q in (alpha / 2, 1 - alpha / 2))
+    return samples.groupBy("stratum").agg(F.max(F.when(F.col("draw") == 0, F.col("x"))).alias("auc"), low.alias("low"), high.alias("high"))

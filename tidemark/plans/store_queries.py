@@ -155,9 +155,9 @@ c AS (SELECT *, sum(neg) OVER (PARTITION BY draw ORDER BY score ROWS UNBOUNDED P
 SELECT 'all' AS stratum, round(max(x) FILTER (draw = 0), 6) AS auc, round(quantile_cont(x, 0.025) FILTER (draw > 0), 6) AS low, round(quantile_cont(x, 0.975) FILTER (draw > 0), 6) AS high FROM a"""
 )
 def kernel_auc(spark, d):
-    """Interval of the pooled AUROC with users as clusters, from the matrix of wins between users."""
+    """Interval of the pooled AUROC with users as clusters, by score: the matrix of wins between users has the square of their number."""
     rows = events(spark, d).select("user_id", "score", (F.col("kind") == "purchase").cast("int").alias("y"))
-    return bo.auc_interval(rows, "user_id", "score", "y", 40).select("stratum", *[r6(c).alias(c) for c in ("auc", "low", "high")])
+    return bo.auc_interval_by_score(rows, "user_id", "score", "y", 40).select("stratum", *[r6(c).alias(c) for c in ("auc", "low", "high")])
 
 
 @BOOK.add()
