@@ -322,3 +322,18 @@ def test_guarded_crops_equal_a_plain_fold(spark):
             got[mode, r.k, r.o] = (r.x, r.y)
             assert r.x is None or r.visible_after >= r.visible_before - 1e-12
     assert got == want
+
+
+def test_losses_of_a_value_of_0_are_those_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import metric_queries
+
+    kinds, path = ["purchase", "view"], str(tmp_path / "events.parquet")
+    duckdb.execute(f"COPY (SELECT k AS event_id, TIMESTAMP '2024-01-01' + to_seconds(k) AS ts, k // 12 AS user_id, {kinds}[k % 2 + 1] AS event_type, CASE WHEN k IN (3, 16) THEN 0.0 ELSE k * 1.5 END AS value, '' AS props FROM range(36) AS x(k)) TO '{path}' (FORMAT parquet)")
+    got = metric_queries.losses(spark, str(tmp_path)).toPandas()
+    duckdb.execute(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{path}'")
+    want = duckdb.execute(metric_queries.BOOK.sql["losses"]).fetchdf()
+    order = lambda x: x[want.columns].sort_values("user_id").to_numpy(float)
+    assert np.isinf(order(want)).any() and np.isnan(order(want)).any()
+    assert np.allclose(order(got), order(want), atol=1e-6, equal_nan=True)

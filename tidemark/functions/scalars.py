@@ -51,6 +51,11 @@ def bucket_label(value: Column, bounds: list[float]) -> Column:
     return out
 
 
+def ln(x: Column) -> Column:
+    """Natural logarithm as floating point has it: -inf of 0 and NaN of less, where Spark's is null."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
+
+
 def log_loss(p: Column, y: Column, eps: float = 1e-7) -> Column:
     q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
     return -(y * F.ln(q) + (1 - y) * F.ln(1 - q))

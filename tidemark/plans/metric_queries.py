@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import log_loss, log_loss_of_logit, ratio, softplus, wilson
+from ..functions.scalars import ln, log_loss, log_loss_of_logit, ratio, softplus, wilson
 from ..operators import metrics as me
 from .book import Book
 from .tables import EV, events, r6, table
@@ -261,7 +261,7 @@ SELECT user_id, count_if(NOT m) AS masked, round(avg(-(y * ln(p) + (1 - y) * ln(
 )
 def losses(spark, d):
     """Means over the rows that the mask (a vote other than 0) lets through; the others are counted."""
-    x = events(spark, d).select("user_id", F.round("score", 2).alias("score"), F.when(F.col("kind") == "purchase", 1).otherwise(0).alias("y"), (F.col("vote") != 0).alias("m"), (F.ln("value") - 3).alias("z"))
+    x = events(spark, d).select("user_id", F.round("score", 2).alias("score"), F.when(F.col("kind") == "purchase", 1).otherwise(0).alias("y"), (F.col("vote") != 0).alias("m"), (ln(F.col("value")) - 3).alias("z"))
     y, mean = F.col("y"), lambda c: r6(F.avg(F.when(F.col("m"), c)))
     return x.groupBy("user_id").agg(F.count_if(~F.col("m")).alias("masked"), mean(log_loss(F.col("score"), y)).alias("bce"), mean(log_loss_of_logit(F.col("z"), y)).alias("bce_logits"), mean(softplus(-F.col("z"))).alias("ranking"))
 
