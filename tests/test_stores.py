@@ -335,6 +335,20 @@ def test_kernel_without_a_class_and_too_many_clusters(spark, scored, monkeypatch
         bootstrap.auc_interval(df, "c", "x", "y", 5).collect()
 
 
+def test_clusters_are_numbered_and_slots_made_by_many_tasks(spark, monkeypatch):
+    for cast in ("long", "string"):
+        df = spark.range(3000).select((F.col("id") % 1000).cast(cast).alias("c"), F.when(F.col("id") % 1000 < 700, "a").otherwise("b").alias("s"))
+        got = {(r.s, r.c): (r.i, r.n) for r in bootstrap.numbered_clusters(df.unionByName(spark.createDataFrame([(None, "a")], df.schema)), "c", "s").withColumnRenamed("stratum", "s").collect()}
+        values = {s: [None, *sorted(c for t, c in got if t == s and c is not None)] if s == "a" else sorted(c for t, c in got if t == s) for s in "ab"}
+        assert got == {(s, c): (i, len(values[s])) for s in "ab" for i, c in enumerate(values[s])} and len(got) == 1001
+    monkeypatch.setattr(bootstrap, "SLOTS", 64)
+    made = bootstrap.slots(spark.createDataFrame([("a", 1000), ("b", 1), ("c", 64), ("d", 65)], "stratum string, n long"), 3).withColumn("p", F.spark_partition_id())
+    by = {(r.stratum, r.draw): (r.low, r.high, r.k) for r in made.groupBy("stratum", "draw").agg(F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("k")).collect()}
+    assert by == {(s, d): (1, n, n) for s, n in (("a", 1000), ("b", 1), ("c", 64), ("d", 65)) for d in (1, 2, 3)}
+    tasks = [r["count"] for r in made.groupBy("p").count().collect()]
+    assert max(tasks) < 0.4 * sum(tasks)
+
+
 def test_interval_by_score_equals_the_kernel_and_takes_any_number_of_clusters(spark, scored, monkeypatch):
     _, df = scored
     for stratum in (None, "s"):

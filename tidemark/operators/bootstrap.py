@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import bucketed, prefix_sums
+from .selection import numbered
 
 #: Clusters that a pair kernel takes at most: it has a cell for each two of them.
 CLUSTERS = 2048
 #: Cells of a block of distinct scores and clusters in a task.
 CELLS = 1 << 21
+#: Clusters that bound the buckets in which clusters are numbered, and slots of a draw that are made in one go.
+CUTS, SLOTS = 127, 1 << 16
 
 
 def slot_hash(*parts: Column) -> Column:
@@ -24,10 +27,21 @@ def slot_hash(*parts: Column) -> Column:
 
 
 def numbered_clusters(df: DataFrame, cluster: str, stratum: str | None = None) -> DataFrame:
-    """(cluster, stratum, i, n): clusters of each stratum numbered from 0 in order, and how many it has."""
+    """(cluster, stratum, i, n): clusters of each stratum numbered from 0 in order, and how many it has. Buckets between CUTS clusters, those of the least hashes, share the work of a stratum."""
     keys = df.select(cluster, (F.col(stratum) if stratum else F.lit("all")).alias("stratum")).distinct()
-    every = Window.partitionBy("stratum")
-    return keys.select(cluster, "stratum", (F.row_number().over(every.orderBy(cluster)) - 1).alias("i"), F.count(F.lit(1)).over(every).alias("n"))
+    cuts = keys.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.xxhash64(cluster).alias("_h")).orderBy("_h", cluster).limit(CUTS).agg(F.array_sort(F.collect_list(cluster)).alias("_cuts"))
+    keys = keys.crossJoin(F.broadcast(cuts))  # one row
+    below = F.coalesce(F.size(F.filter("_cuts", lambda x: x <= F.col(cluster))), F.lit(0))
+    out = numbered(keys, ["stratum"], [cluster], below, "i", "n")
+    return out.select(cluster, "stratum", (F.col("i") - 1).alias("i"), "n")
+
+
+def slots(sizes: DataFrame, draws: int) -> DataFrame:
+    """(stratum, n, draw, slot): as many slots of each draw as a stratum of ``sizes`` (stratum, n) has clusters. They are made in blocks of SLOTS, which are dealt out, so that no task makes those of a whole stratum."""
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = sizes.select("stratum", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("stratum", "n", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {SLOTS}"))).alias("_block"))
+    last = F.least(F.col("n"), (F.col("_block") + 1) * SLOTS)
+    return blocks.repartition(parts, "stratum", "draw", "_block").select("stratum", "n", "draw", F.explode(F.sequence(F.col("_block") * SLOTS + 1, last)).alias("slot"))
 
 
 def multinomial(clusters: DataFrame, draws: int) -> DataFrame:
@@ -35,11 +49,9 @@ def multinomial(clusters: DataFrame, draws: int) -> DataFrame:
 
     The weights of a draw add up to the number of clusters; clusters that a draw does not take have no row.
     """
-    sizes = clusters.groupBy("stratum").agg(F.max("n").alias("n"))
-    slots = sizes.select("stratum", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("stratum", "n", "draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("slot"))
     taken = F.expr("(_h * n) div 4294967296")
-    slots = slots.withColumn("_h", slot_hash(F.col("stratum"), F.col("draw"), F.col("slot"))).select("stratum", "draw", taken.alias("i"))
-    return slots.groupBy("stratum", "draw", "i").agg(F.count(F.lit(1)).alias("w"))
+    hashed = slots(clusters.groupBy("stratum").agg(F.max("n").alias("n")), draws).withColumn("_h", slot_hash(F.col("stratum"), F.col("draw"), F.col("slot")))
+    return hashed.select("stratum", "draw", taken.alias("i")).groupBy("stratum", "draw", "i").agg(F.count(F.lit(1)).alias("w"))
 
 
 def _ends(samples: DataFrame, value: str, alpha: float) -> DataFrame:
