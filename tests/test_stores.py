@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import uuid
 from collections import Counter
@@ -106,6 +107,21 @@ def test_subset_reads_prune_and_are_strict(spark, place):
         shards.read_subset(spark, place, wanted.unionByName(spark.createDataFrame([(99, "x")], wanted.schema)), "video").collect()
 
 
+def test_many_keys_share_folders(spark, place, monkeypatch):
+    monkeypatch.setattr(shards, "FOLDERS", 16)
+    rows = spark.range(2000).select((F.col("id") % 400).alias("video"), F.col("id").alias("v"))
+    shards.write_partitioned(rows, place, "video")
+    names = [n for n in os.listdir(place) if "=" in n]
+    assert len(names) == 16 and sum(f.endswith(".parquet") for n in names for f in os.listdir(f"{place}/{n}")) <= 64
+    wanted = spark.createDataFrame([(3,), (7,), (3,)], "video int")
+    for strict in (False, True):
+        some = shards.read_subset(spark, place, wanted.where("video <> 5"), "video", strict)
+        assert some.columns == ["video", "v"] and sorted(r.v for r in some.collect()) == sorted(v for v in range(2000) if v % 400 in (3, 7))
+        assert strict or "dynamicpruning" in some._jdf.queryExecution().toString().lower()
+    with pytest.raises(Exception, match="no rows of video 999"):
+        shards.read_subset(spark, place, spark.createDataFrame([(3,), (999,)], "video int"), "video").collect()
+
+
 def test_sample_lookup_names_the_fault(spark):
     samples = spark.createDataFrame([("a", "TRAIN"), ("b", "TRAIN")], "sample_id string, split string")
     raw = spark.createDataFrame([("a", 10), ("b", 20)], "sample_id string, frames int")

@@ -36,7 +36,7 @@ def shard_store(spark, d):
 
 @BOOK.add("SELECT l_suppkey, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS quantity FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1) GROUP BY l_suppkey")
 def subset_reads(spark, d):
-    """Lines of the suppliers of a region, from a table with a folder for each supplier: only theirs are opened."""
+    """Lines of the suppliers of a region, from a table with a folder for each supplier, or for those of one hash where there are many: only folders with some of theirs are opened."""
     path = _fresh(spark)
     shards.write_partitioned(table(spark, d, "lineitem").select("l_suppkey", "l_quantity"), path, "l_suppkey")
     nations = table(spark, d, "nation").where("n_regionkey = 1")

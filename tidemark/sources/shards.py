@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of a partitioned table at most, and the column of those by hash.
+FOLDERS, FOLDER = 256, "key_folder"
+
+
 class IdentityError(ValueError):
     """The store belongs to a run with another identity."""
 
@@ -179,23 +183,32 @@ class ShardStore:
         return gone
 
 
+def _folder(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int")
+
+
 def write_partitioned(df: DataFrame, path: str, key: str) -> None:
-    """A Parquet table with a folder for each ``key``; rows of a key go to few files, a hot key to several by salt."""
-    df.withColumn("_salt", F.floor(F.rand(11) * 4)).repartition(key, "_salt").drop("_salt").write.partitionBy(key).parquet(path)
+    """A Parquet table with a folder for each ``key``; beyond FOLDERS keys, with so many folders by the key's hash, so that files do not grow with the keys. Rows of a folder go to few files, a hot key to several by salt."""
+    by = key
+    if df.select(key).distinct().limit(FOLDERS + 1).count() > FOLDERS:
+        by, df = FOLDER, df.withColumn(FOLDER, _folder(key))
+    df.withColumn("_salt", F.floor(F.rand(11) * 4)).repartition(by, "_salt").drop("_salt").write.partitionBy(by).parquet(path)
 
 
 def read_subset(spark: SparkSession, path: str, wanted: DataFrame, key: str, strict: bool = True) -> DataFrame:
-    """Rows of a table partitioned by ``key`` whose key is in ``wanted``: only their folders are read (dynamic partition pruning).
+    """Rows of a table of ``write_partitioned`` whose key is in ``wanted``: only the folders of wanted keys are read (dynamic partition pruning).
 
     With ``strict``, a wanted key without a row fails when the result is read.
     """
     rows, keys = spark.read.parquet(path), wanted.select(key).distinct()
-    if not strict:
+    if strict:
+        have = rows.select(key).distinct().withColumn("_have", F.lit(True))
+        gap = F.raise_error(F.concat(F.lit(f"no rows of {key} "), F.col(key).cast("string"))).cast("boolean")
+        keys = keys.join(have, key, "left").where(F.when(F.col("_have").isNull(), gap).otherwise(True)).select(key)
+    if FOLDER not in rows.columns:
         return rows.join(keys, key)
-    have = rows.select(key).distinct().withColumn("_have", F.lit(True))
-    gap = F.raise_error(F.concat(F.lit(f"no rows of {key} "), F.col(key).cast("string"))).cast("boolean")
-    sound = keys.join(have, key, "left").where(F.when(F.col("_have").isNull(), gap).otherwise(True)).select(key)
-    return rows.join(sound, key)
+    keys = keys.withColumn(key, F.col(key).cast(rows.schema[key].dataType)).withColumn(FOLDER, _folder(key))  # the hash depends on the type
+    return rows.join(keys, [key, FOLDER]).drop(FOLDER)
 
 
 def sample_lookup(samples: DataFrame, tables: dict[str, DataFrame], key: str, split: str, checks: dict[str, Column]) -> DataFrame:
