@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bootstrap, nested, pools, regions, selection, sequences_padded
+from tidemark.operators import bootstrap, nested, pools, regions, selection, sequences, sequences_padded
 from tidemark.plans import store_queries
 from tidemark.sources import ragged, shards
 
@@ -378,6 +378,39 @@ def test_interval_by_score_equals_the_kernel_and_takes_any_number_of_clusters(sp
     assert store_queries.kernel_auc(spark, SF).count() == 1
 
 
+def test_crops_go_on_over_batches_without_a_join(spark):
+    rng, rows = random.Random(8), []
+    for key in range(12):
+        for k in sorted(rng.sample(range(60), rng.randrange(1, 50))):
+            x, y = rng.randrange(0, 80), rng.randrange(0, 60)
+            rows.append((key, k, float(x), float(y), x + rng.randrange(1, 80) + 0.0, y + rng.randrange(1, 60) + 0.0, x + 20.5 if rng.random() < 0.9 else None, y + 9.25))
+    df = spark.createDataFrame(rows, "v long, k long, x1 double, y1 double, x2 double, y2 double, cx double, cy double").select("*", *[F.lit(n).alias(c) for c, n in {"fw": 160, "fh": 120, "zw": 60, "zh": 40}.items()])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for feedback in ("none", "offset", "canonical"):
+            out = sequences.guarded_crops(df, ["v"], "k", ("cx", "cy"), ("x1", "y1", "x2", "y2"), ("fw", "fh"), ("zw", "zh"), 2, feedback=feedback)
+            assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+            got, want, last = {(r.v, r.k): (r.x, r.y, r.reset) for r in out.collect()}, {}, None
+            for v, k, x1, y1, x2, y2, cx, cy in rows:
+                why = "NEW_KEY" if last is None or last[0] != v else "NO_VALUE" if cx is None else "GAP" if k - last[1] > 2 else "AFTER_NO_VALUE" if last[2] is None else None
+                if cx is None:
+                    want[v, k], last = (None, None, why), (v, k, None)
+                    continue
+                state, places = [], []
+                for c, size, most, a, b, was in ((cx, 60, 100, x1, x2, 0), (cy, 40, 80, y1, y2, 1)):
+                    now = c if why else last[2][was] + 0.5 * (c - last[2][was])
+                    shown = [max(0, min(q + size, b) - max(q, a)) for q in range(most + 1)]
+                    best = [q for q, o in enumerate(shown) if o == max(shown)]
+                    p = min(max(math.floor(now - size / 2), 0), most)
+                    q = min(max(p, best[0]), best[-1])
+                    places.append(q)
+                    state.append({"none": now, "offset": now + (q - p), "canonical": q + size / 2}[feedback])
+                want[v, k], last = (*places, why), (v, k, state)
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_knapsacks_of_a_batch_equal_single_ones(monkeypatch, spark):
     rng, rows = random.Random(7), []
     for key in range(200):

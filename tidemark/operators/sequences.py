@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import best_placements
-
 
 def with_component(df: DataFrame, by: list[str], order: str, gap: int, name: str = "component") -> DataFrame:
     """Numbers the stretches of a key in which each row follows the one before by at most ``gap``."""
@@ -95,40 +98,94 @@ def smooth(df: DataFrame, by: list[str], order: str, value: str, gap: int, alpha
     return folded.select(*by, F.explode("x").alias("x")).select(*by, F.col("x.o").alias(order), F.col("x.out").alias("smoothed"), F.col("x.reset").alias("reset"))
 
 
+#: Why a row starts anew; the place of None is that of a row that does not.
+RESETS = [None, "NEW_KEY", "NO_VALUE", "GAP", "AFTER_NO_VALUE"]
+
+
+def _crop_fold(kept: list[str], gap: int, alpha: float, feedback: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The fold of ``guarded_crops`` over rows in order of key and place (`_n`): a step takes the next row of every key of a batch, and the last row's state goes on to the next batch."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = (0, False, 0.0, 0.0)  # order, has a state, the state
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            array = lambda name, none: column(name).fill_null(none).to_numpy(zero_copy_only=False)
+            if column("sx").null_count or column("sy").null_count:
+                raise ValueError("a row has no size of its crop")
+            order, place = array("_o", 0), array("_n", 0)
+            center = np.stack([array(f"c{c}", 0.0) for c in "xy"], axis=1)
+            valid = column("cx").is_valid().to_numpy(zero_copy_only=False) & column("cy").is_valid().to_numpy(zero_copy_only=False)
+            if not np.isfinite(center[valid]).all():
+                raise ValueError("a centre is not finite")
+            size = np.stack([array(f"s{c}", 0) for c in "xy"], axis=1)
+            # as best_placements has it; fmin and fmax leave out nulls as least and greatest do
+            whole, start, end = (np.stack([array(f"{k}{c}", np.nan) for c in "xy"], axis=1) for k in "wbe")
+            legal = np.floor(whole - size)
+            left, right = np.fmin(end - size, start), np.fmax(end - size, start)
+            beyond = left > legal
+            left, right = np.where(beyond, legal, np.fmax(left, 0)), np.where(beyond, legal, np.fmin(right, legal))
+            overlap = lambda q: np.fmax(np.fmin(q + size, end) - np.fmax(q, start), 0)  # noqa: B023, E731
+            hold = lambda q: np.fmin(np.fmax(q, 0), legal)  # noqa: B023, E731
+            first, last, a, b = np.ceil(left), np.floor(right), hold(np.floor(left)), hold(np.ceil(right))
+            on, of_first, of_a, of_b = first <= last, overlap(first), overlap(a), overlap(b)
+            none = np.where(on, of_first, np.fmax(of_a, of_b)) == 0
+            free = np.iinfo(np.int64).max
+            bound = lambda q: np.where(np.isnan(q), free, np.nan_to_num(q).astype(np.int64))  # noqa: B023, E731
+            low = np.where(none, 0, np.where(on, first, np.where(of_a >= of_b, a, b))).astype(np.int64)
+            high, most = bound(np.where(none, legal, np.where(on, last, np.where(of_b >= of_a, b, a)))), bound(legal)
+            begins = np.flatnonzero((place == 1) | (np.arange(n) == 0))
+            lengths = np.diff(np.append(begins, n))
+            longest = np.argsort(-lengths, kind="stable")
+            begins, lengths = begins[longest], lengths[longest]
+            # a key of the batch before goes on in the first row
+            head = np.flatnonzero(begins == 0)[0]
+            o, has, state = np.zeros(len(begins), np.int64), np.zeros(len(begins), bool), np.zeros((len(begins), 2))
+            o[head], has[head], state[head] = carry[0], carry[1], carry[2:]
+            why, proposed, placed = np.zeros(n, np.int8), np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+            for k in range(lengths[0]):
+                m = np.searchsorted(-lengths, -k, side="left")
+                at = begins[:m] + k
+                ok, v, s = valid[at], center[at], size[at]
+                reset = np.where(place[at] == 1, 1, np.where(~ok, 2, np.where(order[at] - o[:m] > gap, 3, np.where(~has[:m], 4, 0))))
+                now = np.where((reset > 0)[:, None], v, state[:m] + alpha * (v - state[:m]))
+                p = np.minimum(np.maximum(np.floor(now - s / 2).astype(np.int64), 0), most[at])
+                q = np.minimum(np.maximum(p, low[at]), high[at])
+                state[:m] = now if feedback == "none" else now + (q - p) if feedback == "offset" else q + s / 2
+                o[:m], has[:m], why[at], proposed[at], placed[at] = order[at], ok, reset, p, q
+            tail = np.flatnonzero(begins + lengths == n)[0]
+            carry = (o[tail], has[tail], *state[tail])
+            crops = [pa.array(v[:, k], mask=~valid) for v in (placed, proposed) for k in (0, 1)]
+            text = pa.array(np.array(RESETS, object)[why], pa.string())
+            yield pa.RecordBatch.from_arrays([column(c) for c in kept] + crops + [text], [*kept, "x", "y", "px", "py", "reset"])
+
+    return fold
+
+
 def guarded_crops(df: DataFrame, by: list[str], order: str, center: tuple[str, str], box: tuple[str, str, str, str], extent: tuple[str, str], crop: tuple[str, str], gap: int, alpha: float = 0.5, feedback: str = "none") -> DataFrame:
     """Smoothed crops of a fixed size that show as much of a box as can be: adds x, y, reset, guarded, visible_before, visible_after.
 
     The state is a centre, smoothed on both axes as in ``smooth``. Its crop is the proposal; on each axis it is moved into the offsets of
     greatest overlap with the box (corners ``box``). ``feedback`` says what the next row starts from: 'none' the state, 'offset' the state
-    moved by the correction, 'canonical' the centre of the crop that came out. Rows without a centre have no crop and end a stretch.
+    moved by the correction, 'canonical' the centre of the crop that came out. Rows without a centre have no crop and end a stretch; a row
+    without a size of its crop fails. A task folds all its keys side by side, row by row, so it holds a batch and not a key.
     """
     if feedback not in ("none", "offset", "canonical"):
         raise ValueError(f"no feedback {feedback}")
     axes = []
     for k, c in enumerate("xy"):
-        size, whole = F.col(crop[k]), F.col(extent[k])
-        low, high, _ = best_placements(whole, size, F.col(box[k]).cast("double"), F.col(box[k + 2]).cast("double"))
-        axes += [F.col(center[k]).cast("double").alias(f"c{c}"), size.cast("bigint").alias(f"s{c}"), F.floor(whole - size).cast("bigint").alias(f"m{c}"), low.alias(f"l{c}"), high.alias(f"h{c}")]
-    item = F.struct(F.col(order).cast("bigint").alias("o"), *axes)
-    row = "struct<o:bigint,ax:double,ay:double,px:bigint,py:bigint,x:bigint,y:bigint,reset:string>"
-
-    def step(acc, r):
-        last = F.element_at(acc, -1)
-        why = F.when(F.size(acc) == 0, "NEW_KEY").when(r["cx"].isNull() | r["cy"].isNull(), "NO_VALUE").when(r["o"] - last["o"] > gap, "GAP").when(last["ax"].isNull(), "AFTER_NO_VALUE")
-        out = {}
-        for c in "xy":
-            v, was = r[f"c{c}"], last[f"a{c}"]
-            state = F.when(r["cx"].isNotNull() & r["cy"].isNotNull(), F.when(why.isNotNull(), v).otherwise(was + F.lit(alpha) * (v - was)))
-            proposal = F.least(F.greatest(F.floor(state - r[f"s{c}"] / 2).cast("bigint"), F.lit(0).cast("bigint")), r[f"m{c}"])
-            place = F.when(state.isNotNull(), F.least(F.greatest(proposal, r[f"l{c}"]), r[f"h{c}"]))
-            next_state = state if feedback == "none" else state + (place - proposal) if feedback == "offset" else place + r[f"s{c}"] / 2
-            out[c] = next_state.alias(f"a{c}"), F.when(state.isNotNull(), proposal).alias(f"p{c}"), place.alias(c)
-        new = F.struct(r["o"].alias("o"), out["x"][0], out["y"][0], out["x"][1], out["y"][1], out["x"][2], out["y"][2], why.alias("reset"))
-        return F.concat(acc, F.array(new)).cast(f"array<{row}>")
-
-    folded = df.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast(f"array<{row}>"), step).alias("_f"))
-    folded = folded.select(*by, F.explode("_f").alias("_f")).select(*by, F.col("_f.o").alias(order), "_f.x", "_f.y", "_f.px", "_f.py", "_f.reset")
-    both = df.select(*by, order, *[F.col(b).cast("double").alias(f"_b{k}") for k, b in enumerate(box)], *[F.col(c).alias(f"_s{k}") for k, c in enumerate(crop)]).join(folded, [*by, order])
+        of = {"c": center[k], "w": extent[k], "b": box[k], "e": box[k + 2]}
+        axes += [F.col(of[x]).cast("double").alias(f"{x}{c}") for x in of] + [F.col(crop[k]).cast("bigint").alias(f"s{c}")]
+    known = [F.col(c).isNotNull() for c in [*by, order]]
+    rows = df.where(reduce(lambda a, b: a & b, known)).select(*by, F.col(order), F.col(order).cast("bigint").alias("_o"), *axes)
+    # the window puts a key's rows one after the other, in order, and counts them
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_o", "cx", "cy")))
+    kinds = dict(rows.dtypes)
+    kept = [*by, order, "bx", "by", "ex", "ey", "sx", "sy"]
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + ["x long, y long, px long, py long, reset string"])
+    both = rows.mapInArrow(_crop_fold(kept, gap, alpha, feedback), schema).withColumnsRenamed({"bx": "_b0", "by": "_b1", "ex": "_b2", "ey": "_b3", "sx": "_s0", "sy": "_s1"})
     overlap = lambda at, k: F.greatest(F.least(F.col(at) + F.col(f"_s{k}"), F.col(f"_b{k + 2}")) - F.greatest(F.col(at).cast("double"), F.col(f"_b{k}")), F.lit(0.0))
     shown = lambda x, y: overlap(x, 0) * overlap(y, 1) / F.nullif((F.col("_b2") - F.col("_b0")) * (F.col("_b3") - F.col("_b1")), F.lit(0.0))
     moved = (F.col("x") != F.col("px")) | (F.col("y") != F.col("py"))
