@@ -207,6 +207,18 @@ def test_denials_at_any_depth(spark):
         nested.denied(spark.createDataFrame([(1, "{")], "id int, j string"), ["id"], "j", ["s1"], [], []).collect()
 
 
+def test_denials_take_one_pass_and_refuse_what_is_no_json(spark, monkeypatch):
+    df = spark.createDataFrame([(1, '{"a": [{"S1": "Recall x"}, 3]}'), (2, None)], "id int, j string")
+    monkeypatch.setattr(nested, "_kept", None)  # no level is written
+    got = sorted((r.path, r.what) for r in nested.denied(df, ["id"], "j", ["s1"], [], ["recall"]).collect())
+    assert got == [("$.a[0].S1", "key"), ("$.a[0].S1", "value")]
+    for text in ('{"a": 1, "a": 2}', "[NaN]", "[1] 2", ""):
+        with pytest.raises(Exception):
+            nested.denied(spark.createDataFrame([(1, text)], "id int, j string"), ["id"], "j", ["s1"], [], []).collect()
+    with pytest.raises(Exception, match="more than 3 levels"):
+        nested.denied(spark.createDataFrame([(1, "[[[[[1, []]]]]]")], "id int, j string"), ["id"], "j", ["s1"], [], [], 3).collect()
+
+
 def plain_pool(items, wanted, cap, most):
     count, taken, out = Counter(), [], {}
     for limit in range(cap, most + 1):
