@@ -51,6 +51,22 @@ def test_without_index_sizes_and_frames(spark):
     assert validate(lines.limit(0)).count() == 0
 
 
+def test_each_line_is_parsed_once(spark, tables):
+    lines = spark.createDataFrame(list(enumerate((t for t, _ in CASES), 1)), "line long, text string")
+    plan = validate(lines, *tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
+def test_broken_lines_do_not_meet_videos_without_a_name(spark, tables):
+    """Names that are null are never found; broken lines, whatever their number, stay rows of their own."""
+    index, sizes, allowed = tables
+    nulls = spark.createDataFrame([(None, [9.0, 16.0])], index.schema)
+    lines = spark.createDataFrame([(k, "{") for k in range(40, 45)] + [(50, line()), (51, line())], "line long, text string")
+    got = sorted((r.line, r.video_id or "", r.code) for r in validate(lines, index.unionAll(nulls), sizes, allowed).collect())
+    gone = [(0, v, "missing_video_line") for v in ("", "b", "gone", "n")]
+    assert got == gone + [(k, "", "invalid_json") for k in range(40, 45)]
+
+
 def test_manifest_against_its_files(spark, tmp_path):
     import hashlib
 

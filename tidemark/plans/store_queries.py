@@ -209,7 +209,7 @@ def submission_codes(spark, d):
     of = lambda frame, *box: F.concat(F.lit('{"frame": '), frame.cast("string"), *([F.lit(', "bboxes": ['), F.concat_ws(", ", *[b.cast("string") for b in box]), F.lit("]")] if box else []), F.lit("}"))
     half, number = F.expr("l_linenumber div 2"), F.col("l_linenumber")
     item = F.when(F.col("l_partkey") % 17 == 3, of(number)).when(F.col("l_returnflag") == "R", of(half, F.col("x"), F.col("y"))).when(F.col("l_quantity") >= 45, of(number + 0.5, F.col("x"), F.col("y"), F.col("l_quantity") + 0.5)).otherwise(of(half, F.col("x"), F.col("y"), F.col("l_quantity").cast("long")))
-    lists = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber", "l_extendedprice", item.alias("item")))).alias("x"))
+    lists = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_partkey", "l_linenumber", "l_extendedprice", item.alias("item")))).alias("x"))
     ps = F.concat(F.lit("["), F.array_join("x.item", ", "), F.lit("]"))
     name = F.concat(F.lit('{"video_id": "v'), F.col("o_orderkey").cast("string"), F.lit('"'))
     text = (
